@@ -33,6 +33,27 @@ def weighted_median(price: Column, n_rows: Column) -> Column:
     return weighted_percentile(price, 0.5, n_rows)
 
 
+def histogram_medians(histogram: DataFrame, keys: Sequence[str], price: str = "price") -> DataFrame:
+    """Median and number of rows per group, read off the running row counts.
+
+    Sort and window spill to disk, so the number of different prices needs no memory
+    bound either.
+    """
+    by_price = Window.partitionBy(*keys).orderBy(price)
+    upto, n, total = F.col("_upto"), F.col("n_rows"), F.col("_total")
+    ranked = histogram.select(
+        *keys, F.col(price).cast("double").alias("_p"), "n_rows",
+        F.sum("n_rows").over(by_price.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
+        F.sum("n_rows").over(Window.partitionBy(*keys)).alias("_total"),
+    )
+
+    def value_at(position: Column) -> Column:
+        return F.max(F.when((upto >= position) & (upto - n < position), F.col("_p")))
+
+    lower, upper = value_at(F.floor((total + 1) / 2)), value_at(F.floor((total + 2) / 2))
+    return ranked.groupBy(*keys).agg(((lower + upper) / 2).alias("median"), F.max("_total").alias("n_total"))
+
+
 def weighted_mean(price: Column, n_rows: Column) -> Column:
     """Mean over histogram rows. The sum is exact when the price is DECIMAL."""
     return F.try_divide(F.sum(price * n_rows).cast("double"), F.sum(n_rows))

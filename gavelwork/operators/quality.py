@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavelwork.functions import text
@@ -16,47 +16,60 @@ from gavelwork.rules import fixed
 # -- price bounds and titles ----------------------------------------------------------------
 
 
+def by_kind(build, name: str = "product_name", product_type: str = "product_type") -> Column:
+    """An expression that depends on the product kind, ``build(kind)``.
+
+    Each name pattern is tested once and leads straight to the rules of its kind. (With
+    the kind as a column, every rule would repeat the whole classification once a filter
+    on the result is pushed towards the scan.)
+    """
+    low = F.lower(F.col(name))
+    tail = F.when(F.col(product_type) == "card", build("card")).otherwise(build(fixed.DEFAULT_SEALED_KIND))
+    return text.first_match([(low.rlike(p), build(k)) for p, k in fixed.KIND_PATTERNS], tail)
+
+
 def with_kind(listings: DataFrame) -> DataFrame:
     """Product kind from the product's name and type."""
     return listings.withColumn("kind", text.product_kind(F.col("product_name"), F.col("product_type")))
 
 
-def price_in_bounds(price: Column, kind: Column, bounds: Mapping = fixed.PRICE_BOUNDS) -> Column:
-    tests = [(kind == k, price.between(F.lit(low), F.lit(high))) for k, (low, high) in bounds.items()]
-    low, high = bounds[fixed.FALLBACK_KIND]
-    return text.first_match(tests, price.between(F.lit(low), F.lit(high)))
+def price_in_bounds(price: Column, kind: str, bounds: Mapping = fixed.PRICE_BOUNDS) -> Column:
+    low, high = bounds.get(kind, bounds[fixed.FALLBACK_KIND])
+    return price.between(F.lit(low), F.lit(high))
 
 
-def suspicious_title(title: Column, kind: Column, patterns: Mapping = fixed.SUSPICIOUS_TITLES,
+def suspicious_title(title: Column, kind: str, patterns: Mapping = fixed.SUSPICIOUS_TITLES,
                      required: Mapping = fixed.REQUIRED_WORDS) -> Column:
-    """A title with a bad pattern of its kind, or without the words its kind requires."""
+    """A title with a bad pattern of the kind, or without the words the kind requires."""
     low = F.lower(title)
-    bad = text.first_match(
-        [(kind == k, low.rlike(text.alternation(p))) for k, p in patterns.items()], F.lit(False)
-    )
-    box_words = (
-        low.contains("booster box")
-        | text.all_contain(low, ("box", "booster"))
-        | ((low.contains("36") | low.contains("24")) & low.contains("pack"))
-    )
-    missing = text.first_match(
-        [(kind == "booster_box", ~box_words)]
-        + [(kind == k, ~text.all_contain(low, words)) for k, words in required.items()],
-        F.lit(False),
-    )
-    return bad | missing
+    test = low.rlike(text.alternation(patterns[kind])) if kind in patterns else F.lit(False)
+    if kind == "booster_box":
+        test = test | ~(
+            low.contains("booster box")
+            | text.all_contain(low, ("box", "booster"))
+            | ((low.contains("36") | low.contains("24")) & low.contains("pack"))
+        )
+    elif kind in required:
+        test = test | ~text.all_contain(low, required[kind])
+    return test
 
 
-def rule_stage(listings: DataFrame, bounds: Mapping = fixed.PRICE_BOUNDS, patterns: Mapping = fixed.SUSPICIOUS_TITLES,
-               title_sources: Sequence[str] = ("ebay",)) -> DataFrame:
-    """Adds ``kind`` and ``rule_reason``: price_threshold, title_pattern or NULL (kept)."""
-    rows = with_kind(listings)
+def rule_reason(bounds: Mapping = fixed.PRICE_BOUNDS, patterns: Mapping = fixed.SUSPICIOUS_TITLES,
+                title_sources: Sequence[str] = ("ebay",), kind: str | None = None) -> Column:
+    """price_threshold, title_pattern or NULL (kept). ``kind`` forces one kind's rules."""
     checked = F.col("title").isNotNull() & F.col("source").isin(*title_sources)
-    return rows.withColumn(
-        "rule_reason",
-        F.when(~price_in_bounds(F.col("price"), F.col("kind"), bounds), "price_threshold")
-        .when(checked & suspicious_title(F.col("title"), F.col("kind"), patterns), "title_pattern"),
-    )
+
+    def reason(k: str) -> Column:
+        return F.when(~price_in_bounds(F.col("price"), k, bounds), "price_threshold").when(
+            checked & suspicious_title(F.col("title"), k, patterns), "title_pattern"
+        )
+
+    return by_kind(reason) if kind is None else reason(kind)
+
+
+def rule_stage(listings: DataFrame, **rules) -> DataFrame:
+    """Adds ``rule_reason`` to every listing."""
+    return listings.withColumn("rule_reason", rule_reason(**rules))
 
 
 # -- IQR outliers -----------------------------------------------------------------------------
@@ -75,18 +88,21 @@ def iqr_bounds(rows: DataFrame, keys: Sequence[str], multiplier: float = 1.5) ->
     )
 
 
-def with_statistical_reason(rows: DataFrame, product: Sequence[str] = PRODUCT, group: Sequence[str] = GROUP,
-                            multiplier: float = 1.5, min_total: int = 5, min_group: int = 3) -> DataFrame:
-    """Adds ``stat_reason`` (extreme_low, extreme_high or NULL) to every row.
+def group_limits(rows: DataFrame, product: Sequence[str] = PRODUCT, group: Sequence[str] = GROUP,
+                 multiplier: float = 1.5, min_total: int = 5, min_group: int = 3) -> DataFrame:
+    """Outlier limits of the groups that are large enough, one row per group.
 
-    Only where a product has at least ``min_total`` rows and the group ``min_group``. The
-    limits are one row per group; the join partner of a hot group is that one row.
+    Only where a product has at least ``min_total`` rows and the group ``min_group``.
     """
-    limits = iqr_bounds(rows, group, multiplier)
-    totals = limits.groupBy(*product).agg(F.sum("n_total").alias("_product_rows"))
-    limits = limits.join(totals, list(product)).filter(
-        (F.col("n_total") >= min_group) & (F.col("_product_rows") >= min_total)
-    ).select(*group, "lower_bound", "upper_bound")
+    limits = iqr_bounds(rows, group, multiplier).withColumn(
+        "_product_rows", F.sum("n_total").over(Window.partitionBy(*product))
+    )
+    return limits.filter((F.col("n_total") >= min_group) & (F.col("_product_rows") >= min_total)).select(
+        *group, "lower_bound", "upper_bound"
+    )
+
+
+def _with_limits(rows: DataFrame, limits: DataFrame, group: Sequence[str]) -> DataFrame:
     price = F.col("price").cast("double")
     return rows.join(limits, list(group), "left").withColumn(
         "stat_reason",
@@ -94,66 +110,120 @@ def with_statistical_reason(rows: DataFrame, product: Sequence[str] = PRODUCT, g
     )
 
 
+def with_statistical_reason(rows: DataFrame, product: Sequence[str] = PRODUCT, group: Sequence[str] = GROUP,
+                            multiplier: float = 1.5, min_total: int = 5, min_group: int = 3) -> DataFrame:
+    """Adds ``stat_reason`` (extreme_low, extreme_high or NULL) to every row.
+
+    The join partner of a hot group is a single row of limits, so a hot group can be
+    split over tasks.
+    """
+    return _with_limits(rows, group_limits(rows, product, group, multiplier, min_total, min_group), group)
+
+
 def filter_listings(listings: DataFrame, **rules) -> DataFrame:
     """Every listing with the reason it is removed for; ``removed_by`` NULL means kept.
 
     Rules come first; the outlier limits are taken from what the rules keep.
     """
     staged = rule_stage(listings, **rules)
-    passed = with_statistical_reason(staged.filter(F.col("rule_reason").isNull()))
-    failed = staged.filter(F.col("rule_reason").isNotNull())
-    return passed.unionByName(failed, allowMissingColumns=True).withColumn(
-        "removed_by", F.coalesce(F.col("rule_reason"), F.when(F.col("stat_reason").isNotNull(), "statistical"))
-    )
+    limits = group_limits(staged.filter(F.col("rule_reason").isNull()))
+    judged = _with_limits(staged, limits, GROUP)
+    return judged.withColumn(
+        "stat_reason", F.when(F.col("rule_reason").isNull(), F.col("stat_reason"))
+    ).withColumn("removed_by", F.coalesce("rule_reason", F.when(F.col("stat_reason").isNotNull(), "statistical")))
 
 
 def clean_listings(listings: DataFrame, **rules) -> DataFrame:
     """The listings that pass price bounds, title rules and the outlier limits."""
-    passed = rule_stage(listings, **rules).filter(F.col("rule_reason").isNull())
+    passed = listings.filter(rule_reason(**rules).isNull())
     return with_statistical_reason(passed).filter(F.col("stat_reason").isNull()).drop(
-        "kind", "rule_reason", "stat_reason", "lower_bound", "upper_bound"
+        "stat_reason", "lower_bound", "upper_bound"
     )
 
 
-def filter_report(filtered: DataFrame) -> DataFrame:
-    """Rows, price range and share per removal reason and product kind."""
+def filter_counts(listings: DataFrame, multiplier: float = 1.5, min_total: int = 5, min_group: int = 3, **rules) -> DataFrame:
+    """Listings counted by kind, group, price and removal reason.
+
+    The outcome of a listing depends on its group, price and rule reason only, so the
+    limits are found and applied on the counted rows: one scan, no join, and no listing
+    row is shuffled. Everything the filter reports is read off this table.
+    """
+    counts = (
+        rule_stage(with_kind(listings), **rules)
+        .groupBy(*GROUP, "kind", "rule_reason", "price")
+        .agg(F.count("*").alias("n_rows"))
+    )
+    passed = F.when(F.col("rule_reason").isNull(), F.col("n_rows")).otherwise(0)
+    product, whole = Window.partitionBy(*PRODUCT), Window.partitionBy(*GROUP)
+    by_price = whole.orderBy("price", "kind", "rule_reason").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumns({
+        "_price": F.col("price").cast("double"), "_passed": passed,
+    }).withColumn("_product_rows", F.sum("_passed").over(product)).withColumns({
+        "_upto": F.sum("_passed").over(by_price), "_n": F.sum("_passed").over(whole),
+    })
+    n, upto = F.col("_n"), F.col("_upto")
+
+    def rank(i: int) -> Column:
+        return F.greatest(F.lit(1), F.least(F.floor((n + 1) * i / 4), n - 1))
+
+    def value_at(position: Column) -> Column:
+        inside = (F.col("_passed") > 0) & (upto >= position) & (upto - F.col("_passed") < position)
+        return F.max(F.when(inside, F.col("_price"))).over(whole)
+
+    def quartile(i: int) -> Column:
+        weight = (n + 1) * i - rank(i) * 4
+        return (value_at(rank(i)) * (4 - weight) + value_at(rank(i) + 1) * weight) / 4
+
+    limited = ranked.withColumns({"_q1": quartile(1), "_q3": quartile(3)})
+    spread = F.col("_q3") - F.col("_q1")
+    judged = F.col("rule_reason").isNull() & (n >= min_group) & (F.col("_product_rows") >= min_total)
+    reason = (
+        F.when(judged & (F.col("_price") < F.col("_q1") - multiplier * spread), "extreme_low")
+        .when(judged & (F.col("_price") > F.col("_q3") + multiplier * spread), "extreme_high")
+    )
+    return limited.withColumn("stat_reason", reason).select(
+        *GROUP, "kind", "price", "n_rows", "stat_reason",
+        F.coalesce("rule_reason", F.when(F.col("stat_reason").isNotNull(), "statistical")).alias("removed_by"),
+    )
+
+
+def filter_report(counts: DataFrame) -> DataFrame:
+    """Rows and price range per kind and removal reason, from :func:`filter_counts`."""
     return (
-        filtered.filter(F.col("removed_by").isNotNull())
+        counts.filter(F.col("removed_by").isNotNull())
         .groupBy("kind", "removed_by", "stat_reason")
         .agg(
-            F.count("*").alias("removed"),
+            F.sum("n_rows").alias("removed"),
             F.min("price").cast("double").alias("lowest_price"),
             F.max("price").cast("double").alias("highest_price"),
         )
     )
 
 
-def removed_prices(filtered: DataFrame) -> DataFrame:
-    """Prices removed per class, as a histogram (price, rows): the list in bounded form."""
-    return price_histogram(
-        filtered.filter(F.col("removed_by").isNotNull()).withColumn(
-            "removal_class", F.when(F.col("removed_by") == "statistical", "statistical").otherwise("suspicious")
-        ),
-        ["removal_class"],
+def removed_prices(counts: DataFrame) -> DataFrame:
+    """Prices removed per class with their row counts: the price lists in bounded form."""
+    removal = F.when(F.col("removed_by") == "statistical", "statistical").otherwise("suspicious")
+    return counts.filter(F.col("removed_by").isNotNull()).groupBy(removal.alias("removal_class"), "price").agg(
+        F.sum("n_rows").alias("n_rows")
     )
 
 
-def filter_funnel(filtered: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def filter_funnel(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Rows removed at each stage (price, title, statistics), rows kept, shares of the original."""
-    def at(stage: str) -> Column:
-        return F.count_if(F.col("removed_by") == stage)
-
-    n = F.count("*")
-    counts = filtered.groupBy(*keys).agg(
-        n.alias("original_count"),
-        at("price_threshold").alias("price_removed"),
-        at("title_pattern").alias("title_removed"),
-        at("statistical").alias("stat_removed"),
-        F.count_if(F.col("removed_by").isNull()).alias("final_count"),
+    def rows(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col("n_rows"))), F.lit(0))
+
+    by = F.col("removed_by")
+    sums = counts.groupBy(*keys).agg(
+        F.sum("n_rows").alias("original_count"),
+        rows(by == "price_threshold").alias("price_removed"),
+        rows(by == "title_pattern").alias("title_removed"),
+        rows(by == "statistical").alias("stat_removed"),
+        rows(by.isNull()).alias("final_count"),
     )
     names = ("price_removed", "title_removed", "stat_removed", "final_count")
     shares = [half_up(ratio(F.col(c), F.col("original_count")) * 100, 2).alias(f"{c}_pct") for c in names]
-    return counts.select("*", *shares)
+    return sums.select("*", *shares)
 
 
 def card_outliers(listings: DataFrame, min_group: int = 5) -> DataFrame:
@@ -314,10 +384,13 @@ def _verdict(staged: DataFrame, reason: Column, score: Column, confidence: Mappi
 
 
 def rejection_stats(gated: DataFrame) -> DataFrame:
-    """Rejected listings per reason class and regex category."""
-    return gated.filter(~F.col("is_valid")).groupBy("reason_class", "invalid_category").agg(
-        F.count("*").alias("rejected")
-    )
+    """Rejected listings per reason class and regex category.
+
+    Rejections are counted, not filtered: a filter would be pushed below the gate and
+    run all its rules a second time.
+    """
+    counts = gated.groupBy("reason_class", "invalid_category").agg(F.count_if(~F.col("is_valid")).alias("rejected"))
+    return counts.filter(F.col("rejected") > 0)
 
 
 # -- titles against the catalog ------------------------------------------------------------------

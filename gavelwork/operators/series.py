@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gavelwork.functions import numbers, text
-from gavelwork.operators.histogram import price_histogram, weighted_median
+from gavelwork.operators.histogram import histogram_medians, price_histogram
 from gavelwork.rules import fixed
 
 KEY = ["product_id", "price_date", "source", "condition_category"]
@@ -36,10 +36,11 @@ def daily_median_series(listings: DataFrame, source: str | None = None, keep: tu
     """
     keys = [*keep, *KEY]
     counts = price_histogram(daily_rows(listings, source), keys)
-    return counts.groupBy(*keys).agg(
-        numbers.half_up(weighted_median(F.col("price"), F.col("n_rows")), 2).alias("price"),
-        numbers.half_up(F.least(F.lit(1.0), F.sum("n_rows") / 10), 2).alias("data_confidence"),
-        F.sum("n_rows").alias("listing_count"),
+    return histogram_medians(counts, keys).select(
+        *keys,
+        numbers.half_up(F.col("median"), 2).alias("price"),
+        numbers.half_up(F.least(F.lit(1.0), F.col("n_total") / 10), 2).alias("data_confidence"),
+        F.col("n_total").alias("listing_count"),
     )
 
 

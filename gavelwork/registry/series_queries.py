@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gavelwork.functions.numbers import half_up
 from gavelwork.operators import metrics, series
+from gavelwork.operators.histogram import histogram_medians, price_histogram
 from gavelwork.registry.base import (
     AS_OF, EVENT_SERIES, LISTINGS, SERIES, as_of, daily_series, day, days_as_text, hu, query, when, with_,
 )
@@ -116,14 +117,10 @@ def source_breakdown(spark, sf_dir):
 
 def event_series(spark, sf_dir):
     """Daily medians per user and event type; bounded by days x types per user."""
-    from gavelwork.operators.histogram import price_histogram, weighted_median
-
     points = views.chart_points(spark, sf_dir).withColumn("condition_category", F.lit("market"))
     keys = ["product_id", "price_date", "source", "condition_category"]
-    return (
-        price_histogram(points.filter(F.col("price") > 0), keys).groupBy(*keys)
-        .agg(half_up(weighted_median(F.col("price"), F.col("n_rows")), 2).alias("price"))
-    )
+    medians = histogram_medians(price_histogram(points.filter(F.col("price") > 0), keys), keys)
+    return medians.select(*keys, half_up(F.col("median"), 2).alias("price"))
 
 
 @query("event_daily_series", with_(EVENT_SERIES) + f"""

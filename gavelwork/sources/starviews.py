@@ -94,7 +94,7 @@ def listings(spark: SparkSession, sf_dir: str, with_created: bool = False) -> Da
         F.concat_ws(
             " ", card_name(shown), set_name(shown), pick(PHRASES, supp + line), number
         ).alias("title"),
-        (cents / 100).cast("decimal(10,2)").alias("price"),
+        (cents / 100).alias("price"),
         F.col("l_shipdate").alias("sold_date"),
         F.when(F.col("l_linestatus") == "O", "ebay").otherwise("pricecharting").alias("source"),
         graded.alias("is_graded"),
@@ -149,7 +149,7 @@ def chart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("point_id"),
         F.col("ts"),
         F.to_date("ts").alias("price_date"),
-        F.col("value").cast("decimal(10,2)").alias("price"),
+        F.col("value").alias("price"),
         F.col("event_type").alias("source"),
     )
 
