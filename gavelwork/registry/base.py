@@ -36,7 +36,7 @@ def days_as_text(rows: DataFrame) -> DataFrame:
     for name, kind in rows.dtypes:
         if kind == "date":
             columns.append(F.col(name).cast("string").alias(name))
-        elif kind == "timestamp":
+        elif kind in ("timestamp", "timestamp_ntz"):
             columns.append(F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name))
         elif kind.startswith("decimal"):
             columns.append(F.col(name).cast("double").alias(name))
