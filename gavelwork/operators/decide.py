@@ -257,12 +257,12 @@ def latest_per_key(rows: DataFrame, keys: list[str], newest: str, *ties: str) ->
     return rows.withColumn("_rank", F.row_number().over(by_age)).filter(F.col("_rank") == 1).drop("_rank")
 
 
-def analysis_history(analyses: DataFrame, product_ids, limit: int = 10) -> DataFrame:
-    """Newest analyses of some products, at most ``limit`` per product."""
+def analysis_history(analyses: DataFrame, product_ids=None, limit: int = 10) -> DataFrame:
+    """Newest analyses of the given products (of all without), at most ``limit`` each."""
     by_age = Window.partitionBy("product_id").orderBy(F.desc("analysis_date"))
+    rows = analyses if product_ids is None else analyses.filter(F.col("product_id").isin(*product_ids))
     return (
-        analyses.filter(F.col("product_id").isin(*product_ids))
-        .withColumn("_rank", F.row_number().over(by_age))
+        rows.withColumn("_rank", F.row_number().over(by_age))
         .filter(F.col("_rank") <= limit)
         .drop("_rank")
         .orderBy("product_id", F.desc("analysis_date"))

@@ -359,10 +359,10 @@ def cache_lookup(spark, sf_dir):
 
 @query("analysis_history", with_(_ANALYSES) + f"""
 SELECT product_id, {stamp('analysis_date')} AS analysis_date, recommendation FROM (
-  SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY analysis_date DESC) AS rn FROM analyses
-  WHERE product_id IN (1, 2, 5, 7)) WHERE rn <= 10""")
+  SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY analysis_date DESC) AS rn FROM analyses)
+WHERE rn <= 10""")
 def analysis_history(spark, sf_dir):
-    rows = decide.analysis_history(analyses(spark, sf_dir), [1, 2, 5, 7])
+    rows = decide.analysis_history(analyses(spark, sf_dir))
     return days_as_text(rows.select("product_id", "analysis_date", "recommendation"))
 
 
