@@ -88,13 +88,15 @@ def parse_sale_date(text: Column, year: Column) -> Column:
     plain = F.trim(F.regexp_replace(F.trim(text), r"(?i)^(Sold|Ended)\s*", ""))
     plain = F.regexp_replace(plain, r"\s+", " ")
     month_day = F.initcap(F.lower(plain))
-    tries = [
-        F.when(
-            plain.rlike(shape),
-            F.try_to_timestamp(month_day if pattern.startswith("MMM") else plain, F.lit(pattern)),
-        )
-        for shape, pattern in DATE_FORMATS
-    ]
+
+    def attempt(shape: str, pattern: str) -> Column:
+        value = F.try_to_timestamp(month_day if pattern.startswith("MMM") else plain, F.lit(pattern))
+        if pattern.endswith("/yy"):
+            # two-digit years from 69 on belong to the last century
+            value = F.when(F.year(value) >= 2069, value - F.expr("INTERVAL 100 YEARS")).otherwise(value)
+        return F.when(plain.rlike(shape), value)
+
+    tries = [attempt(shape, pattern) for shape, pattern in DATE_FORMATS]
     with_year = F.concat_ws(" ", month_day, year.cast("string"))
     tries.append(
         F.when(

@@ -83,9 +83,7 @@ def date_texts(spark, sf_dir):
     )
 
 
-# a two-digit year always means 20yy
-_PARSED = f"""CASE WHEN way IN (0, 1, 2, 4) THEN {stamp('d')}
-  WHEN way = 3 THEN '20' || strftime(d, '%y-%m-%d') || ' 00:00:00'
+_PARSED = f"""CASE WHEN way < 5 THEN {stamp('d')}
   WHEN way = 5 AND strftime(d, '%m-%d') <> '02-29' THEN '{_YEAR}-' || strftime(d, '%m-%d') || ' 00:00:00' END"""
 
 

@@ -67,13 +67,8 @@ def sealed_name(key: Column) -> Column:
     return F.concat_ws(" ", set_name(key), pick(KINDS, key))
 
 
-def listings(spark: SparkSession, sf_dir: str, with_created: bool = False) -> DataFrame:
-    """Sold listings, one per line item.
-
-    ``with_created`` joins the orders for ``created_at``; leave it off where the column
-    is not needed, the join is the one shuffle of this view.
-    """
-    item = read(spark, sf_dir, "lineitem")
+def listings_of(item: DataFrame) -> DataFrame:
+    """Listings of line items (a table or a stream); ``order_key`` leads to the order."""
     key, supp, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     shown = key + F.when(supp % 10 == 0, 1).otherwise(0)
     sealed = F.col("l_returnflag") == "A"
@@ -105,7 +100,16 @@ def listings(spark: SparkSession, sf_dir: str, with_created: bool = False) -> Da
         F.when(graded, pick(GRADERS, supp)).alias("grading_company"),
         F.col("l_orderkey").alias("order_key"),
     ]
-    view = item.select(*columns)
+    return item.select(*columns)
+
+
+def listings(spark: SparkSession, sf_dir: str, with_created: bool = False) -> DataFrame:
+    """Sold listings, one per line item.
+
+    ``with_created`` joins the orders for ``created_at``; leave it off where the column
+    is not needed, the join is the one shuffle of this view.
+    """
+    view = listings_of(read(spark, sf_dir, "lineitem"))
     if with_created:
         orders = read(spark, sf_dir, "orders").select(
             F.col("o_orderkey").alias("order_key"), F.col("o_orderdate").alias("created_at")
