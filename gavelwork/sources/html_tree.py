@@ -4,35 +4,40 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
+from html import unescape
 
-# Elements that never have an end tag.
-VOID = frozenset(
-    "area base br col embed hr img input link meta param source track wbr".split()
+# Elements that never have an end tag, and elements whose content is no markup.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset(("script", "style"))
+
+_MARKUP = re.compile(
+    r"""<!--.*?-->|<[!?][^>]*>
+    |<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>
+    |<(?P<end2>/)?(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>""",
+    re.S | re.X,
 )
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "parent", "children")
+    __slots__ = ("tag", "attrs", "classes", "parent", "children")
 
     def __init__(self, tag: str, attrs: dict, parent: "Element | None"):
         self.tag, self.attrs, self.parent = tag, attrs, parent
+        self.classes: list[str] = (attrs.get("class") or "").split()
         self.children: list = []
 
-    @property
-    def classes(self) -> list[str]:
-        return (self.attrs.get("class") or "").split()
-
     def walk(self) -> Iterator["Element"]:
         """Descendants in document order."""
-        stack = [c for c in reversed(self.children) if isinstance(c, Element)]
+        stack = [c for c in reversed(self.children) if not isinstance(c, str)]
         while stack:
             node = stack.pop()
             yield node
-            stack.extend(c for c in reversed(node.children) if isinstance(c, Element))
+            if node.children:
+                stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
 
     def texts(self) -> Iterator[str]:
-        stack = list(reversed(self.children))
+        stack = self.children[::-1]
         while stack:
             node = stack.pop()
             if isinstance(node, str):
@@ -56,45 +61,61 @@ class Element:
             node = node.parent
 
 
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Element("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        node = Element(tag, dict(attrs), self.at)
-        self.at.children.append(node)
-        if tag not in VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.at.children.append(Element(tag, dict(attrs), self.at))
-
-    def handle_endtag(self, tag):
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
-
-    def handle_data(self, data):
-        self.at.children.append(data)
-
-
-def parse(html: str) -> Element:
-    builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
-    return builder.root
+def _attributes(source: str) -> dict:
+    found = {}
+    for name, double, single, bare in _ATTRIBUTE.findall(source):
+        value = double or single or bare
+        found.setdefault(name.lower(), unescape(value) if "&" in value else value)
+    return found
+
+
+def parse(html: str | None) -> Element:
+    """Elements and texts of a page; an end tag closes the nearest open element of its name."""
+    html = html or ""
+    root = at = Element("", {}, None)
+    position = 0
+
+    def add_text(source: str) -> None:
+        if source:
+            at.children.append(unescape(source) if "&" in source else source)
+
+    match = _MARKUP.search(html)
+    while match:
+        add_text(html[position:match.start()])
+        position = match.end()
+        tag = match["tag"] or match["tag2"]
+        if tag:
+            tag = tag.lower()
+            source = match["attrs"] or match["attrs2"] or ""
+            if match["end"] or match["end2"]:
+                node = at
+                while node.parent is not None and node.tag != tag:
+                    node = node.parent
+                if node.parent is not None:
+                    at = node.parent
+            else:
+                node = Element(tag, _attributes(source) if source else {}, at)
+                at.children.append(node)
+                if tag in RAW:
+                    close = re.compile(rf"</{tag}\s*>", re.I).search(html, position)
+                    end = close.start() if close else len(html)
+                    if html[position:end]:
+                        node.children.append(html[position:end])
+                    position = close.end() if close else len(html)
+                elif tag not in VOID and not source.endswith("/"):
+                    at = node
+        match = _MARKUP.search(html, position)
+    add_text(html[position:])
+    return root
 
 
 def tagged(tag: str, token: str | None = None, like: str | None = None) -> Callable[[Element], bool]:
     """Test for a tag with a class token, or with a class token containing a text."""
     def test(node: Element) -> bool:
-        if tag != "*" and node.tag != tag:
+        if node.tag != tag and tag != "*":
             return False
         if token is not None and token not in node.classes:
             return False
-        return like is None or any(re.search(like, c) for c in node.classes)
+        return like is None or any(like in c for c in node.classes)
 
     return test

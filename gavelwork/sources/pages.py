@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from gavelwork.functions import text
 from gavelwork.sources.html_tree import Element, parse, tagged
@@ -19,30 +21,34 @@ DATE_CELL = r"^20\d{2}-\d{1,2}-\d{1,2}"
 PRICE = r"\$(\d+\.?\d*)"
 
 
-def _job(extract: Callable[[Element], Iterator[tuple]], columns: list[str]):
-    """``mapInPandas`` body: parse every page of the batch, emit the extracted rows."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _job(extract: Callable[[Element], Iterator[tuple]], schema: pa.Schema):
+    """``mapInArrow`` body: parse every page of the batch, emit the extracted rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
                 (url, *row)
-                for url, html in zip(batch["url"], batch["html"])
+                for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())
                 for row in extract(parse(html))
             ]
-            yield pd.DataFrame(rows, columns=["url", *columns])
+            columns = list(zip(*rows)) if rows else [()] * len(schema)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema
+            )
 
     return run
 
 
+def _extract(pages: DataFrame, extract: Callable[[Element], Iterator[tuple]], ddl: str) -> DataFrame:
+    """Rows of every page, with the columns of a DDL text."""
+    return pages.select("url", "html").mapInArrow(_job(extract, to_arrow_schema(StructType.fromDDL(ddl))), ddl)
+
+
 def _text(node: Element | None) -> str:
     return node.text(strip=True) if node is not None else ""
 
 
 # -- result pages ------------------------------------------------------------------------------
 
-ITEM_COLUMNS = [
-    "position", "title", "price_text", "listing_url", "condition", "attribute_rows", "options_text",
-    "bids_text", "shipping_text", "image_url", "caption", "item_text", "new_layout",
-]
 ITEM_SCHEMA = (
     "url string, position int, title string, price_text string, listing_url string, condition string,"
     " attribute_rows array<string>, options_text string, bids_text string, shipping_text string,"
@@ -71,43 +77,63 @@ def _items(page: Element) -> list[Element]:
     return []
 
 
-def _inner(item: Element, tag: str, token: str, span: str | None, any_span: bool = False) -> str:
-    node = item.first(tagged(tag, token))
-    if node is None:
-        return ""
-    return _text(node.first(tagged("span", None if any_span else span)))
+class _Index:
+    """First element of every (tag, class) below an item, from one walk."""
+
+    def __init__(self, item: Element):
+        self.found: dict[tuple[str, str], Element] = {}
+        self.rows: list[Element] = []
+        self.image: Element | None = None
+        for node in item.walk():
+            for name in node.classes:
+                self.found.setdefault((node.tag, name), node)
+            if node.tag == "img" and self.image is None:
+                self.image = node
+            elif node.tag == "div" and "s-card__attribute-row" in node.classes:
+                self.rows.append(node)
+
+    def text(self, tag: str, name: str) -> str:
+        return _text(self.found.get((tag, name)))
+
+    def span(self, tag: str, name: str, inner: str | None) -> str:
+        """Text of the first span (of a class, when given) inside an element."""
+        node = self.found.get((tag, name))
+        return "" if node is None else _text(node.first(tagged("span", inner)))
+
+    def link(self, name: str) -> str:
+        node = self.found.get(("a", name))
+        return "" if node is None else node.attrs.get("href") or ""
 
 
 def _item_rows(page: Element) -> Iterator[tuple]:
     for position, item in enumerate(_items(page)):
         new = "s-card" in item.classes
-        image = item.first(tagged("img"))
+        at = _Index(item)
+        image = at.image
         source = "" if image is None else image.attrs.get("data-defer-load") or image.attrs.get("src") or ""
         if new:
-            link = item.first(tagged("a", "su-link"))
-            caption = _inner(item, "div", "s-card__caption", "su-styled-text")
+            caption = at.span("div", "s-card__caption", "su-styled-text")
             row = (
-                _inner(item, "div", "s-card__title", "su-styled-text"),
-                _text(item.first(tagged("span", "s-card__price"))),
-                "" if link is None else link.attrs.get("href") or "",
-                _inner(item, "div", "s-card__subtitle", "su-styled-text"),
-                [n.text(strip=True) for n in item.all(tagged("div", "s-card__attribute-row"))],
+                at.span("div", "s-card__title", "su-styled-text"),
+                at.text("span", "s-card__price"),
+                at.link("su-link"),
+                at.span("div", "s-card__subtitle", "su-styled-text"),
+                [n.text(strip=True) for n in at.rows],
                 "", "", "",
                 source,
                 caption if "sold" in caption.lower() else "",
             )
         else:
-            link = item.first(tagged("a", "s-item__link"))
             dates = (_text(item.first(tagged(t, c, l))) for t, c, l in OLD_DATE_ELEMENTS)
             row = (
-                _inner(item, "div", "s-item__title", None, any_span=True),
-                _text(item.first(tagged("span", "s-item__price"))),
-                "" if link is None else link.attrs.get("href") or "",
-                _inner(item, "div", "s-item__subtitle", "SECONDARY_INFO"),
+                at.span("div", "s-item__title", None),
+                at.text("span", "s-item__price"),
+                at.link("s-item__link"),
+                at.span("div", "s-item__subtitle", "SECONDARY_INFO"),
                 [],
-                _text(item.first(tagged("span", "s-item__purchase-options"))),
-                _text(item.first(tagged("span", "s-item__bids"))),
-                _text(item.first(tagged("span", "s-item__shipping"))),
+                at.text("span", "s-item__purchase-options"),
+                at.text("span", "s-item__bids"),
+                at.text("span", "s-item__shipping"),
                 source,
                 next((d for d in dates if "sold" in d.lower() or "ended" in d.lower()), ""),
             )
@@ -120,7 +146,7 @@ def parse_listings(pages: DataFrame) -> DataFrame:
     Items without a title are dropped. ``sold_text`` is still text; see
     ``ingest.prepare_listings``.
     """
-    raw = pages.select("url", "html").mapInPandas(_job(_item_rows, ITEM_COLUMNS), ITEM_SCHEMA)
+    raw = _extract(pages, _item_rows, ITEM_SCHEMA)
     new = F.col("new_layout")
     low_rows = F.transform("attribute_rows", F.lower)
     auction_rows = F.filter(low_rows, lambda t: t.contains("bid") | t.contains("auction"))
@@ -226,7 +252,6 @@ def chart_arrays(pages: DataFrame) -> DataFrame:
 
 # -- tables and prices on chart pages -----------------------------------------------------------------
 
-TABLE_COLUMNS = ["table_index", "row_index", "headers", "cells", "price_table", "sales_table"]
 TABLE_SCHEMA = (
     "url string, table_index int, row_index int, headers array<string>,"
     " cells array<struct<text: string, header: boolean, numeric: boolean, off: boolean>>,"
@@ -277,14 +302,14 @@ def _table_rows(page: Element) -> Iterator[tuple]:
             for cell in row.all(lambda n: n.tag in ("td", "th")):
                 names = str(cell.classes).lower()
                 off = any(c in names for c in CELL_CLASSES) or _in_subscription_area(cell)
-                cells.append((cell.text().strip(), cell.tag == "th", "numeric" in names, off))
-            if any(c[0] for c in cells):
+                cells.append({"text": cell.text().strip(), "header": cell.tag == "th", "numeric": "numeric" in names, "off": off})
+            if any(c["text"] for c in cells):
                 yield index, number, shown, cells, rank, sales
 
 
 def page_tables(pages: DataFrame) -> DataFrame:
     """Every non-empty table row with its cells and the table's headers."""
-    return pages.select("url", "html").mapInPandas(_job(_table_rows, TABLE_COLUMNS), TABLE_SCHEMA)
+    return _extract(pages, _table_rows, TABLE_SCHEMA)
 
 
 def _last(array: Column) -> Column:
@@ -352,7 +377,6 @@ def summary_prices(tables: DataFrame) -> DataFrame:
     return labelled.groupBy("url", "condition").agg(F.min_by("price", order).alias("price"))
 
 
-NODE_COLUMNS = ["selector", "position", "text", "class_text", "parent_text", "off"]
 NODE_SCHEMA = (
     "url string, selector int, position int, text string, class_text string, parent_text string, off boolean"
 )
@@ -391,8 +415,7 @@ def _node_rows(selectors) -> Callable[[Element], Iterator[tuple]]:
 
 def _price_nodes(pages: DataFrame, selectors) -> DataFrame:
     return (
-        pages.select("url", "html")
-        .mapInPandas(_job(_node_rows(selectors), NODE_COLUMNS), NODE_SCHEMA)
+        _extract(pages, _node_rows(selectors), NODE_SCHEMA)
         .withColumn("price", _number(F.col("text")))
         .withColumn("_context", F.lower(F.concat_ws(" ", "class_text", "parent_text")))
     )
@@ -440,11 +463,11 @@ def _detail_rows(page: Element) -> Iterator[tuple]:
         key, colon, value = node.text().strip().partition(":")
         if colon:
             details[key.strip().lower()] = value.strip()
-    yield (None if heading is None else heading.text().strip()), details
+    yield (None if heading is None else heading.text().strip()), list(details.items())
 
 
 def product_details(pages: DataFrame) -> DataFrame:
     """Heading and ``key: value`` lines of every page."""
-    return pages.select("url", "html").mapInPandas(_job(_detail_rows, ["title", "details"]), DETAIL_SCHEMA)
+    return _extract(pages, _detail_rows, DETAIL_SCHEMA)
 
 
