@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
@@ -16,6 +17,9 @@ def literal_words(words: Iterable[str]) -> Column:
 
 def any_contains(text: Column, words: Iterable[str]) -> Column:
     """True when the text contains any of the words (plain substrings)."""
+    words = list(words)
+    if len(words) > 30:  # a loop over a literal array keeps the generated code small
+        return F.exists(literal_words(words), lambda w: text.contains(w))
     test = F.lit(False)
     for word in words:
         test = test | text.contains(word)
@@ -29,9 +33,44 @@ def all_contain(text: Column, words: Iterable[str]) -> Column:
     return test
 
 
-def alternation(patterns: Iterable[str]) -> str:
-    """One regex for many: a row is scanned once per rule class, not once per rule."""
-    return "|".join(f"(?:{p})" for p in patterns)
+def required_literal(pattern: str) -> str:
+    """A piece of plain text every match of the pattern must contain, or empty text.
+
+    The longest run of letters outside groups, classes and optional characters.
+    """
+    plain = pattern
+    while True:
+        fewer = re.sub(r"\([^()]*\)[?*+]?", "#", plain)
+        if fewer == plain:
+            break
+        plain = fewer
+    if "|" in plain:
+        return ""
+    plain = re.sub(r"\[[^\]]*\][?*+]?", "#", plain)
+    plain = re.sub(r"\\.[?*+]?", "#", plain)
+    plain = re.sub(r".[?*]", "#", plain)
+    return max(re.findall(r"[a-z/ -]+", plain), key=lambda run: len(run.strip()), default="").strip()
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Regex test on lower-case text, tried only where the pattern's literal part occurs.
+
+    A substring test costs a fraction of a regex search, and most rules do not apply to
+    most titles. Patterns without any regex syntax need no regex at all.
+    """
+    if re.fullmatch(r"[a-z0-9 |]+", pattern):
+        return any_contains(text, pattern.split("|"))
+    literal = required_literal(pattern)
+    return text.contains(literal) & text.rlike(pattern) if literal else text.rlike(pattern)
+
+
+def any_matches(text: Column, patterns: Iterable[str]) -> Column:
+    """True when any pattern is found: one regex for all of them, tried only on texts that
+    hold the literal part of one."""
+    patterns = list(patterns)
+    literals = list(dict.fromkeys(required_literal(p) for p in patterns))
+    found = text.rlike("|".join(f"(?:{p})" for p in patterns))
+    return found if "" in literals else F.exists(literal_words(literals), lambda w: text.contains(w)) & found
 
 
 def first_match(tests: Sequence[tuple[Column, Column]], otherwise: Column | None = None) -> Column:
@@ -139,7 +178,7 @@ def title_numbers(title: Column) -> Column:
 
 def title_set(title: Column, patterns=fixed.TITLE_SETS) -> Column:
     low = F.lower(title)
-    return first_match([(low.rlike(p), F.lit(name)) for name, p in patterns], F.lit(""))
+    return first_match([(matches(low, p), F.lit(name)) for name, p in patterns], F.lit(""))
 
 
 def title_name(title: Column, names=fixed.TITLE_NAMES) -> Column:
@@ -198,15 +237,14 @@ def clean_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(spaced, r"\s+", " "))
 
 
-def main_name(text: Column, names=fixed.MAIN_NAMES) -> Column:
-    """First known name in the cleaned text, else its first word."""
-    clean = clean_name(text)
+def main_name(clean: Column, names=fixed.MAIN_NAMES) -> Column:
+    """First known name in a cleaned text (:func:`clean_name`), else its first word."""
     known = first_match([(clean.contains(n), F.lit(n)) for n in names])
     return F.coalesce(known, F.split(clean, " ")[0], F.lit(""))
 
 
 def has_set_phrase(title: Column, phrases=fixed.SET_PHRASES) -> Column:
-    return F.lower(title).rlike("|".join(phrases))
+    return any_contains(F.lower(title), phrases)
 
 
 def fuzzy_match(left: Column, right: Column, stop_words=fixed.MATCH_STOP_WORDS) -> Column:
@@ -263,7 +301,7 @@ def rarity_rank(rarity: Column) -> Column:
 def product_kind(name: Column, product_type: Column, patterns=fixed.KIND_PATTERNS) -> Column:
     """Kind of product from its name, first pattern that matches."""
     low = F.lower(name)
-    chain = first_match([(low.rlike(p), F.lit(kind)) for p, kind in patterns])
+    chain = first_match([(matches(low, p), F.lit(kind)) for p, kind in patterns])
     return F.coalesce(
         chain,
         F.when(product_type == "card", F.lit("card")).otherwise(F.lit(fixed.DEFAULT_SEALED_KIND)),

@@ -312,6 +312,16 @@ def with_previous_return(points: DataFrame, key: str = "product_id") -> DataFram
     return points.withColumn("_previous_return", F.lag("returns").over(by_day))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation of the rows that have both values; NULL when one is constant.
+
+    (``corr`` raises on a constant column in ANSI mode.)
+    """
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def distribution_columns() -> list[Column]:
     """Moments of the returns, Jarque-Bera p value, lag-1 autocorrelation, class."""
     skew, kurt = F.skewness("returns"), F.kurtosis("returns")
@@ -325,7 +335,7 @@ def distribution_columns() -> list[Column]:
         half_up(kurt, 3).alias("kurtosis"),
         normal.alias("is_normal_distribution"),
         F.round(p_value, 4).alias("jarque_bera_pvalue"),
-        half_up(F.corr("returns", "_previous_return"), 3).alias("autocorrelation_lag1"),
+        half_up(correlation("returns", "_previous_return"), 3).alias("autocorrelation_lag1"),
         F.when(normal, "normal").when(kurt > 3, "fat-tailed").otherwise("thin-tailed").alias("distribution_type"),
     ]
 

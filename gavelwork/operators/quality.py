@@ -25,7 +25,7 @@ def by_kind(build, name: str = "product_name", product_type: str = "product_type
     """
     low = F.lower(F.col(name))
     tail = F.when(F.col(product_type) == "card", build("card")).otherwise(build(fixed.DEFAULT_SEALED_KIND))
-    return text.first_match([(low.rlike(p), build(k)) for p, k in fixed.KIND_PATTERNS], tail)
+    return text.first_match([(text.matches(low, p), build(k)) for p, k in fixed.KIND_PATTERNS], tail)
 
 
 def with_kind(listings: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def suspicious_title(title: Column, kind: str, patterns: Mapping = fixed.SUSPICI
                      required: Mapping = fixed.REQUIRED_WORDS) -> Column:
     """A title with a bad pattern of the kind, or without the words the kind requires."""
     low = F.lower(title)
-    test = low.rlike(text.alternation(patterns[kind])) if kind in patterns else F.lit(False)
+    test = text.any_matches(low, patterns[kind]) if kind in patterns else F.lit(False)
     if kind == "booster_box":
         test = test | ~(
             low.contains("booster box")
@@ -266,12 +266,12 @@ def card_outliers(listings: DataFrame, min_group: int = 5) -> DataFrame:
 
 
 def _invalid_category(title: Column, rules: Mapping) -> Column:
-    """First rule class with a pattern in the title; one regex per class."""
-    return text.first_match([(title.rlike(text.alternation(p)), F.lit(c)) for c, p in rules.items()])
+    """First rule class with a pattern in the title."""
+    return text.first_match([(text.any_matches(title, p), F.lit(c)) for c, p in rules.items()])
 
 
 def _hits(title: Column, patterns: Sequence[str]) -> Column:
-    return total([flag(title.rlike(p)) for p in patterns])
+    return total([flag(text.matches(title, p)) for p in patterns])
 
 
 def gate_v2(listings: DataFrame, expected: str | None = "product_name", sealed: Column | None = None) -> DataFrame:
@@ -330,7 +330,7 @@ def gate_v1(listings: DataFrame, expected: str | None = "product_name") -> DataF
     contained = F.lit(False) if expected is None else title.contains(F.lower(F.col(expected)))
     staged = listings.withColumns({
         "_invalid": _invalid_category(title, fixed.GATE_V1_INVALID),
-        "_named": title.rlike("|".join(fixed.GATE_V1_NAMES)),
+        "_named": text.any_contains(title, fixed.GATE_V1_NAMES),
         "_valid": _hits(title, fixed.GATE_V1_VALID),
     })
     named, word = F.col("_named"), title.contains("pokemon")
@@ -399,20 +399,29 @@ def rejection_stats(gated: DataFrame) -> DataFrame:
 def title_mismatches(listings: DataFrame) -> DataFrame:
     """Listings whose title disagrees with their card: up to four reasons, confidence = count.
 
-    Needs ``card_name``, ``set_name``, ``card_number`` beside the listing.
+    Needs ``card_name``, ``set_name``, ``card_number`` beside the listing. Rows without a
+    reason are dropped by exploding, not by a filter: a filter would be pushed below the
+    cleaned names and work them out again for every test.
     """
-    name, title = text.clean_name(F.col("card_name")), text.clean_name(F.col("title"))
-    wanted_set = text.clean_name(F.col("set_name"))
-    expected, found = text.main_name(F.col("card_name")), text.main_name(F.col("title"))
-    numbers = text.title_numbers(F.col("title"))
+    blank = F.lit("")
+    present = (F.coalesce("card_name", blank) != "") & (F.coalesce("title", blank) != "")
+    cleaned = listings.filter(present).withColumns({
+        "_name": text.clean_name(F.col("card_name")),
+        "_title": text.clean_name(F.col("title")),
+        "_set": text.clean_name(F.col("set_name")),
+        "_numbers": text.title_numbers(F.col("title")),
+    })
+    name, title, wanted_set, numbers = (F.col(c) for c in ("_name", "_title", "_set", "_numbers"))
+    named = cleaned.withColumns({"_expected": text.main_name(name), "_found": text.main_name(title)})
+    expected, found = F.col("_expected"), F.col("_found")
     set_differs = (
         (F.length("set_name") > 3)
         & ~title.contains(wanted_set)
-        & ~text.fuzzy_match(wanted_set, title)
         & text.has_set_phrase(F.col("title"))
+        & ~text.fuzzy_match(wanted_set, title)
     )
     number_differs = (
-        (F.coalesce(F.col("card_number"), F.lit("")) != "")
+        (F.coalesce(F.col("card_number"), blank) != "")
         & (F.size(numbers) > 0)
         & ~F.array_contains(numbers, F.col("card_number"))
     )
@@ -425,12 +434,11 @@ def title_mismatches(listings: DataFrame) -> DataFrame:
         F.when(set_differs, F.concat(F.lit("Potential set mismatch: expected "), F.col("set_name"))),
         F.when(number_differs, F.concat(F.lit("Card number mismatch: expected "), F.col("card_number"))),
     ))
-    present = (F.coalesce("card_name", F.lit("")) != "") & (F.coalesce("title", F.lit("")) != "")
+    judged = named.withColumn("_reasons", reasons).drop("_name", "_title", "_set", "_numbers", "_expected", "_found")
     return (
-        listings.filter(present)
-        .withColumn("mismatch_reasons", reasons)
+        judged.withColumn("mismatch_reasons", F.explode(F.when(F.size("_reasons") > 0, F.array("_reasons"))))
+        .drop("_reasons")
         .withColumn("confidence", F.size("mismatch_reasons").cast("bigint"))
-        .filter(F.col("confidence") > 0)
     )
 
 

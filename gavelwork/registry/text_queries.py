@@ -167,12 +167,15 @@ def paired(spark, sf_dir):
 SELECT listing_id, ct AS clean_title, {main_sql('ct')} AS title_name, {fuzzy_sql('cn', 'ct')} AS name_matches,
   {fuzzy_sql('full_name', 'ct')} AS full_name_matches FROM paired""")
 def fuzzy_match(spark, sf_dir):
-    title = text.clean_name(F.col("title"))
-    full = text.clean_name(F.concat_ws(" ", "set_name", "card_name"))
-    return paired(spark, sf_dir).select(
-        "listing_id", title.alias("clean_title"), text.main_name(F.col("title")).alias("title_name"),
-        text.fuzzy_match(text.clean_name(F.col("card_name")), title).alias("name_matches"),
-        text.fuzzy_match(full, title).alias("full_name_matches"),
+    rows = paired(spark, sf_dir).withColumns({
+        "clean_title": text.clean_name(F.col("title")), "name": text.clean_name(F.col("card_name")),
+        "full_name": text.clean_name(F.concat_ws(" ", "set_name", "card_name")),
+    })
+    title = F.col("clean_title")
+    return rows.select(
+        "listing_id", title, text.main_name(title).alias("title_name"),
+        text.fuzzy_match(F.col("name"), title).alias("name_matches"),
+        text.fuzzy_match(F.col("full_name"), title).alias("full_name_matches"),
     )
 
 
