@@ -160,7 +160,7 @@ SELECT count(DISTINCT listing_url) AS urls, count(DISTINCT listing_url) AS rows,
 def incremental_ingest(spark, sf_dir):
     """Every URL is stored once, whatever the horizon; which of its rows is the first to arrive is open."""
     table = stream.ingest_once(spark, stream.dedup(landed(spark, sf_dir)))
-    known = rows(spark, sf_dir).select("listing_id", F.lit(1).alias("_known"))
+    known = rows(spark, sf_dir).select("listing_id").distinct().withColumn("_known", F.lit(1))
     checked = table.join(known, "listing_id", "left")
     total = rows(spark, sf_dir).agg(F.count_distinct("product_id").alias("n")).scalar()
     return checked.agg(
@@ -177,7 +177,8 @@ def touched_refresh(spark, sf_dir):
 
     table, state = scratch_path(spark, "touched-table"), scratch_path(spark, "touched-state")
     points, summary = scratch_path(spark, "touched-series"), scratch_path(spark, "touched-summary")
-    source = landed(spark, sf_dir).withColumn("listing_url", F.col("listing_id")).withColumn(
+    url = F.concat_ws("-", "listing_id", F.format_string("%.2f", "price"))
+    source = landed(spark, sf_dir).withColumn("listing_url", url).withColumn(
         "search_strategy", search_strategy(F.col("search_terms"), F.col("product_type") == "sealed")
     )
     refresh = stream.refresh_touched(table, points, summary, as_of())
