@@ -109,7 +109,8 @@ def with_drawdown(points: DataFrame, key: str = "product_id") -> DataFrame:
 def drawdown_columns() -> list[Column]:
     """Deepest drawdown, its length in days, and days until the peak is reached again."""
     recovered = (F.col("ord") >= F.col("trough.ord")) & (F.col("price") >= F.col("trough.peak_price"))
-    trough = F.first("trough")
+    # the trough is the same on every row of a product
+    trough = {f: F.max(f"trough.{f}") for f in ("drawdown", "ord", "price_date", "peak_date")}
     back_at = F.min(F.when(recovered, F.col("price_date")))
     return [
         half_up(trough["drawdown"] * 100, 2).alias("max_drawdown_pct"),
@@ -280,11 +281,12 @@ def _technical_from_raw() -> list[Column]:
 
 
 def with_tails(points: DataFrame, key: str = "product_id") -> DataFrame:
-    """Historical 5 % and 1 % percentiles of the product's returns, on every row."""
+    """5 %, 1 % and 50 % percentiles of the product's returns, on every row."""
     whole = Window.partitionBy(key)
-    return points.withColumn("_var_95", F.percentile("returns", 0.05).over(whole)).withColumn(
-        "_var_99", F.percentile("returns", 0.01).over(whole)
-    )
+    levels = points.withColumn("_levels", F.percentile("returns", [0.05, 0.01, 0.5]).over(whole))
+    return levels.withColumns({
+        "_var_95": F.col("_levels")[0], "_var_99": F.col("_levels")[1], "_median_return": F.col("_levels")[2],
+    }).drop("_levels")
 
 
 def var_columns() -> list[Column]:
@@ -329,7 +331,7 @@ def distribution_columns() -> list[Column]:
     normal = F.coalesce(p_value > 0.05, F.lit(False))
     return [
         half_up(F.avg("returns") * 100, 4).alias("mean_return_pct"),
-        half_up(F.percentile("returns", 0.5) * 100, 4).alias("median_return_pct"),
+        half_up(F.max("_median_return") * 100, 4).alias("median_return_pct"),
         half_up(F.stddev_samp("returns") * 100, 2).alias("std_return_pct"),
         half_up(skew, 3).alias("skewness"),
         half_up(kurt, 3).alias("kurtosis"),
@@ -341,7 +343,8 @@ def distribution_columns() -> list[Column]:
 
 
 def return_distribution(points: DataFrame, key: str = "product_id") -> DataFrame:
-    return with_previous_return(_gate(points, "distribution"), key).groupBy(key).agg(*distribution_columns())
+    rows = with_tails(with_previous_return(_gate(points, "distribution"), key), key)
+    return rows.groupBy(key).agg(*distribution_columns())
 
 
 # -- seasonality and timing --------------------------------------------------------------------
@@ -415,15 +418,22 @@ def _seasonality_from_raw() -> list[Column]:
     ]
 
 
+def with_range(points: DataFrame, key: str = "product_id") -> DataFrame:
+    """Support and resistance: quartiles of the newest 90 prices, on every row."""
+    levels = F.percentile(_newest(90, F.col("price")), [0.25, 0.75]).over(Window.partitionBy(key))
+    return points.withColumn("_range", levels).withColumns({
+        "_low_quartile": F.col("_range")[0], "_high_quartile": F.col("_range")[1],
+    }).drop("_range")
+
+
 def _timing_raw() -> list[Column]:
     columns = []
     for size in (30, 90):
         near = _newest(size, F.col("price"))
         columns += [F.min(near).alias(f"_low_{size}"), F.max(near).alias(f"_high_{size}")]
-    near = _newest(90, F.col("price"))
     return columns + [
-        F.percentile(near, 0.25).alias("_support"),
-        F.percentile(near, 0.75).alias("_resistance"),
+        F.max("_low_quartile").alias("_support"),
+        F.max("_high_quartile").alias("_resistance"),
         last_price().alias("_now"),
     ]
 
@@ -450,7 +460,7 @@ def _timing_from_raw() -> list[Column]:
 
 def market_timing(points: DataFrame, key: str = "product_id") -> DataFrame:
     """Place of the newest price in its recent range, support, resistance, entry signal."""
-    raw = _gate(points, "timing").groupBy(key).agg(*_timing_raw())
+    raw = with_range(_gate(points, "timing"), key).groupBy(key).agg(*_timing_raw())
     return raw.select(key, *_timing_from_raw())
 
 
@@ -464,11 +474,12 @@ def _gate(points: DataFrame, block: str) -> DataFrame:
 def metric_bundle(series: DataFrame, key: str = "product_id", risk_free: float = fixed.RISK_FREE_RATE) -> DataFrame:
     """Every block as one struct column per product; a block is NULL below its gate.
 
-    One exchange, one sort and one aggregate for all eight blocks.
+    One exchange, one sort and one aggregate for all eight blocks. Percentiles are window
+    values of the product's points, so the aggregate itself holds plain numbers only.
     """
     points = with_returns(series, key)
     points = with_rolling_spread(with_previous_return(with_change(with_drawdown(points, key), key), key), key)
-    points = with_tails(_gate(points, "returns"), key)
+    points = with_range(with_tails(_gate(points, "returns"), key), key)
     raw = points.groupBy(key).agg(
         F.count("*").alias("total_points"),
         F.min("price_date").alias("start_date"),

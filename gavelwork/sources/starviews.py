@@ -41,7 +41,10 @@ AS_OF = "2001-11-05"
 EVENTS_AS_OF = "2024-01-31"
 
 
-FACTS = ("lineitem", "events", "orders", "documents", "pages", "conversations")
+FACT_KEYS = {
+    "lineitem": "l_orderkey", "events": "event_id", "orders": "o_orderkey", "documents": "doc_id", "pages": "page_id",
+    "conversations": "conv_id",
+}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,8 +55,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if table in FACTS and rows.rdd.getNumPartitions() < cores:
-        return rows.repartition(cores)
+    if table in FACT_KEYS and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores, FACT_KEYS[table])
     return rows
 
 
