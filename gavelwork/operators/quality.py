@@ -126,16 +126,25 @@ def filter_listings(listings: DataFrame, **rules) -> DataFrame:
     Rules come first; the outlier limits are taken from what the rules keep.
     """
     staged = rule_stage(listings, **rules)
-    limits = group_limits(staged.filter(F.col("rule_reason").isNull()))
+    limits = group_limits(keep_where(listings, rule_reason(**rules).isNull()))
     judged = _with_limits(staged, limits, GROUP)
     return judged.withColumn(
         "stat_reason", F.when(F.col("rule_reason").isNull(), F.col("stat_reason"))
     ).withColumn("removed_by", F.coalesce("rule_reason", F.when(F.col("stat_reason").isNotNull(), "statistical")))
 
 
+def keep_where(rows: DataFrame, test: Column) -> DataFrame:
+    """Rows that pass a costly test, by exploding a one-element array.
+
+    A filter would be pushed through the projections below it, where every mention of a
+    computed column in the test works that column out again.
+    """
+    return rows.withColumn("_kept", F.explode(F.when(test, F.array(F.lit(1))))).drop("_kept")
+
+
 def clean_listings(listings: DataFrame, **rules) -> DataFrame:
     """The listings that pass price bounds, title rules and the outlier limits."""
-    passed = listings.filter(rule_reason(**rules).isNull())
+    passed = keep_where(listings, rule_reason(**rules).isNull())
     return with_statistical_reason(passed).filter(F.col("stat_reason").isNull()).drop(
         "stat_reason", "lower_bound", "upper_bound"
     )

@@ -97,7 +97,7 @@ def suspicious_titles(spark, sf_dir):
 SELECT listing_id, product_id, source, condition_category, price, stat_reason FROM filtered WHERE stat_reason IS NOT NULL""")
 def iqr_outliers(spark, sf_dir):
     rows = quality.filter_listings(listings(spark, sf_dir))
-    return rows.filter(F.col("stat_reason").isNotNull()).select(
+    return quality.keep_where(rows, F.col("stat_reason").isNotNull()).select(
         "listing_id", "product_id", "source", "condition_category", "price", "stat_reason"
     )
 
