@@ -158,3 +158,11 @@ def data_quality_score(summary: DataFrame) -> DataFrame:
         days.alias("date_range_days"),
         F.least(F.lit(1.0), points / 100).alias("quality_score"),
     )
+
+
+def listing_date_range(listings: DataFrame) -> DataFrame:
+    """Earliest and latest day of every product's listings, creation before sale."""
+    seen = F.coalesce(F.col("created_at"), F.col("sold_date"))
+    return listings.groupBy("product_type", "product_id").agg(
+        F.min(seen).alias("earliest"), F.max(seen).alias("latest")
+    )

@@ -6,7 +6,7 @@ from gavelwork.functions.numbers import half_up
 from gavelwork.operators import metrics, series
 from gavelwork.operators.histogram import histogram_medians, price_histogram
 from gavelwork.registry.base import (
-    AS_OF, EVENT_SERIES, LISTINGS, SERIES, as_of, daily_series, day, days_as_text, hu, query, when, with_,
+    AS_OF, CREATED, EVENT_SERIES, LISTINGS, SERIES, as_of, daily_series, day, days_as_text, hu, query, stamp, when, with_,
 )
 from gavelwork.rules import fixed
 from gavelwork.sources import starviews as views
@@ -127,3 +127,11 @@ def event_series(spark, sf_dir):
 SELECT product_id, {day('price_date')} AS price_date, source, condition_category, price FROM series""")
 def event_daily_series(spark, sf_dir):
     return days_as_text(event_series(spark, sf_dir))
+
+
+@query("listing_date_range", with_(LISTINGS, CREATED) + f"""
+SELECT product_type, product_id, {stamp('min(coalesce(created_at, sold_date))')} AS earliest,
+  {stamp('max(coalesce(created_at, sold_date))')} AS latest
+FROM created GROUP BY ALL""")
+def listing_date_range(spark, sf_dir):
+    return days_as_text(series.listing_date_range(views.listings(spark, sf_dir, with_created=True)))

@@ -129,3 +129,20 @@ def test_stream_ingest_is_incremental(spark, tmp_path):
     land("b", [("5", "u1", 1.0, 20), ("6", "u3", 1.0, 20)])  # u1 is past the horizon, the table still knows it
     assert run() == ["u1", "u2", "u3"]
     assert run() == ["u1", "u2", "u3"]
+
+
+def test_freshness_of_names(spark):
+    as_of = F.lit("2024-03-01").cast("timestamp")
+    listings = spark.sql("""
+      SELECT 'card' product_type, id product_id, timestamp '2024-03-01' - make_dt_interval(age) created_at
+      FROM VALUES (1, 3), (1, 40), (2, 10), (3, 60) AS t(id, age)""")
+    products = spark.createDataFrame([("card", i, f"p{i}") for i in range(1, 5)], "product_type string, product_id int, product_name string")
+    checked = decide.freshness(products.withColumn("set_name", F.lit("s")), listings, as_of, 7)
+    found = spark.createDataFrame(
+        [("a", "card", 1), ("b", "card", 2), ("c", "card", 3), ("d", "card", 4), ("e", None, None)],
+        "query string, product_type string, product_id int")
+    got = {r.query: (r.recommended_action, r.days_old) for r in decide.freshness_of_names(found, checked).collect()}
+    assert got == {
+        "a": ("use_cache", 3), "b": ("scrape_pricecharting_only", 10), "c": ("scrape_both", 60), "d": ("scrape_both", None),
+        "e": ("full_setup", None),
+    }
