@@ -6,11 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from gavelwork import registry
 from tests.conftest import SF
 from tools.compare import TABLES, rows_of
 
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+QUERIES = {name: contract.queries()[name] for name in registry.QUERIES}
+SQL = {name: contract.oracle_sql()[name] for name in registry.SQL}
 EAGER = {"incremental_ingest", "touched_refresh", "stream_daily_counts", "series_merge"}
 
 
