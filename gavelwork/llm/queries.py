@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelwork.llm import exact_dedup, mixing, packing, quality, simhash, token_files
+from gavelwork.llm import exact_dedup, language, license_scan, mixing, packing, pii, quality, simhash, token_files, vectors
 from gavelwork.llm.common import documents, fold
 from gavelwork.session import scratch_path
 
@@ -16,6 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Key of the queries; a deployment gives its own secret to ``pii.pseudonymise``.
+PSEUDONYM_KEY = b"key of the registered query only."
 
 
 def query(name: str, sql: str | None = None):
@@ -42,6 +44,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
+@query("op5_near_vectors")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query("op6_token_files")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "tokens")
@@ -62,6 +69,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+@query("op8_language")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.train(language.training_rows(docs))
+    found = docs.select("doc_id", (fold("doc_id", language.FOLDS) == language.HELD).alias("held_out"), language.labelled_of(spark, model).alias("r"))
+    changes = F.greatest(F.size("r.spans") - 1, F.lit(0))
+    return found.select("doc_id", "held_out", F.col("r.lang").alias("lang_pred"), F.col("r.score").alias("score"), changes.alias("changes"))
+
+
 @query("op9_simhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir))
@@ -70,3 +86,45 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(documents(spark, sf_dir), TOKENIZER)
+
+
+def _license_sql() -> str:
+    def quoted(items):
+        return "[" + ", ".join("'" + i + "'" for i in items) + "]"
+
+    rows = ", ".join(
+        f"('{name}', {quoted(license_scan.template_bigrams(body))})" for name, body in license_scan.TEMPLATES
+    )
+    return f"""
+WITH t(license, bigrams) AS (VALUES {rows}),
+plain AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\\n]+', ' ', 'g') AS p FROM documents),
+blocks AS (SELECT *, string_split(regexp_replace(p, '\\n[ \\n]*\\n', chr(1), 'g'), chr(1)) AS b, string_split(p, chr(10)) AS l FROM plain),
+units AS (
+  SELECT doc_id, 'line' AS unit, unnest(range(len(l))) AS place, unnest(l) AS body FROM blocks
+  UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph' AS unit, unnest(range(len(b))) AS place, unnest(b) AS body FROM blocks WHERE len(b) > 1)
+    WHERE contains(body, chr(10))
+  UNION ALL SELECT doc_id, 'text', 0, p FROM plain WHERE contains(p, chr(10))
+),
+parts AS (
+  SELECT doc_id, unit, place, string_split_regex(trim(replace(body, chr(10), ' ')), ' +') AS w FROM units
+),
+sets AS (
+  SELECT doc_id, unit, place, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS own FROM parts WHERE len(w) > 1
+),
+scores AS (
+  SELECT doc_id, unit, place, license, 2.0::DOUBLE * len(list_intersect(own, bigrams)) / (len(own) + len(bigrams)) AS dice
+  FROM sets JOIN t ON 2 * least(len(own), len(bigrams)) >= {license_scan.THRESHOLD} * (len(own) + len(bigrams))
+)
+SELECT doc_id, unit, CAST(place AS INTEGER) AS place, license, dice FROM scores WHERE dice >= {license_scan.THRESHOLD}
+QUALIFY row_number() OVER (PARTITION BY doc_id, unit, place ORDER BY dice DESC, license) = 1"""
+
+
+@query("op1_license_scan", _license_sql())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+@query("op2_pii")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), PSEUDONYM_KEY)
+    return rows.select("doc_id", "text", "pii.*")
