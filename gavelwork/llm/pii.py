@@ -134,8 +134,8 @@ def _ssn(text: str, move) -> str | None:
 
 
 def _phone(text: str, move) -> str | None:
-    """All digits but the country's are permuted."""
-    country = re.match(r"\+[0-9]{1,3}(?=[ .(-])|\+1|", text).end()
+    """All digits but the country's are permuted; written together, the first stands for the country."""
+    country = re.match(r"\+[0-9]{1,3}(?=[ .(-])|\+[0-9]|", text).end()
     digits = "".join(filter(_digit, text[country:]))
     if not 7 <= len(digits) <= 14:
         return None
