@@ -17,7 +17,8 @@ from gavelwork.llm.features import code_points, ngrams, word_hashes
 BUCKETS, DIMENSIONS, SIZES = 1 << 16, 8, (2, 3, 4)
 #: Bounds of the labelled sample that the model is fitted on: documents and characters in all.
 SAMPLE_DOCS, SAMPLE_CHARS = 5_000, 30_000_000
-EPOCHS, BATCH, RATE, SEED = 6, 50, 0.1, 7
+#: Steps of descent, whatever the sample's size: six passes over a full one.
+STEPS, BATCH, RATE, SEED = 600, 50, 0.1, 7
 #: Labels of one document in FOLDS are held out.
 FOLDS, THRESHOLD = 5, 0.3
 _AGAIN = BUCKETS  # the pair of a word with itself, whatever the word
@@ -62,7 +63,7 @@ def _score(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
     return 1 / (1 + np.exp(-(total / np.maximum(n, 1) + bias)))
 
 
-def fit(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE) -> Model:
+def fit(texts: list[str], labels: list[int], seed: int = SEED, steps: int = STEPS, batch: int = BATCH, rate: float = RATE) -> Model:
     """Minibatch stochastic gradient descent with per-weight step sizes (AdaGrad)."""
     rng = np.random.default_rng(seed)
     bounds, codes, distinct = words.split(words.as_array(pa.array(texts, pa.string())))
@@ -92,24 +93,26 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = EPO
         past += gradient ** 2
         values -= rate * gradient / np.sqrt(past)
 
-    order = np.arange(len(target))
-    batches = [order[i:i + batch] for i in range(0, len(order), batch)]
-    for _ in range(epochs if len(order) else 0):
-        for b in rng.permutation(len(batches)):
-            docs = batches[b]
-            ids, share, place = features_of(docs)
-            held = model.vectors[ids]
-            mean = np.stack([np.bincount(place, share * held[:, d], len(docs)) for d in range(DIMENSIONS)], 1)
-            odds = mean @ model.weights.T + model.bias
-            odds = np.exp(odds - odds.max(1, keepdims=True))
-            error = odds / odds.sum(1, keepdims=True)
-            error[np.arange(len(docs)), target[docs]] -= 1
-            error /= len(docs)
-            back = error @ model.weights
-            gradient = np.stack([np.bincount(ids, share * back[place, d], _ROWS) for d in range(DIMENSIONS)], 1)
-            step(model.weights, error.T @ mean, power[1])
-            step(model.bias, error.sum(0), power[2])
-            step(model.vectors, gradient, power[0])
+    drawn = iter([])
+    for _ in range(steps if len(target) else 0):
+        docs = next(drawn, None)
+        if docs is None:
+            order = rng.permutation(len(target))
+            drawn = iter([order[i:i + batch] for i in range(0, len(order), batch)])
+            docs = next(drawn)
+        ids, share, place = features_of(docs)
+        held = model.vectors[ids]
+        mean = np.stack([np.bincount(place, share * held[:, d], len(docs)) for d in range(DIMENSIONS)], 1)
+        odds = mean @ model.weights.T + model.bias
+        odds = np.exp(odds - odds.max(1, keepdims=True))
+        error = odds / odds.sum(1, keepdims=True)
+        error[np.arange(len(docs)), target[docs]] -= 1
+        error /= len(docs)
+        back = error @ model.weights
+        gradient = np.stack([np.bincount(ids, share * back[place, d], _ROWS) for d in range(DIMENSIONS)], 1)
+        step(model.weights, error.T @ mean, power[1])
+        step(model.bias, error.sum(0), power[2])
+        step(model.vectors, gradient, power[0])
     return model
 
 
