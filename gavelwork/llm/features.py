@@ -35,30 +35,28 @@ def word_hashes(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def ngrams(distinct: Sequence[str], sizes: Sequence[int], buckets: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the features of each word and the word of each feature, in word order.
+    """Buckets of the features of all words and the word of each feature, in no order.
 
     Features are the character n-grams of the word between its edges and, if asked for, the
     word itself. A word shorter than an n-gram has none of that size.
     """
     points, starts = code_points(distinct)
-    owner = np.repeat(np.arange(len(starts)), np.diff([*starts, len(points)]))
-    wide = points.astype(np.uint64)
+    owner = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff([*starts, len(points)]))
     found, owners = [], []
     if whole:
-        found.append(word_hashes(points, starts) % np.uint64(buckets))
-        owners.append(np.arange(len(starts)))
+        found.append((word_hashes(points, starts) % np.uint64(buckets)).astype(np.int32))
+        owners.append(np.arange(len(starts), dtype=np.int32))
     for n in sizes:
         if len(points) < n:
             continue
-        inside = np.flatnonzero(owner[:len(points) - n + 1] == owner[n - 1:])
+        inside = np.flatnonzero(owner[:len(points) - n + 1] == owner[n - 1:]).astype(np.int32)
+        key = np.full(len(inside), n, np.uint64)
         with np.errstate(over="ignore"):
-            key = np.full(len(inside), n, np.uint64)
             for k in range(n):
-                key = key * _M1 + wide[inside + k]
-        found.append(_mixed(key) % np.uint64(buckets))
+                key *= _M1
+                key += points[inside + k]
+        found.append((_mixed(key) % np.uint64(buckets)).astype(np.int32))
         owners.append(owner[inside])
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    feature, word = np.concatenate(found).astype(np.int64), np.concatenate(owners)
-    order = np.argsort(word, kind="stable")
-    return feature[order], word[order]
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    return np.concatenate(found), np.concatenate(owners)

@@ -25,6 +25,8 @@ PENALTY, WORD_LIMIT = 12.0, 4.0
 #: Part of a language's letters that must be of a script for the script to allow the language.
 SCRIPT_SHARE = 0.005
 UNKNOWN = "und"
+#: Bytes of text that are labelled in one step.
+STEP_BYTES = 4_000_000
 
 # First code point of each range, and the script it belongs to (Unicode blocks).
 _RANGES = (
@@ -99,7 +101,7 @@ def train(rows: DataFrame) -> Model:
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
             texts = pc.utf8_lower(words.as_array(batch.column(1)))
-            for a, b in words.steps(texts):
+            for a, b in words.steps(texts, STEP_BYTES):
                 bounds, codes, distinct = words.split(texts.slice(a, b - a))
                 feature, owner = ngrams(distinct, SIZES, BUCKETS, whole=False)
                 scripts = _scripts(distinct)
@@ -220,7 +222,7 @@ def labelled_of(spark: SparkSession, model: Model, text: str = "text", penalty:
         own, out = held.value, []
         names = own.languages
         texts = pc.utf8_lower(words.as_array(column))
-        for a, b in words.steps(texts) if names else []:
+        for a, b in words.steps(texts, STEP_BYTES) if names else []:
             bounds, codes, distinct = words.split(texts.slice(a, b - a))
             by_word, has = word_scores(distinct, own)
             letters = _scripts(distinct).sum(1)[codes]

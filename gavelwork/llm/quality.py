@@ -14,11 +14,13 @@ from gavelwork.llm import words
 from gavelwork.llm.common import fold, saved, text_or_empty
 from gavelwork.llm.features import code_points, ngrams, word_hashes
 
-BUCKETS, DIMENSIONS, SIZES = 1 << 16, 8, (2, 3, 4)
+BUCKETS, DIMENSIONS, SIZES = 1 << 16, 4, (2, 3, 4)
 #: Bounds of the labelled sample that the model is fitted on: documents and characters in all.
-SAMPLE_DOCS, SAMPLE_CHARS = 5_000, 30_000_000
-#: Steps of descent, whatever the sample's size: six passes over a full one.
-STEPS, BATCH, RATE, SEED = 600, 50, 0.1, 7
+SAMPLE_DOCS, SAMPLE_CHARS = 3_000, 15_000_000
+#: Steps of descent, whatever the sample's size: four passes over a full one.
+STEPS, BATCH, RATE, SEED = 240, 50, 0.5, 7
+#: Bytes of text scored in one step.
+SCORE_BYTES = 4_000_000
 #: Labels of one document in FOLDS are held out.
 FOLDS, THRESHOLD = 5, 0.3
 _AGAIN = BUCKETS  # the pair of a word with itself, whatever the word
@@ -68,7 +70,8 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED, steps: int = STEP
     rng = np.random.default_rng(seed)
     bounds, codes, distinct = words.split(words.as_array(pa.array(texts, pa.string())))
     feature, owner = ngrams(distinct, SIZES, BUCKETS)
-    first = np.searchsorted(owner, np.arange(len(distinct) + 1))
+    feature = feature[np.argsort(owner, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(distinct)))])
     pairs, pair_bounds = _pairs(codes, word_hashes(*code_points(distinct)), bounds)
     target = np.asarray(labels, np.int64)
     model = Model(rng.uniform(-1, 1, (_ROWS, DIMENSIONS)) / DIMENSIONS, np.zeros((2, DIMENSIONS)), np.zeros(2))
@@ -159,7 +162,7 @@ def score_of(spark: SparkSession, model: Model, text: str = "text") -> Column:
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
         texts = words.as_array(column)
-        scores = [_score(texts.slice(a, b - a), *held.value) for a, b in words.steps(texts)]
+        scores = [_score(texts.slice(a, b - a), *held.value) for a, b in words.steps(texts, SCORE_BYTES)]
         return pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
 
     return score(text_or_empty(text))
