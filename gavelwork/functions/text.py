@@ -17,13 +17,7 @@ def literal_words(words: Iterable[str]) -> Column:
 
 def any_contains(text: Column, words: Iterable[str]) -> Column:
     """True when the text contains any of the words (plain substrings)."""
-    words = list(words)
-    if len(words) > 30:  # a loop over a literal array keeps the generated code small
-        return F.exists(literal_words(words), lambda w: text.contains(w))
-    test = F.lit(False)
-    for word in words:
-        test = test | text.contains(word)
-    return test
+    return F.exists(literal_words(words), lambda w: text.contains(w))
 
 
 def all_contain(text: Column, words: Iterable[str]) -> Column:
@@ -89,6 +83,11 @@ def extract(text: Column, pattern: str, group: int = 1) -> Column:
     return empty_to_null(F.regexp_extract(text, pattern, group))
 
 
+def product_key(product_type: str = "product_type", product_id: str = "product_id") -> Column:
+    """Key of a product in series and analyses: card n and sealed product n are two products."""
+    return F.concat_ws("-", product_type, F.col(product_id).cast("string"))
+
+
 # -- prices and dates ------------------------------------------------------------------
 
 

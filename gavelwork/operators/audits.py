@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gavelwork.functions import text
 from gavelwork.functions.numbers import half_up, ratio
 from gavelwork.operators.histogram import exclusive_quartiles, price_histogram, weighted_mean, weighted_median
+from gavelwork.operators.quality import join_groups
 from gavelwork.rules import fixed
 
 
@@ -178,7 +179,8 @@ def series_outlier_audit(series: DataFrame, keys: Sequence[str] = ("product_id",
                          min_group: int = 3) -> DataFrame:
     """Per group: count, range, median, moderate and extreme outliers.
 
-    Read off the price histogram alone; the series rows are not joined again.
+    Read off the price histogram alone; the series rows are not joined again. NULL in a key
+    is a value of its own.
     """
     keys = list(keys)
     counts = price_histogram(series, keys)
@@ -191,11 +193,11 @@ def series_outlier_audit(series: DataFrame, keys: Sequence[str] = ("product_id",
     def rows(test: Column) -> Column:
         return F.coalesce(F.sum(F.when(test, n)), F.lit(0))
 
-    return counts.join(limits, keys).groupBy(*keys).agg(
+    return join_groups(counts, limits.drop("min_price", "max_price"), keys, "inner").groupBy(*keys).agg(
         F.sum("n_rows").alias("points"),
         F.min(p).alias("min_price"),
         F.max(p).alias("max_price"),
-        half_up(weighted_median(p, n), 4).alias("median_price"),
+        half_up(F.max("median"), 4).alias("median_price"),
         rows(out).alias("outliers"),
         rows(far).alias("extreme_outliers"),
     )

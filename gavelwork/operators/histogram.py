@@ -60,7 +60,7 @@ def weighted_mean(price: Column, n_rows: Column) -> Column:
 
 
 def exclusive_quartiles(histogram: DataFrame, keys: Sequence[str], price: str = "price") -> DataFrame:
-    """q1 and q3 per group by the exclusive method, with the group size.
+    """q1 and q3 per group by the exclusive method, with the median and the group size.
 
     Rank i(n+1)/4 of the sorted values, clamped to the first and last pair and
     interpolated between the two neighbours. Groups with fewer than two rows get NULL.
@@ -91,6 +91,7 @@ def exclusive_quartiles(histogram: DataFrame, keys: Sequence[str], price: str =
         value_at(rank(1) + 1).alias("_b1"),
         value_at(rank(3)).alias("_a3"),
         value_at(rank(3) + 1).alias("_b3"),
+        ((value_at(F.floor((n + 1) / 2)) + value_at(F.floor((n + 2) / 2))) / 2).alias("median"),
     )
 
     def blend(i: int) -> Column:
@@ -100,5 +101,5 @@ def exclusive_quartiles(histogram: DataFrame, keys: Sequence[str], price: str =
 
     return found.select(
         *keys, "n_total", "min_price", "max_price",
-        blend(1).alias("q1"), blend(3).alias("q3"),
+        blend(1).alias("q1"), blend(3).alias("q3"), "median",
     )

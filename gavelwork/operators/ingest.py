@@ -74,8 +74,14 @@ def keyed_merge(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], new
 
 
 def insert_missing(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Incoming rows whose key is not stored (insert, on conflict do nothing)."""
-    return incoming.dropDuplicates(list(keys)).join(stored.select(*keys), list(keys), "left_anti")
+    """Incoming rows whose key is not stored (insert, on conflict do nothing).
+
+    Of several incoming rows of a key the first by its other columns, as text, is inserted.
+    """
+    others = [F.col(f"`{c}`").cast("string").asc_nulls_last() for c in incoming.columns if c not in keys]
+    first = Window.partitionBy(*keys).orderBy(*(others or [F.lit(1)]))
+    once = incoming.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") == 1).drop("_rank")
+    return once.join(stored.select(*keys), list(keys), "left_anti")
 
 
 def surrogate_key(*columns: str) -> Column:
@@ -86,7 +92,7 @@ def surrogate_key(*columns: str) -> Column:
 def ensure_products(products: DataFrame, candidates: DataFrame, as_of: Column) -> DataFrame:
     """The product table with a row for every candidate (type, id, name, set)."""
     fresh = insert_missing(products, candidates, ["product_type", "product_id"]).select(
-        surrogate_key("product_type", "product_id").alias("id"),
+        text.product_key().alias("id"),
         "product_type", "product_id", "product_name", "set_name",
         as_of.alias("last_data_update"),
         F.lit(0.5).cast("decimal(3,2)").alias("data_quality_score"),

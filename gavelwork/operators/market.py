@@ -167,10 +167,11 @@ def sealed_market_summary(listings: DataFrame, trends: DataFrame, as_of: Column,
     """
     summary = price_summary(listings.filter(F.col("product_type") == "sealed"), as_of)
     trend = trends.select(
-        "product_id",
+        F.col("product_id").alias("_key"),
         F.when(F.col("trend_strength") <= flat_pct, "stable").otherwise(F.col("trend_direction")).alias("price_trend"),
     )
-    return summary.join(trend, "product_id", "left").select(
+    key = F.concat_ws("-", F.lit("sealed"), F.col("product_id").cast("string"))
+    return summary.join(trend, key == F.col("_key"), "left").select(
         F.col("product_id").alias("sealed_product_id"),
         "avg_price",
         F.col("min_price").alias("lowest_price"),

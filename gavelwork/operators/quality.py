@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gavelwork.functions import text
 from gavelwork.functions.numbers import flag, half_up, ratio, total
-from gavelwork.operators.histogram import exclusive_quartiles, price_histogram, weighted_median
+from gavelwork.operators.histogram import exclusive_quartiles, price_histogram
 from gavelwork.rules import fixed
 
 
@@ -102,9 +102,16 @@ def group_limits(rows: DataFrame, product: Sequence[str] = PRODUCT, group: Seque
     )
 
 
+def join_groups(rows: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on the keys where NULL is a value of its own, as it is in a grouping."""
+    renamed = other.select([F.col(c).alias(f"_by_{c}") if c in keys else F.col(c) for c in other.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in keys]
+    return rows.join(renamed, same, how).drop(*[f"_by_{k}" for k in keys])
+
+
 def _with_limits(rows: DataFrame, limits: DataFrame, group: Sequence[str]) -> DataFrame:
     price = F.col("price").cast("double")
-    return rows.join(limits, list(group), "left").withColumn(
+    return join_groups(rows, limits, group).withColumn(
         "stat_reason",
         F.when(price < F.col("lower_bound"), "extreme_low").when(price > F.col("upper_bound"), "extreme_high"),
     )
@@ -126,7 +133,7 @@ def filter_listings(listings: DataFrame, **rules) -> DataFrame:
     Rules come first; the outlier limits are taken from what the rules keep.
     """
     staged = rule_stage(listings, **rules)
-    limits = group_limits(keep_where(listings, rule_reason(**rules).isNull()))
+    limits = group_limits(keep_where(staged, F.col("rule_reason").isNull()))
     judged = _with_limits(staged, limits, GROUP)
     return judged.withColumn(
         "stat_reason", F.when(F.col("rule_reason").isNull(), F.col("stat_reason"))
@@ -150,8 +157,9 @@ def clean_listings(listings: DataFrame, **rules) -> DataFrame:
     )
 
 
-def filter_counts(listings: DataFrame, multiplier: float = 1.5, min_total: int = 5, min_group: int = 3, **rules) -> DataFrame:
-    """Listings counted by kind, group, price and removal reason.
+def filter_counts(listings: DataFrame, multiplier: float = 1.5, min_total: int = 5, min_group: int = 3,
+                  by: Sequence[str] = (), **rules) -> DataFrame:
+    """Listings counted by kind, group, price, removal reason and the further columns ``by``.
 
     The outcome of a listing depends on its group, price and rule reason only, so the
     limits are found and applied on the counted rows: one scan, no join, and no listing
@@ -159,12 +167,12 @@ def filter_counts(listings: DataFrame, multiplier: float = 1.5, min_total: int =
     """
     counts = (
         rule_stage(with_kind(listings), **rules)
-        .groupBy(*GROUP, "kind", "rule_reason", "price")
+        .groupBy(*GROUP, "kind", "rule_reason", "price", *by)
         .agg(F.count("*").alias("n_rows"))
     )
     passed = F.when(F.col("rule_reason").isNull(), F.col("n_rows")).otherwise(0)
     product, whole = Window.partitionBy(*PRODUCT), Window.partitionBy(*GROUP)
-    by_price = whole.orderBy("price", "kind", "rule_reason").rowsBetween(Window.unboundedPreceding, 0)
+    by_price = whole.orderBy("price", "kind", "rule_reason", *by).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumns({
         "_price": F.col("price").cast("double"), "_passed": passed,
     }).withColumn("_product_rows", F.sum("_passed").over(product)).withColumns({
@@ -191,7 +199,7 @@ def filter_counts(listings: DataFrame, multiplier: float = 1.5, min_total: int =
         .when(judged & (F.col("_price") > F.col("_q3") + multiplier * spread), "extreme_high")
     )
     return limited.withColumn("stat_reason", reason).select(
-        *GROUP, "kind", "price", "n_rows", "stat_reason",
+        *GROUP, "kind", *by, "price", "n_rows", "stat_reason",
         F.coalesce("rule_reason", F.when(F.col("stat_reason").isNotNull(), "statistical")).alias("removed_by"),
     )
 
@@ -237,27 +245,21 @@ def filter_funnel(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def card_outliers(listings: DataFrame, min_group: int = 5) -> DataFrame:
     """Listings outside 1.5 (moderate) or 3 (extreme) quartile spreads of card x condition."""
-    keys = ["product_id", "normal_condition"]
+    keys = ["product_type", "product_id", "normal_condition"]
+    keys = keys if "product_type" in listings.columns else keys[1:]
     rows = listings.filter(F.col("product_id").isNotNull() & (F.col("price") > 0)).withColumn(
         "normal_condition", text.normal_condition(F.col("condition"))
     )
-    counts = price_histogram(rows, keys)
-    median = counts.groupBy(*keys).agg(weighted_median(F.col("price"), F.col("n_rows")).alias("median"))
     spread = F.col("q3") - F.col("q1")
-    limits = (
-        exclusive_quartiles(counts, keys)
-        .filter(F.col("n_total") >= min_group)
-        .join(median, keys)
-        .select(
-            *keys, "q1", "q3", "median",
-            (F.col("q1") - 1.5 * spread).alias("lower_bound"),
-            (F.col("q3") + 1.5 * spread).alias("upper_bound"),
-            (F.col("q1") - 3 * spread).alias("_extreme_low"),
-            (F.col("q3") + 3 * spread).alias("_extreme_high"),
-        )
+    limits = exclusive_quartiles(price_histogram(rows, keys), keys).filter(F.col("n_total") >= min_group).select(
+        *keys, "q1", "q3", "median",
+        (F.col("q1") - 1.5 * spread).alias("lower_bound"),
+        (F.col("q3") + 1.5 * spread).alias("upper_bound"),
+        (F.col("q1") - 3 * spread).alias("_extreme_low"),
+        (F.col("q3") + 3 * spread).alias("_extreme_high"),
     )
     price = F.col("price").cast("double")
-    flagged = rows.join(limits, keys).withColumn(
+    flagged = join_groups(rows, limits, keys, "inner").withColumn(
         "outlier_type",
         F.when((price < F.col("_extreme_low")) | (price > F.col("_extreme_high")), "extreme")
         .when((price < F.col("lower_bound")) | (price > F.col("upper_bound")), "moderate"),

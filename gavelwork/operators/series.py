@@ -9,34 +9,44 @@ from gavelwork.functions import numbers, text
 from gavelwork.operators.histogram import histogram_medians, price_histogram
 from gavelwork.rules import fixed
 
+#: ``product_id`` of a series is the key of the product (its type and id, see ``text.product_key``).
 KEY = ["product_id", "price_date", "source", "condition_category"]
 
 
+def series_key(listings: DataFrame) -> DataFrame:
+    """Adds ``_day`` (the written calendar date of the sale, else of the creation) and ``_slot``,
+    the condition class of a series."""
+    day = F.col("sold_date")
+    if "created_at" in listings.columns:
+        day = F.coalesce(day, F.col("created_at"))
+    return listings.withColumns({
+        "_day": F.to_date(day), "_slot": text.condition_slot(F.col("is_graded"), F.col("condition_category")),
+    })
+
+
 def daily_rows(listings: DataFrame, source: str | None = None) -> DataFrame:
     """Listings that can enter a series, with their series key.
 
-    The day is the written calendar date of the sale, else of the creation; rows
-    without a day or with a price that is not positive are left out.
+    Rows without a day or with a price that is not positive are left out. Listings with a
+    product type get the product's key in place of its id.
     """
-    day = F.col("sold_date")
-    if "created_at" in listings.columns:
-        day = F.coalesce(day, F.col("created_at"))
-    rows = listings.withColumn("price_date", F.to_date(day)).withColumn(
-        "condition_category", text.condition_slot(F.col("is_graded"), F.col("condition_category"))
-    )
+    rows = series_key(listings).withColumns({"price_date": F.col("_day"), "condition_category": F.col("_slot")}).drop("_day", "_slot")
     if source is not None:
         rows = rows.withColumn("source", F.lit(source))
+    if "product_type" in listings.columns:
+        rows = rows.withColumn("product_id", text.product_key())
     return rows.filter((F.col("price") > 0) & F.col("price_date").isNotNull())
 
 
-def daily_median_series(listings: DataFrame, source: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per product, day, source and condition: median price, confidence, count.
-
-    ``keep`` names further columns that depend on the product only (its type, say).
-    """
+def medians_of_counts(counts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Series rows from listings counted by series key and price (``n_rows``)."""
     keys = [*keep, *KEY]
-    counts = price_histogram(daily_rows(listings, source), keys)
-    return histogram_medians(counts, keys).select(
+    histogram = counts.groupBy(*keys, "price").agg(F.sum("n_rows").alias("n_rows"))
+    return _series_rows(histogram, keys)
+
+
+def _series_rows(histogram: DataFrame, keys: list[str]) -> DataFrame:
+    return histogram_medians(histogram, keys).select(
         *keys,
         numbers.half_up(F.col("median"), 2).alias("price"),
         numbers.half_up(F.least(F.lit(1.0), F.col("n_total") / 10), 2).alias("data_confidence"),
@@ -44,6 +54,15 @@ def daily_median_series(listings: DataFrame, source: str | None = None, keep: tu
     )
 
 
+def daily_median_series(listings: DataFrame, source: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per product, day, source and condition: median price, confidence, count.
+
+    ``keep`` names further columns that depend on the product only (its type, say).
+    """
+    keys = [*keep, *KEY]
+    return _series_rows(price_histogram(daily_rows(listings, source), keys), keys)
+
+
 def sample_titles(listings: DataFrame, source: str | None = None, n: int = 3) -> DataFrame:
     """The first ``n`` titles (by listing id) behind each series point.
 

@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gavelwork.functions import text
 from gavelwork.operators import decide, ingest, metrics, quality, series
 
 
 def aggregate_listings(listings: DataFrame, source: str | None = None, filtered: bool = True) -> DataFrame:
-    """Quality filter, then daily median series (the product type is kept)."""
-    rows = quality.clean_listings(listings) if filtered else listings
-    return series.daily_median_series(rows, source, keep=("product_type",))
+    """Quality filter, then daily median series (the product type is kept).
+
+    The filter's outcome hangs on group, price and rule reason only, so listings are counted
+    by these and the series key, limits are found on the counts, and the medians are read off
+    the counts that are left: one scan, no join, and no listing row is shuffled.
+    """
+    if not filtered:
+        return series.daily_median_series(listings, source, keep=("product_type",))
+    keyed = series.series_key(listings)
+    counts = quality.filter_counts(keyed, by=("_day", "_slot")).filter(F.col("removed_by").isNull())
+    rows = counts.filter((F.col("price") > 0) & F.col("_day").isNotNull()).select(
+        "product_type", text.product_key().alias("product_id"), F.col("_day").alias("price_date"),
+        (F.col("source") if source is None else F.lit(source)).alias("source"), F.col("_slot").alias("condition_category"),
+        "price", "n_rows",
+    )
+    return series.medians_of_counts(rows, keep=("product_type",))
 
 
 def filtered_series(points: DataFrame) -> DataFrame:

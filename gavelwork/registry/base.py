@@ -180,9 +180,10 @@ chart_now AS (
   FROM part WHERE p_size > 10
 )"""
 
+PRODUCT_KEY = "concat_ws('-', product_type, product_id)"
 SERIES = f"""
 series AS (
-  SELECT product_id, CAST(sold_date AS DATE) AS price_date, source, condition_category,
+  SELECT {PRODUCT_KEY} AS product_id, CAST(sold_date AS DATE) AS price_date, source, condition_category,
     {hu('median(price)', 2)} AS price,
     {hu('least(1.0, count(*) / 10.0)', 2)} AS data_confidence,
     count(*) AS listing_count

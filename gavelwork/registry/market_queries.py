@@ -144,10 +144,11 @@ trends AS (
   SELECT product_id, CASE WHEN early IS NULL THEN 'stable' WHEN {hu('coalesce(abs(late - early) / early, 0) * 100', 2)} <= 5 THEN 'stable'
     WHEN late > early THEN 'rising' ELSE 'falling' END AS price_trend FROM thirds
 )""") + f"""
-SELECT product_id AS sealed_product_id, {hu('avg(price)', 4)} AS avg_price, min(price) AS lowest_price, max(price) AS highest_price,
+SELECT listings.product_id AS sealed_product_id, {hu('avg(price)', 4)} AS avg_price, min(price) AS lowest_price, max(price) AS highest_price,
   count(*) AS total_sales, count(*) FILTER (WHERE sold_date >= {NOW} - INTERVAL 30 DAY) AS sales_last_30_days,
   coalesce(any_value(price_trend), 'stable') AS price_trend
-FROM listings LEFT JOIN trends USING (product_id) WHERE product_type = 'sealed' GROUP BY product_id""")
+FROM listings LEFT JOIN trends ON trends.product_id = concat_ws('-', listings.product_type, listings.product_id)
+WHERE product_type = 'sealed' GROUP BY listings.product_id""")
 def sealed_market_summary(spark, sf_dir):
     points = daily_series(spark, sf_dir).filter(F.col("condition_category") == "sealed")
     return market.sealed_market_summary(listings(spark, sf_dir), metrics.trend_thirds(points), as_of())

@@ -519,7 +519,7 @@ def set_series(spark, sf_dir):
         rows.withColumns({
             "product_id": views.set_name(F.col("product_id")), "source": F.lit("all"),
             "is_graded": F.lit(False), "condition_category": F.lit("raw"),
-        })
+        }).drop("product_type")
     )
 
 

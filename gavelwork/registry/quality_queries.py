@@ -6,7 +6,7 @@ from gavelwork.functions.numbers import half_up
 from gavelwork.operators import audits, decide, quality
 from gavelwork.plans import analysis
 from gavelwork.registry.base import (
-    CARDS, LISTINGS, SERIES, all_in, any_in, any_match, daily_series, day, days_as_text, hu, listings, matches,
+    CARDS, LISTINGS, PRODUCT_KEY, SERIES, all_in, any_in, any_match, daily_series, day, days_as_text, hu, listings, matches,
     query, quoted, when, with_, words,
 )
 from gavelwork.rules import fixed
@@ -155,7 +155,7 @@ def wrongly_removed(spark, sf_dir):
 
 
 @query("clean_daily_series", with_(*ALL_RULES) + f"""
-SELECT product_type, product_id, {day('sold_date')} AS price_date, source, condition_category,
+SELECT product_type, {PRODUCT_KEY} AS product_id, {day('sold_date')} AS price_date, source, condition_category,
   {hu('median(price)', 2)} AS price, {hu('least(1.0, count(*) / 10.0)', 2)} AS data_confidence, count(*) AS listing_count
 FROM filtered WHERE removed_by IS NULL AND price > 0 GROUP BY 1, 2, 3, 4, 5""")
 def clean_daily_series(spark, sf_dir):
@@ -170,11 +170,11 @@ _NORMAL = """CASE WHEN contains(lower(condition), 'psa 10') THEN 'PSA 10' WHEN c
 
 @query("card_outliers", with_(LISTINGS, f"""
 normal AS (SELECT *, {_NORMAL} AS normal_condition FROM listings WHERE price > 0),
-arrays AS (SELECT product_id, normal_condition, list_sort(list(price)) AS a FROM normal GROUP BY ALL HAVING count(*) >= 5),
-bounds AS (SELECT product_id, normal_condition, {exclusive('a', 1)} AS q1, {exclusive('a', 3)} AS q3, list_median(a) AS median FROM arrays)""") + f"""
+arrays AS (SELECT product_type, product_id, normal_condition, list_sort(list(price)) AS a FROM normal GROUP BY ALL HAVING count(*) >= 5),
+bounds AS (SELECT product_type, product_id, normal_condition, {exclusive('a', 1)} AS q1, {exclusive('a', 3)} AS q3, list_median(a) AS median FROM arrays)""") + f"""
 SELECT listing_id, product_id, normal_condition, price, {hu('q1', 4)} AS q1, {hu('q3', 4)} AS q3, {hu('median', 4)} AS median,
   CASE WHEN price < q1 - 3 * (q3 - q1) OR price > q3 + 3 * (q3 - q1) THEN 'extreme' ELSE 'moderate' END AS outlier_type
-FROM normal JOIN bounds USING (product_id, normal_condition)
+FROM normal JOIN bounds USING (product_type, product_id, normal_condition)
 WHERE price < q1 - 1.5 * (q3 - q1) OR price > q3 + 1.5 * (q3 - q1)""")
 def card_outliers(spark, sf_dir):
     rows = quality.card_outliers(listings(spark, sf_dir))

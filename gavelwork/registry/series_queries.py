@@ -6,7 +6,7 @@ from gavelwork.functions.numbers import half_up
 from gavelwork.operators import metrics, series
 from gavelwork.operators.histogram import histogram_medians, price_histogram
 from gavelwork.registry.base import (
-    AS_OF, CREATED, EVENT_SERIES, LISTINGS, SERIES, as_of, daily_series, day, days_as_text, hu, query, stamp, when, with_,
+    AS_OF, CREATED, EVENT_SERIES, LISTINGS, PRODUCT_KEY, SERIES, as_of, daily_series, day, days_as_text, hu, query, stamp, when, with_,
 )
 from gavelwork.rules import fixed
 from gavelwork.sources import starviews as views
@@ -20,11 +20,11 @@ def daily_median_series(spark, sf_dir):
 
 
 @query("sample_titles", with_(LISTINGS) + f"""
-SELECT product_id, {day('price_date')} AS price_date, source, condition_category,
+SELECT {PRODUCT_KEY} AS product_id, {day('price_date')} AS price_date, source, condition_category,
   string_agg(title, ' | ' ORDER BY rank) AS titles
 FROM (
   SELECT *, CAST(sold_date AS DATE) AS price_date, row_number() OVER (
-    PARTITION BY product_id, CAST(sold_date AS DATE), source, condition_category ORDER BY listing_id) AS rank
+    PARTITION BY product_type, product_id, CAST(sold_date AS DATE), source, condition_category ORDER BY listing_id) AS rank
   FROM listings WHERE price > 0)
 WHERE rank <= 3 GROUP BY 1, 2, 3, 4""")
 def sample_titles(spark, sf_dir):
