@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gavelwork.functions import text
-from gavelwork.session import scratch_path
 
 
 def prepare_listings(rows: DataFrame, sealed: Column, as_of: Column) -> DataFrame:
@@ -144,36 +143,46 @@ def append(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None
     rows.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def overwrite(rows: DataFrame, path: str) -> None:
-    """Replace a parquet table with rows that may be read from it.
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """True if the folder holds a table that was committed."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(folder) and any(
+        not f.getPath().getName().startswith(("_", ".")) for f in files.listStatus(folder)
+    )
 
-    The rows are written to the shared scratch folder first, so the table is never read
-    while it is replaced.
-    """
-    spark = rows.sparkSession
-    staged = scratch_path(spark, "overwrite")
-    rows.write.parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").parquet(path)
 
+#: Partitions of a table that is merged into.
+BUCKETS = 64
+
+
+def bucket_of(*columns: str, buckets: int = BUCKETS) -> Column:
+    """Partition of a row of a merged table, from the leading columns of its key."""
+    return F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in columns]), F.lit(buckets)).cast("int")
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-    except Exception as error:  # AnalysisException of a missing path
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return False
-        raise
-    return True
 
+def read_merged(spark: SparkSession, path: str) -> DataFrame:
+    """A table that ``upsert`` writes, without its partition column."""
+    return spark.read.parquet(path).drop("merge_bucket")
 
-def upsert(path: str, incoming: DataFrame, keys: Sequence[str], newest: Column | None = None) -> None:
-    """Keyed merge into a parquet table (created when missing)."""
+
+def upsert(path: str, incoming: DataFrame, keys: Sequence[str], newest: Column | None = None,
+           bucket_by: Sequence[str] | None = None, buckets: int = BUCKETS) -> None:
+    """Keyed merge into a partitioned parquet table (created when missing).
+
+    Rows lie in partitions by a hash of ``bucket_by`` (default: the first key). Only the
+    partitions that the incoming rows fall into are read, and they alone are replaced when
+    the job commits; until then the table is as it was.
+    """
     spark = incoming.sparkSession
+    rows = incoming.withColumn("merge_bucket", bucket_of(*(bucket_by or keys[:1]), buckets=buckets))
+    stored = rows.limit(0)
     if table_exists(spark, path):
-        overwrite(keyed_merge(spark.read.parquet(path), incoming, keys, newest), path)
-    else:
-        rows = keyed_merge(incoming.limit(0), incoming, keys, newest)
-        rows.write.mode("overwrite").parquet(path)
+        touched = [r["merge_bucket"] for r in rows.select("merge_bucket").distinct().collect()]  # at most ``buckets`` numbers
+        stored = spark.read.parquet(path).filter(F.col("merge_bucket").isin(touched))
+    merged = keyed_merge(stored, rows, [*keys, "merge_bucket"], newest)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("merge_bucket").parquet(path)
 
 
 SERIES_KEY = ("product_id", "price_date", "source", "condition_category")
@@ -206,13 +215,3 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
-
-
-def merge_into(table: str, incoming: DataFrame, keys: Sequence[str]) -> None:
-    """The same merge where the catalog's tables support MERGE."""
-    source = incoming.alias("source")
-    match = None
-    for key in keys:
-        test = F.expr(f"{table}.{key} = source.{key}")
-        match = test if match is None else match & test
-    source.mergeInto(table, match).whenMatched().updateAll().whenNotMatched().insertAll().merge()

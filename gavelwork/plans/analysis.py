@@ -71,4 +71,4 @@ def run(listings: DataFrame, series_path: str, analyses_path: str, as_of: Column
     """Refresh the stored series from listings and append an analysis of every product."""
     spark = listings.sparkSession
     ingest.store_series(series_path, aggregate_listings(listings).drop("product_type"))
-    ingest.store_analyses(analyses_path, analyze(spark.read.parquet(series_path), as_of))
+    ingest.store_analyses(analyses_path, analyze(ingest.read_merged(spark, series_path), as_of))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gavelwork.functions.numbers import half_up
 from gavelwork.operators import audits, ingest, series
 from gavelwork.registry.base import (
-    AS_OF, LISTINGS, SERIES, as_of, day, days_as_text, hu, query, stamp, with_,
+    AS_OF, LISTINGS, PRODUCT_KEY, SERIES, as_of, day, days_as_text, hu, query, stamp, with_,
 )
 from gavelwork.session import scratch_path
 from gavelwork.sources import starviews as views
@@ -53,7 +53,7 @@ _MERGE = SERIES.replace("series AS (", "old AS (").replace("FROM listings WHERE"
 
 
 @query("series_merge", with_(LISTINGS, _PARTS, _MERGE) + f"""
-SELECT product_id, {day('price_date')} AS price_date, source, condition_category, price, listing_count FROM (
+SELECT product_id, {day('price_date')} AS price_date, source, condition_category, price, data_confidence, listing_count FROM (
   SELECT * FROM fresh UNION ALL SELECT * FROM old ANTI JOIN fresh USING (product_id, price_date, source, condition_category))""")
 def series_merge(spark, sf_dir):
     """Upsert into a stored table: written once, merged, read back."""
@@ -61,7 +61,7 @@ def series_merge(spark, sf_dir):
     path = scratch_path(spark, "series")
     ingest.store_series(path, series.daily_median_series(stored))
     ingest.store_series(path, series.daily_median_series(rows(spark, sf_dir).filter(F.col("is_graded"))))
-    return days_as_text(spark.read.parquet(path).drop("data_confidence"))
+    return days_as_text(ingest.read_merged(spark, path))
 
 
 @query("insert_missing", """
@@ -147,56 +147,66 @@ def catalog_defaults(spark, sf_dir):
 # -- streams: the line items land as files -------------------------------------------------------------
 
 
-def landed(spark, sf_dir, created=False):
-    """The line-item files as a stream of listings (``created_at`` is the sale date here)."""
-    schema = views.read(spark, sf_dir, "lineitem").schema
-    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/[l]ineitem.parquet")
+def landed(spark, sf_dir, files=6):
+    """The line items as a stream of listings that lands in several files, one per batch, in no
+    order of time; all rows of an order are in one file."""
+    folder = scratch_path(spark, "landed")
+    items = views.read(spark, sf_dir, "lineitem")
+    items.repartition(files, "l_orderkey").write.parquet(folder)
+    raw = stream.landed(spark, folder, items.schema, files_per_trigger=1)
     return views.listings_of(raw).withColumn("created_at", F.col("sold_date").cast("timestamp"))
 
 
-@query("incremental_ingest", with_(LISTINGS) + """
-SELECT count(DISTINCT listing_url) AS urls, count(DISTINCT listing_url) AS rows, count(DISTINCT product_id) AS products_at_most,
-  true AS is_subset FROM listings""")
+@query("incremental_ingest", with_(LISTINGS) + f"""
+SELECT listing_url, listing_id, product_type, product_id, price, {stamp('sold_date')} AS sold_date
+FROM ({_FIRST.format('listings')}) WHERE rn = 1""")
 def incremental_ingest(spark, sf_dir):
-    """Every URL is stored once, whatever the horizon; which of its rows is the first to arrive is open."""
-    table = stream.ingest_once(spark, stream.dedup(landed(spark, sf_dir)))
-    known = rows(spark, sf_dir).select("listing_id").distinct().withColumn("_known", F.lit(1))
-    checked = table.join(known, "listing_id", "left")
-    total = rows(spark, sf_dir).agg(F.count_distinct("product_id").alias("n")).scalar()
-    return checked.agg(
-        F.count_distinct("listing_url").alias("urls"), F.count("*").alias("rows"), total.alias("products_at_most"),
-        (F.count("_known") == F.count("*")).alias("is_subset"),
-    )
+    """Every URL of every batch is stored once, with its first listing, however old it is."""
+    table = stream.ingest_once(spark, landed(spark, sf_dir))
+    return days_as_text(table.select("listing_url", "listing_id", "product_type", "product_id", "price", "sold_date"))
 
 
-@query("touched_refresh", with_(LISTINGS, SERIES) + f"""
-SELECT product_id, {day('price_date')} AS price_date, source, condition_category, price, listing_count FROM series""")
-def touched_refresh(spark, sf_dir):
-    """Series of the touched products after one streamed pass over listings without repeats."""
+def refreshed(spark, sf_dir):
+    """Paths of series and summaries after streamed passes over listings without repeats."""
     from gavelwork.functions.text import search_strategy
 
     table, state = scratch_path(spark, "touched-table"), scratch_path(spark, "touched-state")
     points, summary = scratch_path(spark, "touched-series"), scratch_path(spark, "touched-summary")
     url = F.concat_ws("-", "listing_id", F.format_string("%.2f", "price"))
-    source = landed(spark, sf_dir).withColumn("listing_url", url).withColumn(
+    source = landed(spark, sf_dir, 2).withColumn("listing_url", url).withColumn(
         "search_strategy", search_strategy(F.col("search_terms"), F.col("product_type") == "sealed")
     )
     refresh = stream.refresh_touched(table, points, summary, as_of())
     stream.start_ingest(source, table, state, refresh).awaitTermination()
-    return days_as_text(spark.read.parquet(points).drop("data_confidence"))
+    return points, summary
+
+
+@query("touched_refresh", with_(LISTINGS, SERIES) + f"""
+SELECT product_id, {day('price_date')} AS price_date, source, condition_category, price, data_confidence, listing_count FROM series""")
+def touched_refresh(spark, sf_dir):
+    return days_as_text(ingest.read_merged(spark, refreshed(spark, sf_dir)[0]))
+
+
+@query("stored_market_summary", with_(LISTINGS) + f"""
+SELECT {PRODUCT_KEY} AS product_id, count(*) AS total_listings, {hu('avg(price) FILTER (WHERE price > 0)', 4)} AS avg_price,
+  min(price) FILTER (WHERE price > 0) AS lowest_price, max(price) FILTER (WHERE price > 0) AS highest_price
+FROM listings GROUP BY 1""")
+def stored_market_summary(spark, sf_dir):
+    """What the refresh has stored for every product, read back."""
+    stored = ingest.read_merged(spark, refreshed(spark, sf_dir)[1])
+    return stored.select("product_id", "total_listings", half_up(F.col("avg_price"), 4).alias("avg_price"), "lowest_price", "highest_price")
 
 
 @query("stream_daily_counts", with_(LISTINGS) + f"""
-SELECT {day('sold_date')} AS day, product_id, count(*) AS listings, {hu('avg(price)', 4)} AS avg_price FROM listings
-WHERE CAST(sold_date AS DATE) + 1 <= (SELECT CAST(max(sold_date) AS DATE) - 7 FROM listings) GROUP BY ALL""")
+SELECT {day('sold_date')} AS day, product_type, product_id, count(*) AS listings, {hu('avg(price)', 4)} AS avg_price FROM listings
+GROUP BY ALL""")
 def stream_daily_counts(spark, sf_dir):
-    counts = stream.daily_counts(landed(spark, sf_dir).withColumn("sold_date", F.col("created_at")))
     table, state = scratch_path(spark, "counts"), scratch_path(spark, "counts-state")
-    counts.writeStream.format("parquet").option("path", table).option("checkpointLocation", state).outputMode(
-        "append").trigger(availableNow=True).start().awaitTermination()
-    done = spark.read.parquet(table)
+    stream.start_daily_counts(landed(spark, sf_dir), table, state).awaitTermination()
+    done = ingest.read_merged(spark, table)
     return done.select(
-        F.date_format("day", "yyyy-MM-dd").alias("day"), "product_id", "listings", half_up(F.col("avg_price"), 4).alias("avg_price")
+        F.date_format("day", "yyyy-MM-dd").alias("day"), "product_type", "product_id", "listings",
+        half_up(F.col("avg_price"), 4).alias("avg_price"),
     )
 
 

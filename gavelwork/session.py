@@ -32,11 +32,13 @@ def get_session(app: str = "gavelwork", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read: ``spark.checkpoint.dir`` of the session.
 
-    On a cluster the setting names shared storage. Only where it is unset (local
-    tests) a temporary folder is made and recorded in the session.
+    A session on one machine (tests) that has none gets a temporary folder; on a cluster a
+    missing setting is an error, because executors and driver share no local folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="gavelwork-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gavelwork.functions import text
 from gavelwork.operators import ingest, market, series
 from gavelwork.session import scratch_path
 
@@ -21,37 +22,31 @@ def landed(spark: SparkSession, folder: str, schema, files_per_trigger: int = 10
     )
 
 
-def dedup(listings: DataFrame, horizon: str = "7 days", time: str = "created_at") -> DataFrame:
-    """One row per URL within the horizon; state older than the watermark is dropped."""
-    return (
-        listings.filter(F.coalesce("listing_url", F.lit("")) != "")
-        .withWatermark(time, horizon)
-        .dropDuplicatesWithinWatermark(["listing_url"])
-    )
-
-
 def start_ingest(listings: DataFrame, table: str, checkpoint: str,
-                 on_new: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+                 on_new: Callable[[DataFrame, int], None] | None = None, buckets: int = ingest.BUCKETS) -> StreamingQuery:
     """Append unseen listings to ``table``, then hand them to ``on_new``; one pass over
     what is there.
 
-    URLs older than the watermark are caught by the anti-join with the table. A batch
-    writes to its own ``batch_id`` partition, so a repeated batch replaces itself instead
-    of appending twice, and the anti-join leaves that partition out.
+    No listing is dropped for its age: a URL counts as seen only if it is stored. The table is
+    partitioned by a hash of the URL, and a batch reads the URLs of its own partitions alone.
+    A batch writes to its ``batch_id`` partitions, so a repeated batch replaces itself
+    instead of appending twice, and the anti-join leaves its rows out.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = ingest.first_per_url(batch)
+        rows = ingest.first_per_url(batch).withColumn("url_bucket", ingest.bucket_of("listing_url", buckets=buckets))
         if ingest.table_exists(spark, table):
-            stored = spark.read.parquet(table).filter(F.col("batch_id") != batch_id)
+            touched = [r["url_bucket"] for r in rows.select("url_bucket").distinct().collect()]  # at most ``buckets`` numbers
+            stored = spark.read.parquet(table).filter(F.col("url_bucket").isin(touched) & (F.col("batch_id") != batch_id))
             rows = rows.join(stored.select("listing_url"), "listing_url", "left_anti")
-        part = f"{table}/batch_id={batch_id}"
-        rows.write.mode("overwrite").parquet(part)
+        rows.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("url_bucket", "batch_id").parquet(table)
         if on_new is not None:
-            on_new(spark.read.parquet(part), batch_id)
+            on_new(spark.read.parquet(table).filter(F.col("batch_id") == batch_id), batch_id)
 
     return (
-        listings.writeStream.foreachBatch(write)
+        listings.filter(F.coalesce("listing_url", F.lit("")) != "")
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -59,25 +54,38 @@ def start_ingest(listings: DataFrame, table: str, checkpoint: str,
 
 
 def refresh_touched(table: str, series_path: str, summary_path: str, as_of) -> Callable[[DataFrame, int], None]:
-    """Batch step: recompute series and market summary of the products in the new rows."""
+    """Batch step: recompute series and market summary of the products in the new rows.
+
+    Both are merged by product, so partitions without a touched product are not written.
+    """
     def refresh(new_rows: DataFrame, _batch_id: int) -> None:
         spark = new_rows.sparkSession
-        touched = new_rows.select("product_id").distinct()
-        rows = spark.read.parquet(table).join(touched, "product_id", "left_semi")
+        touched = new_rows.select("product_type", "product_id").distinct()
+        rows = spark.read.parquet(table).join(touched, ["product_type", "product_id"], "left_semi")
         ingest.store_series(series_path, series.daily_median_series(rows))
-        ingest.store_market_summaries(summary_path, market.market_summary(rows, as_of))
+        keyed = rows.withColumn("product_id", text.product_key())
+        ingest.store_market_summaries(summary_path, market.market_summary(keyed, as_of))
 
     return refresh
 
 
-def daily_counts(listings: DataFrame, horizon: str = "7 days", time: str = "sold_date") -> DataFrame:
-    """Count and mean price per product and day of the stream, final once the day is past
-    the watermark."""
+def daily_counts(listings: DataFrame, time: str = "sold_date") -> DataFrame:
+    """Running count and mean price per product and day, as updates: each row replaces the
+    one of its product and day. Late rows count like others."""
     return (
-        listings.withWatermark(time, horizon)
-        .groupBy(F.window(time, "1 day"), "product_id")
+        listings.groupBy(F.to_date(time).alias("day"), "product_type", "product_id")
         .agg(F.count("*").alias("listings"), F.avg("price").alias("avg_price"))
-        .select(F.col("window.start").alias("day"), "product_id", "listings", "avg_price")
+    )
+
+
+def start_daily_counts(listings: DataFrame, table: str, checkpoint: str, time: str = "sold_date") -> StreamingQuery:
+    """Merge the updates of ``daily_counts`` into ``table``; one pass over what is there."""
+    return (
+        daily_counts(listings, time).writeStream.outputMode("update")
+        .foreachBatch(lambda batch, _: ingest.upsert(table, batch, ["product_type", "product_id", "day"], bucket_by=["product_id"]))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
 
 

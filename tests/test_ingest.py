@@ -39,7 +39,7 @@ def test_keyed_merge_and_repeat(spark):
     ingest.store_series(path, old)
     ingest.store_series(path, new)
     ingest.store_series(path, new)
-    assert {r.product_id: r.price for r in spark.read.parquet(path).collect()} == {1: 1.0, 2: 9.0, 3: 3.0}
+    assert {r.product_id: r.price for r in ingest.read_merged(spark, path).collect()} == {1: 1.0, 2: 9.0, 3: 3.0}
 
 
 def test_store_cards_keeps_one_row_per_number(spark):
@@ -121,14 +121,30 @@ def test_stream_ingest_is_incremental(spark, tmp_path):
 
     def run():
         source = spark.readStream.schema(schema).parquet(f"{folder}/*")
-        stream.start_ingest(stream.dedup(source), table, state).awaitTermination()
+        stream.start_ingest(source, table, state).awaitTermination()
         return sorted(r.listing_url for r in spark.read.parquet(table).collect())
 
     land("a", [("1", "u1", 1.0, 1), ("2", "u1", 1.0, 1), ("3", "u2", 1.0, 2), ("4", "", 1.0, 2)])
     assert run() == ["u1", "u2"]
     land("b", [("5", "u1", 1.0, 20), ("6", "u3", 1.0, 20)])  # u1 is past the horizon, the table still knows it
     assert run() == ["u1", "u2", "u3"]
-    assert run() == ["u1", "u2", "u3"]
+    land("c", [("7", "u9", 1.0, 3), ("8", "u2", 1.0, 25)])  # unseen, though older than all that is stored
+    assert run() == ["u1", "u2", "u3", "u9"]
+    assert run() == ["u1", "u2", "u3", "u9"]
+
+
+def test_merge_leaves_other_partitions_alone(spark, tmp_path):
+    path = str(tmp_path / "merged")
+    rows = spark.range(200).selectExpr("concat('p', id) as product_id", "cast(id as double) as price")
+    assert not ingest.table_exists(spark, path)
+    ingest.upsert(path, rows, ["product_id"], buckets=16)
+    before = {f: f.stat().st_mtime_ns for f in tmp_path.rglob("part-*.parquet")}
+    ingest.upsert(path, rows.limit(1).selectExpr("product_id", "-1.0D as price"), ["product_id"], buckets=16)
+    after = {f: f.stat().st_mtime_ns for f in tmp_path.rglob("part-*.parquet")}
+    gone = {f.parent.name for f in before if f not in after}
+    assert len(gone) == 1 and all(after[f] == t for f, t in before.items() if f.parent.name not in gone)
+    merged = ingest.read_merged(spark, path)
+    assert merged.count() == 200 and merged.filter("price = -1").count() == 1
 
 
 def test_freshness_of_names(spark):
@@ -146,3 +162,29 @@ def test_freshness_of_names(spark):
         "a": ("use_cache", 3), "b": ("scrape_pricecharting_only", 10), "c": ("scrape_both", 60), "d": ("scrape_both", None),
         "e": ("full_setup", None),
     }
+
+
+def test_card_and_sealed_of_one_number_are_two_products(spark):
+    rows = spark.createDataFrame(
+        [("card", 1, 10.0, "2024-01-01"), ("sealed", 1, 200.0, "2024-01-01"), ("card", 1, 12.0, "2024-01-01")],
+        "product_type string, product_id int, price double, day string",
+    ).selectExpr("product_type", "product_id", "price", "to_timestamp(day) sold_date", "'ebay' source", "false is_graded", "'raw' condition_category")
+    got = {r.product_id: (r.price, r.listing_count) for r in series.daily_median_series(rows).collect()}
+    assert got == {"card-1": (11.0, 2), "sealed-1": (200.0, 1)}
+
+
+def test_first_of_equal_keys_is_inserted(spark):
+    stored = spark.createDataFrame([(1, "a")], "product_id int, product_name string")
+    incoming = spark.createDataFrame([(2, "z"), (2, "b"), (1, "x"), (2, None)], "product_id int, product_name string")
+    assert [tuple(r) for r in ingest.insert_missing(stored, incoming, ["product_id"]).collect()] == [(2, "b")]
+
+
+def test_touched_products_alone_are_refreshed_and_stored(spark, tmp_path):
+    points = spark.range(1, 4).crossJoin(spark.range(6).selectExpr("id as d")).selectExpr(
+        "concat('card-', id) product_id", "date_add(date '2024-01-01', cast(d as int)) price_date", "cast(10 + d as double) price",
+        "'a' source", "'raw' condition_category")
+    path = str(tmp_path / "analyses")
+    now = F.lit("2024-03-01").cast("timestamp")
+    ingest.store_analyses(path, analysis.analyze(points, now))
+    ingest.store_analyses(path, analysis.analyze(points, now))
+    assert spark.read.parquet(path).count() == 6
