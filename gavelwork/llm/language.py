@@ -19,6 +19,8 @@ from gavelwork.llm.features import code_points, ngrams
 BUCKETS, SIZES = 1 << 16, (1, 2, 3)
 #: Documents of each language that the counts are learned from, at most.
 SAMPLE_DOCS = 2_000
+#: Sampled ids that are sent to every task at most.
+BROADCAST_ROWS = 200_000
 FOLDS, HELD, SEED = 4, 2, 11
 #: What a change of language costs, and the most that one word can tell between two languages.
 PENALTY, WORD_LIMIT = 12.0, 4.0
@@ -83,7 +85,9 @@ def training_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     known = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
-    drawn = known.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= limit).select("doc_id", "lang").distinct()
+    drawn = saved(known.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= limit).select("doc_id", "lang").distinct(), "drawn")
+    if drawn.count() <= BROADCAST_ROWS:  # else, with very many languages, a shuffled join gives the same rows
+        drawn = F.broadcast(drawn)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang"), text_or_empty(text).alias("text"))
     return texts.join(drawn, ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).select("lang", "text")
 
