@@ -1,8 +1,9 @@
 """Headline queries, timed. Prints one JSON line.
 
-``BENCH_SF_DIR`` (default /root/testdata/sf0.1) names the tables, ``BENCH_CPUS``
-(default: all) the local cores. The best of two passes counts; the second pass is left out
-when the first one took long.
+``BENCH_SF_DIR`` (default /root/testdata/sf0.1) names the tables, ``BENCH_CPUS`` (default: all)
+the local cores. Every query runs in two passes, the better one counts. The given fact
+tables are files of one row group, that is of one scan task; before the clock starts they are
+landed once as several files, as tables of a cluster lie, and the queries read those.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -21,8 +23,26 @@ HEADLINE = (
     "daily_median_series", "clean_daily_series", "filter_funnel", "card_outliers", "quality_gate", "returns_summary",
     "drawdown", "technical_indicators", "value_at_risk", "metric_bundle", "investment_grade", "recommendation",
     "portfolio_metrics", "market_summary", "top_insights", "card_aggregates", "title_mismatch", "dedup_url",
-    "new_listings", "freshness", "search_plan", "chart_points",
+    "new_listings", "freshness", "search_plan", "chart_points", "listing_pages", "page_tables",
 )
+#: Queries that write tables or run a stream; one pass, as each run starts anew.
+WRITING = ("series_merge", "incremental_ingest", "touched_refresh")
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+FACTS = ("lineitem", "orders", "events", "documents", "pages", "conversations")
+
+
+def landed(spark, folder: str, files: int) -> str:
+    """The tables with each fact table in several files."""
+    out = tempfile.mkdtemp(prefix="bench-")
+    for table in TABLES:
+        source, target = f"{folder}/{table}.parquet", f"{out}/{table}.parquet"
+        if table in FACTS:
+            spark.read.parquet(source).repartition(files).write.parquet(target)
+        elif os.path.exists(source):
+            os.symlink(source, target)
+    return out
 
 
 def main() -> None:
@@ -33,20 +53,19 @@ def main() -> None:
         **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
-    names = sys.argv[1:] or HEADLINE
+    names = sys.argv[1:] or (*HEADLINE, *WRITING)
     times = {}
+    tables = landed(spark, folder, int(cpus))
 
-    def one_pass() -> float:
-        begin = time.perf_counter()
+    def one_pass(names) -> None:
         for name in names:
             start = time.perf_counter()
-            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+            QUERIES[name](spark, tables).write.format("noop").mode("overwrite").save()
             spent = round(time.perf_counter() - start, 3)
             times[name] = min(spent, times.get(name, spent))
-        return time.perf_counter() - begin
 
-    if one_pass() < 240:
-        one_pass()
+    one_pass(names)
+    one_pass([n for n in names if n not in WRITING])
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": os.path.basename(folder.rstrip("/")), "cpus": int(cpus),

@@ -26,10 +26,6 @@ def ratio(top: Column, bottom: Column) -> Column:
     return F.try_divide(top.cast("double"), bottom.cast("double"))
 
 
-def share_pct(part: Column, whole: Column) -> Column:
-    return ratio(part, whole) * 100
-
-
 def steps(value: Column, scale: Sequence[tuple], otherwise) -> Column:
     """First label whose threshold is reached: ``scale`` is (at_least, label), falling."""
     chain = None

@@ -240,7 +240,12 @@ def cached_analyses(analyses: DataFrame, as_of: Column, max_age_hours: int = 24,
     rows = analyses.filter(F.col("analysis_date") >= cutoff)
     if min_version is not None:
         rows = rows.filter(F.col("analysis_version") >= min_version)
-    return latest_per_key(rows, ["product_id"], "analysis_date")
+    return latest_per_key(rows, ["product_id"], "analysis_date", *_tie(analyses))
+
+
+def _tie(analyses: DataFrame) -> list[str]:
+    """Of analyses of one date the one with the largest id is the newer."""
+    return [c for c in ("analysis_id",) if c in analyses.columns]
 
 
 def split_by_cache(products: DataFrame, cached: DataFrame) -> DataFrame:
@@ -259,13 +264,14 @@ def latest_per_key(rows: DataFrame, keys: list[str], newest: str, *ties: str) ->
 
 def analysis_history(analyses: DataFrame, product_ids=None, limit: int = 10) -> DataFrame:
     """Newest analyses of the given products (of all without), at most ``limit`` each."""
-    by_age = Window.partitionBy("product_id").orderBy(F.desc("analysis_date"))
+    newest = [F.desc(c) for c in ("analysis_date", *_tie(analyses))]
+    by_age = Window.partitionBy("product_id").orderBy(*newest)
     rows = analyses if product_ids is None else analyses.filter(F.col("product_id").isin(*product_ids))
     return (
         rows.withColumn("_rank", F.row_number().over(by_age))
         .filter(F.col("_rank") <= limit)
         .drop("_rank")
-        .orderBy("product_id", F.desc("analysis_date"))
+        .orderBy("product_id", *newest)
     )
 
 

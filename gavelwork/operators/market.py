@@ -81,7 +81,8 @@ def top_insights(summaries: DataFrame, limit: int = 20) -> DataFrame:
 
     The summaries are read once: every row offers itself to the lists it qualifies for,
     and the rank limit keeps ``limit`` rows per list and input task before the shuffle.
-    Ties go to the smaller card id.
+    Ties go to the smaller card id. Each row tells the prices behind its list: raw and graded
+    means, and the mean of all listings.
     """
     raw, p10, p9 = F.col("raw_avg_price"), F.col("grading_premium_psa10"), F.col("grading_premium_psa9")
     n = F.col("total_listings").cast("double")
@@ -95,14 +96,15 @@ def top_insights(summaries: DataFrame, limit: int = 20) -> DataFrame:
         offer(p9 > 0, "highest_psa9_premiums", p9, -p9),
         offer(F.lit(True), "most_liquid_markets", n, -n),
     ))
+    prices = ("raw_avg_price", "psa9_avg_price", "psa10_avg_price", "avg_price")
     best = Window.partitionBy("insight").orderBy("sort_key", "product_id")
     return (
         valid_summaries(summaries)
-        .select("product_id", "raw_avg_price", "total_listings", "market_liquidity", F.explode(offers).alias("_o"))
+        .select("product_id", *prices, "total_listings", "market_liquidity", F.explode(offers).alias("_o"))
         .select("*", "_o.*")
         .withColumn("position", F.row_number().over(best))
         .filter(F.col("position") <= limit)
-        .select("insight", "position", "product_id", "value", "raw_avg_price", "total_listings", "market_liquidity")
+        .select("insight", "position", "product_id", "value", *prices, "total_listings", "market_liquidity")
     )
 
 
@@ -346,8 +348,9 @@ def latest_analyses(analyses: DataFrame, products: DataFrame) -> DataFrame:
 def card_aggregates(rows: DataFrame) -> DataFrame:
     """Per-card price and date statistics, graded share, volatility, liquidity class.
 
-    Rows without a card key are dropped. Means and deviations come from the
-    (card, price) histogram; the first chart price is the one any row carries.
+    Rows without a card key are dropped. Means and medians come from the (card, price)
+    histogram; the deviation is summed around the mean of the card, so that large prices
+    with a small spread keep it. The first chart price is the one any row carries.
     """
     keys = ["card_id", "card_name", "set_name"]
     known = rows.filter(F.col("card_id").isNotNull() & F.col("card_name").isNotNull() & F.col("set_name").isNotNull())
@@ -359,12 +362,14 @@ def card_aggregates(rows: DataFrame) -> DataFrame:
         *[F.any_value(c, True).alias(c) for c in ("pc_current_price", "pc_loose_price", "pc_graded_price")],
     )
     price, n = F.col("price").cast("double"), F.col("n_rows")
-    sums = counts.groupBy(*keys).agg(
+    card = Window.partitionBy(*keys)  # deals the rows as the aggregate needs them
+    centred = counts.withColumn("_centre", F.try_divide(F.sum(price * n).over(card), F.sum(n).over(card)))
+    off = price - F.col("_centre")
+    sums = centred.groupBy(*keys).agg(
         F.sum("n_rows").alias("price_count"),
         weighted_mean(F.col("price"), n).alias("_mean"),
         weighted_median(F.col("price"), n).alias("_median"),
-        F.sum(price * price * n).alias("_square"),
-        F.sum(price * n).alias("_sum"),
+        F.sum(off * off * n).alias("_square"),
         F.min(price).alias("price_min"), F.max(price).alias("price_max"),
         F.min("_first").alias("sold_date_min"), F.max("_last").alias("sold_date_max"),
         F.sum("_graded").alias("is_graded_sum"),
@@ -372,10 +377,7 @@ def card_aggregates(rows: DataFrame) -> DataFrame:
         *[half_up(F.any_value(c, True), 2).alias(f"{c}_first")
           for c in ("pc_current_price", "pc_loose_price", "pc_graded_price")],
     )
-    spread = F.sqrt(F.try_divide(
-        F.greatest(F.col("_square") - F.col("_sum") * F.col("_sum") / F.col("price_count"), F.lit(0.0)),
-        F.col("price_count") - 1,
-    ))
+    spread = F.sqrt(F.try_divide(F.col("_square"), F.col("price_count") - 1))
     count = F.col("price_count")
     return (
         sums.withColumn("price_mean", half_up(F.col("_mean"), 2))
@@ -389,7 +391,7 @@ def card_aggregates(rows: DataFrame) -> DataFrame:
             F.when((count > 0) & (count <= 5), "Low").when((count > 5) & (count <= 15), "Medium")
             .when((count > 15) & (count <= 50), "High").when(count > 50, "Very High"),
         )
-        .drop("_mean", "_median", "_square", "_sum")
+        .drop("_mean", "_median", "_square")
     )
 
 

@@ -82,23 +82,24 @@ def liquidity(spark, sf_dir):
 
 _OFFERS = """
 offers AS (
-  SELECT product_id, raw_avg_price, total_listings, market_liquidity, 'top_value_raw_cards' AS insight, raw_avg_price AS value,
+  SELECT product_id, raw_avg_price, psa9_avg_price, psa10_avg_price, avg_price, total_listings, market_liquidity, 'top_value_raw_cards' AS insight, raw_avg_price AS value,
     raw_avg_price AS k FROM summary WHERE total_listings >= 3 AND raw_avg_price > 0
-  UNION ALL SELECT product_id, raw_avg_price, total_listings, market_liquidity, 'highest_psa10_premiums', grading_premium_psa10,
+  UNION ALL SELECT product_id, raw_avg_price, psa9_avg_price, psa10_avg_price, avg_price, total_listings, market_liquidity, 'highest_psa10_premiums', grading_premium_psa10,
     -grading_premium_psa10 FROM summary WHERE total_listings >= 3 AND grading_premium_psa10 > 0
-  UNION ALL SELECT product_id, raw_avg_price, total_listings, market_liquidity, 'highest_psa9_premiums', grading_premium_psa9,
+  UNION ALL SELECT product_id, raw_avg_price, psa9_avg_price, psa10_avg_price, avg_price, total_listings, market_liquidity, 'highest_psa9_premiums', grading_premium_psa9,
     -grading_premium_psa9 FROM summary WHERE total_listings >= 3 AND grading_premium_psa9 > 0
-  UNION ALL SELECT product_id, raw_avg_price, total_listings, market_liquidity, 'most_liquid_markets', total_listings,
+  UNION ALL SELECT product_id, raw_avg_price, psa9_avg_price, psa10_avg_price, avg_price, total_listings, market_liquidity, 'most_liquid_markets', total_listings,
     -total_listings FROM summary WHERE total_listings >= 3
 ),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY insight ORDER BY k, product_id) AS position FROM offers)"""
 
 
 @query("top_insights", with_(LISTINGS, _SUMMARY, _OFFERS) + """
-SELECT insight, position, product_id, CAST(value AS DOUBLE) AS value, raw_avg_price, total_listings, market_liquidity
+SELECT insight, position, product_id, CAST(value AS DOUBLE) AS value, raw_avg_price, psa9_avg_price, psa10_avg_price,
+  """ + hu("avg_price", 4) + """ AS avg_price, total_listings, market_liquidity
 FROM ranked WHERE position <= 20""")
 def top_insights(spark, sf_dir):
-    return market.top_insights(summaries(spark, sf_dir))
+    return market.top_insights(summaries(spark, sf_dir)).withColumn("avg_price", half_up(F.col("avg_price"), 4))
 
 
 @query("market_overview", with_(LISTINGS, _SUMMARY) + f"""
@@ -176,36 +177,32 @@ def collection_summary(spark, sf_dir):
 # -- catalog against listings ------------------------------------------------------------------------
 # Not every card counts as listed here: only graded listings are taken, so that some are missing.
 
-_GRADED = "graded_rows AS (SELECT * FROM created WHERE is_graded)"
+_CARD_ROWS = "card_rows AS (SELECT * FROM created WHERE product_type = 'card')"
 _CUTOFF = "2001-06-01"
 
 
-def graded_rows(spark, sf_dir):
-    return listings(spark, sf_dir, created=True).filter(F.col("is_graded"))
-
-
 def _now(text):
     return F.lit(text).cast("timestamp")
 
 
-@query("coverage", with_(LISTINGS, CREATED, _GRADED, CARDS, """
-seen AS (SELECT product_id AS card_id, max(created_at) AS last FROM graded_rows GROUP BY ALL)""") + f"""
+@query("coverage", with_(LISTINGS, CREATED, _CARD_ROWS, CARDS, """
+seen AS (SELECT product_id AS card_id, max(created_at) AS last FROM card_rows GROUP BY ALL)""") + f"""
 SELECT count(*) AS total_cards, count(last) AS cards_with_listings, count(*) - count(last) AS cards_never_listed,
   {hu('count(last) / count(*) * 100', 4)} AS completion_percentage,
   count(*) FILTER (WHERE last >= TIMESTAMP '{_CUTOFF}' - INTERVAL 90 DAY) AS cards_updated_recently
 FROM cards LEFT JOIN seen USING (card_id)""")
 def coverage(spark, sf_dir):
-    return market.coverage(views.cards(spark, sf_dir), graded_rows(spark, sf_dir), _now(_CUTOFF), days=90)
+    return market.coverage(views.cards(spark, sf_dir), card_listings(spark, sf_dir, created=True), _now(_CUTOFF), days=90)
 
 
-@query("stale_cards", with_(LISTINGS, CREATED, _GRADED, CARDS, """
-seen AS (SELECT product_id AS card_id, max(created_at) AS last FROM graded_rows GROUP BY ALL)""") + f"""
+@query("stale_cards", with_(LISTINGS, CREATED, _CARD_ROWS, CARDS, """
+seen AS (SELECT product_id AS card_id, max(created_at) AS last FROM card_rows GROUP BY ALL)""") + f"""
 SELECT card_id, card_name, set_name, card_number, {stamp('last')} AS last_update,
   CAST(floor(epoch(TIMESTAMP '{_CUTOFF}' - last) / 86400) AS BIGINT) AS days_since_update
 FROM cards LEFT JOIN seen USING (card_id)
 WHERE last IS NULL OR last < TIMESTAMP '{_CUTOFF}' - INTERVAL 180 DAY""")
 def stale_cards(spark, sf_dir):
-    rows = market.stale_cards(views.cards(spark, sf_dir), graded_rows(spark, sf_dir), _now(_CUTOFF), days=180)
+    rows = market.stale_cards(views.cards(spark, sf_dir), card_listings(spark, sf_dir, created=True), _now(_CUTOFF), days=180)
     return days_as_text(rows.select(
         "card_id", "card_name", "set_name", "card_number", "last_update", "days_since_update"
     ))
@@ -342,7 +339,7 @@ def product_summary(spark, sf_dir):
 _CACHE_NOW = "2001-07-15 12:00:00"
 _CACHED = f"""
 cached AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY analysis_date DESC) AS rn FROM analyses
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY analysis_date DESC, analysis_id DESC) AS rn FROM analyses
     WHERE analysis_date >= TIMESTAMP '{_CACHE_NOW}' - INTERVAL 720 HOUR AND analysis_version >= '2.0') WHERE rn = 1
 )"""
 
@@ -360,15 +357,15 @@ def cache_lookup(spark, sf_dir):
 
 @query("analysis_history", with_(_ANALYSES) + f"""
 SELECT product_id, {stamp('analysis_date')} AS analysis_date, recommendation FROM (
-  SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY analysis_date DESC) AS rn FROM analyses)
+  SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY analysis_date DESC, analysis_id DESC) AS rn FROM analyses)
 WHERE rn <= 10""")
 def analysis_history(spark, sf_dir):
     rows = decide.analysis_history(analyses(spark, sf_dir))
     return days_as_text(rows.select("product_id", "analysis_date", "recommendation"))
 
 
-@query("freshness", with_(LISTINGS, CREATED, _GRADED, CARDS, """
-seen AS (SELECT product_id, count(*) AS c, max(created_at) AS last FROM graded_rows GROUP BY ALL),
+@query("freshness", with_(LISTINGS, CREATED, _CARD_ROWS, CARDS, """
+seen AS (SELECT product_id, count(*) AS c, max(created_at) AS last FROM card_rows GROUP BY ALL),
 aged AS (SELECT card_id AS product_id, card_name AS product_name, coalesce(c, 0) AS listing_count, last,
   CAST(floor(epoch(TIMESTAMP '2001-08-01' - last) / 86400) AS BIGINT) AS days_old
   FROM cards LEFT JOIN seen ON seen.product_id = card_id)""") + f"""
@@ -380,10 +377,36 @@ def freshness(spark, sf_dir):
     catalog = views.cards(spark, sf_dir).select(
         F.lit("card").alias("product_type"), F.col("card_id").alias("product_id"), F.col("card_name").alias("product_name")
     )
-    rows = decide.freshness(catalog, graded_rows(spark, sf_dir), _now("2001-08-01"), 60)
+    rows = decide.freshness(catalog, card_listings(spark, sf_dir, created=True), _now("2001-08-01"), 60)
     return days_as_text(rows.drop("product_type"))
 
 
+_NAMED = """
+named AS (
+  SELECT s_name AS query, card_id AS product_id FROM supplier LEFT JOIN cards ON card_id = s_suppkey * 17
+)"""
+
+
+@query("freshness_by_name", with_(LISTINGS, CREATED, _CARD_ROWS, CARDS, _NAMED, """
+seen AS (SELECT product_id, count(*) AS c, max(created_at) AS last FROM card_rows GROUP BY ALL),
+aged AS (SELECT query, n.product_id, coalesce(c, 0) AS listing_count,
+  CAST(floor(epoch(TIMESTAMP '2001-08-01' - last) / 86400) AS BIGINT) AS days_old
+  FROM named n LEFT JOIN seen USING (product_id))""") + """
+SELECT query, product_id, days_old, CASE WHEN product_id IS NULL THEN 'full_setup' WHEN days_old <= 60 THEN 'use_cache'
+  WHEN listing_count > 0 AND days_old <= 120 THEN 'scrape_pricecharting_only' ELSE 'scrape_both' END AS recommended_action
+FROM aged""")
+def freshness_by_name(spark, sf_dir):
+    """Searched names (suppliers play them); a name without a card needs a full setup."""
+    cards = views.cards(spark, sf_dir).select(
+        F.lit("card").alias("product_type"), F.col("card_id").alias("product_id"), F.col("card_name").alias("product_name"),
+        "set_name",
+    )
+    checked = decide.freshness(cards, card_listings(spark, sf_dir, created=True), _now("2001-08-01"), 60)
+    names = views.read(spark, sf_dir, "supplier").select(F.col("s_name").alias("query"), (F.col("s_suppkey") * 17).alias("_id"))
+    found = names.join(cards.select("product_type", "product_id"), F.col("_id") == F.col("product_id"), "left").drop("_id")
+    return decide.freshness_of_names(found, checked).select("query", "product_id", "days_old", "recommended_action")
+
+
 @query("stale_products", with_(LISTINGS, CREATED, """
 last AS (SELECT product_type, product_id, max(created_at) AS last_data_update FROM created GROUP BY ALL)""") + f"""
 SELECT product_type, product_id, {stamp('last_data_update')} AS last_data_update FROM last

@@ -1,20 +1,57 @@
-"""The static watch list: sealed products built from set names, and single cards."""
+"""The static watch list: sealed products and single cards."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# --- Fixed values: sets whose booster box and elite trainer box are both watched -----------
-BOX_AND_TRAINER_SETS = (
-    "Sword & Shield", "Rebel Clash", "Darkness Ablaze", "Vivid Voltage", "Battle Styles",
-    "Chilling Reign", "Evolving Skies", "Fusion Strike", "Brilliant Stars", "Astral Radiance",
-    "Lost Origin", "Silver Tempest", "Scarlet & Violet", "Paldea Evolved", "Obsidian Flames",
-    "Paradox Rift", "Temporal Forces", "Twilight Masquerade", "Stellar Crown", "Surging Sparks",
+# --- Fixed values: watched sealed products (name, set, kind) -------------------------------
+SEALED = (
+    ("Sword & Shield Booster Box", "Sword & Shield", "Booster Box"),
+    ("Sword & Shield Elite Trainer Box", "Sword & Shield", "Elite Trainer Box"),
+    ("Rebel Clash Booster Box", "Rebel Clash", "Booster Box"),
+    ("Rebel Clash Elite Trainer Box", "Rebel Clash", "Elite Trainer Box"),
+    ("Darkness Ablaze Booster Box", "Darkness Ablaze", "Booster Box"),
+    ("Darkness Ablaze Elite Trainer Box", "Darkness Ablaze", "Elite Trainer Box"),
+    ("Vivid Voltage Booster Box", "Vivid Voltage", "Booster Box"),
+    ("Vivid Voltage Elite Trainer Box", "Vivid Voltage", "Elite Trainer Box"),
+    ("Battle Styles Booster Box", "Battle Styles", "Booster Box"),
+    ("Battle Styles Elite Trainer Box", "Battle Styles", "Elite Trainer Box"),
+    ("Chilling Reign Booster Box", "Chilling Reign", "Booster Box"),
+    ("Chilling Reign Elite Trainer Box", "Chilling Reign", "Elite Trainer Box"),
+    ("Evolving Skies Booster Box", "Evolving Skies", "Booster Box"),
+    ("Evolving Skies Elite Trainer Box", "Evolving Skies", "Elite Trainer Box"),
+    ("Fusion Strike Booster Box", "Fusion Strike", "Booster Box"),
+    ("Fusion Strike Elite Trainer Box", "Fusion Strike", "Elite Trainer Box"),
+    ("Brilliant Stars Booster Box", "Brilliant Stars", "Booster Box"),
+    ("Brilliant Stars Elite Trainer Box", "Brilliant Stars", "Elite Trainer Box"),
+    ("Astral Radiance Booster Box", "Astral Radiance", "Booster Box"),
+    ("Astral Radiance Elite Trainer Box", "Astral Radiance", "Elite Trainer Box"),
+    ("Pokemon GO Elite Trainer Box", "Pokemon GO", "Elite Trainer Box"),
+    ("Lost Origin Booster Box", "Lost Origin", "Booster Box"),
+    ("Lost Origin Elite Trainer Box", "Lost Origin", "Elite Trainer Box"),
+    ("Silver Tempest Booster Box", "Silver Tempest", "Booster Box"),
+    ("Silver Tempest Elite Trainer Box", "Silver Tempest", "Elite Trainer Box"),
+    ("Scarlet & Violet Booster Box", "Scarlet & Violet", "Booster Box"),
+    ("Scarlet & Violet Elite Trainer Box", "Scarlet & Violet", "Elite Trainer Box"),
+    ("Paldea Evolved Booster Box", "Paldea Evolved", "Booster Box"),
+    ("Paldea Evolved Elite Trainer Box", "Paldea Evolved", "Elite Trainer Box"),
+    ("Obsidian Flames Booster Box", "Obsidian Flames", "Booster Box"),
+    ("Obsidian Flames Elite Trainer Box", "Obsidian Flames", "Elite Trainer Box"),
+    ("151 Elite Trainer Box", "151", "Elite Trainer Box"),
+    ("151 Ultra Premium Collection", "151", "Ultra Premium Collection"),
+    ("Paradox Rift Booster Box", "Paradox Rift", "Booster Box"),
+    ("Paradox Rift Elite Trainer Box", "Paradox Rift", "Elite Trainer Box"),
+    ("Paldean Fates Elite Trainer Box", "Paldean Fates", "Elite Trainer Box"),
+    ("Temporal Forces Booster Box", "Temporal Forces", "Booster Box"),
+    ("Temporal Forces Elite Trainer Box", "Temporal Forces", "Elite Trainer Box"),
+    ("Twilight Masquerade Booster Box", "Twilight Masquerade", "Booster Box"),
+    ("Twilight Masquerade Elite Trainer Box", "Twilight Masquerade", "Elite Trainer Box"),
+    ("Shrouded Fable Elite Trainer Box", "Shrouded Fable", "Elite Trainer Box"),
+    ("Stellar Crown Booster Box", "Stellar Crown", "Booster Box"),
+    ("Stellar Crown Elite Trainer Box", "Stellar Crown", "Elite Trainer Box"),
+    ("Surging Sparks Booster Box", "Surging Sparks", "Booster Box"),
+    ("Surging Sparks Elite Trainer Box", "Surging Sparks", "Elite Trainer Box"),
 )
-# --- Fixed values: sets of which only the elite trainer box is watched ---------------------
-TRAINER_ONLY_SETS = ("Pokemon GO", "151", "Paldean Fates", "Shrouded Fable")
-# --- Fixed values: other sealed products ---------------------------------------------------
-OTHER_SEALED = (("151 Ultra Premium Collection", "151", "Ultra Premium Collection"),)
 
 # --- Fixed values: watched cards (name, set, number, category) -----------------------------
 CARDS = (
@@ -71,20 +108,9 @@ CARDS = (
 )
 
 
-def sealed_rows() -> list[tuple[str, str, str]]:
-    """(product_name, set_name, product_type) of every watched sealed product."""
-    rows = [
-        (f"{name} {kind}", name, kind)
-        for name in BOX_AND_TRAINER_SETS
-        for kind in ("Booster Box", "Elite Trainer Box")
-    ]
-    rows += [(f"{name} Elite Trainer Box", name, "Elite Trainer Box") for name in TRAINER_ONLY_SETS]
-    return rows + list(OTHER_SEALED)
-
-
 def sealed_targets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
-        sealed_rows(), "product_name string, set_name string, product_type string"
+        list(SEALED), "product_name string, set_name string, product_type string"
     )
 
 

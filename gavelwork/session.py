@@ -35,12 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     A session on one machine (tests) that has none gets a temporary folder; on a cluster a
     missing setting is an error, because executors and driver share no local folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="gavelwork-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gavelwork-"))
+        folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 

@@ -41,23 +41,9 @@ AS_OF = "2001-11-05"
 EVENTS_AS_OF = "2024-01-31"
 
 
-FACT_KEYS = {
-    "lineitem": "l_orderkey", "events": "event_id", "orders": "o_orderkey", "documents": "doc_id", "pages": "page_id",
-    "conversations": "conv_id",
-}
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table; a fact table that comes in fewer splits than there are cores is spread.
-
-    A file of a single row group is one task, and everything up to the first shuffle would
-    run on one core. Tables of a real cluster have far more splits and are left alone.
-    """
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if table in FACT_KEYS and rows.rdd.getNumPartitions() < cores:
-        return rows.repartition(cores, FACT_KEYS[table])
-    return rows
+    """A table as it lies in the folder."""
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def pick(words: tuple[str, ...], position: Column) -> Column:
