@@ -12,7 +12,7 @@ from tools.compare import TABLES, rows_of
 
 QUERIES = {name: contract.queries()[name] for name in registry.QUERIES}
 SQL = {name: contract.oracle_sql()[name] for name in registry.SQL}
-EAGER = {"incremental_ingest", "touched_refresh", "stream_daily_counts", "series_merge"}
+EAGER = {"incremental_ingest", "touched_refresh", "stored_market_summary", "stream_daily_counts", "series_merge"}
 
 
 @pytest.fixture(scope="module")
