@@ -104,9 +104,9 @@ def train(rows: DataFrame) -> Model:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
-            texts = pc.utf8_lower(words.as_array(batch.column(1)))
+            texts = words.as_array(batch.column(1))
             for a, b in words.steps(texts, STEP_BYTES):
-                bounds, codes, distinct = words.split(texts.slice(a, b - a))
+                bounds, codes, distinct = words.split(pc.utf8_lower(texts.slice(a, b - a)))
                 feature, owner = ngrams(distinct, SIZES, BUCKETS, whole=False)
                 scripts = _scripts(distinct)
                 of = np.repeat(np.arange(b - a), np.diff(bounds))
@@ -225,9 +225,9 @@ def labelled_of(spark: SparkSession, model: Model, text: str = "text", penalty:
     def label(column: pa.Array) -> pa.Array:
         own, out = held.value, []
         names = own.languages
-        texts = pc.utf8_lower(words.as_array(column))
+        texts = words.as_array(column)
         for a, b in words.steps(texts, STEP_BYTES) if names else []:
-            bounds, codes, distinct = words.split(texts.slice(a, b - a))
+            bounds, codes, distinct = words.split(pc.utf8_lower(texts.slice(a, b - a)))
             by_word, has = word_scores(distinct, own)
             letters = _scripts(distinct).sum(1)[codes]
             path = viterbi(by_word[codes], bounds, penalty)

@@ -18,6 +18,8 @@ from gavelwork.llm.common import saved, text_or_empty, with_components
 SHINGLE = 3
 RADIUS = 2
 SEED = 42
+#: Bytes of text that are hashed in one step.
+STEP_BYTES = 3_000_000
 #: Fingerprints in one tree; a shard with more is cut into pieces, each with a tree of its own.
 TREE_NODES = 4_000
 
@@ -69,9 +71,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id"
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pc.ascii_lower(words.as_array(batch.column(2)))
-            for begin, end in words.steps(texts):
-                marks = _majority(*_hashes(texts.slice(begin, end - begin), shingle))
+            texts = words.as_array(batch.column(2))
+            for begin, end in words.steps(texts, STEP_BYTES):
+                marks = _majority(*_hashes(pc.ascii_lower(texts.slice(begin, end - begin)), shingle))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(begin, end - begin), batch.column(1).slice(begin, end - begin), pa.array(marks.view(np.int64)),
                 ], schema=schema)

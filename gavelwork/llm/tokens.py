@@ -20,7 +20,7 @@ import pyarrow as pa
 from gavelwork.llm.words import Cache, split
 
 #: Pieces whose ids a worker process keeps.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 300_000
 
 # Characters for which lower-casing is one to one, composition changes nothing and the classes are fixed.
 _PLAIN = re.compile("[!-~¡-įı-ȳ]+")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are split in one step; a longer text is a step of its own.
-STEP_BYTES = 12_000_000
+STEP_BYTES = 6_000_000
 
 
 def steps(texts: pa.Array, size: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
@@ -30,7 +30,8 @@ def as_array(column) -> pa.Array:
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    column = column.cast(pa.large_string())
+    return pc.fill_null(column, "") if column.null_count else column
 
 
 def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
