@@ -20,12 +20,21 @@ _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "classes", "parent", "children")
+    __slots__ = ("tag", "attrs", "classes", "parent", "children", "known")
 
     def __init__(self, tag: str, attrs: dict, parent: "Element | None"):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.classes: list[str] = (attrs.get("class") or "").split()
         self.children: list = []
+        self.known: dict | None = None
+
+    def once(self, name: str, work: Callable[["Element"], object]):
+        """What ``work`` finds on this element, worked out once for all that ask."""
+        if self.known is None:
+            self.known = {}
+        if name not in self.known:
+            self.known[name] = work(self)
+        return self.known[name]
 
     def walk(self) -> Iterator["Element"]:
         """Descendants in document order."""

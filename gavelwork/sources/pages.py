@@ -22,18 +22,21 @@ PRICE = r"\$(\d+\.?\d*)"
 
 
 def _job(extract: Callable[[Element], Iterator[tuple]], schema: pa.Schema):
-    """``mapInArrow`` body: parse every page of the batch, emit the extracted rows."""
+    """``mapInArrow`` body: parse page after page, emit the extracted rows a few at a time."""
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
-            rows = [
-                (url, *row)
-                for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())
-                for row in extract(parse(html))
-            ]
-            columns = list(zip(*rows)) if rows else [()] * len(schema)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema
-            )
+            for url, html in zip(batch.column("url"), batch.column("html")):
+                for row in extract(parse(html.as_py())):
+                    rows.append((url.as_py(), *row))
+                    if len(rows) >= 1000:
+                        yield packed(rows)
+                        rows = []
+        yield packed(rows)
 
     return run
 
@@ -267,13 +270,16 @@ def _in_subscription_area(node: Element) -> bool:
     for depth, parent in enumerate(node.above()):
         if depth == 5 or parent.parent is None:
             return False
-        names = str(parent.classes).lower()
-        words = parent.text().lower()
-        if any(c in names for c in AREA_CLASSES) or any(t in words for t in AREA_TEXTS):
+        if parent.once("area", _is_area):
             return True
     return False
 
 
+def _is_area(node: Element) -> bool:
+    names, words = str(node.classes).lower(), node.text().lower()
+    return any(c in names for c in AREA_CLASSES) or any(t in words for t in AREA_TEXTS)
+
+
 def _price_table(table: Element) -> int | None:
     """Which price-table selector a table meets first, None when none."""
     if "price-summary" in table.classes:
@@ -404,7 +410,7 @@ def _node_rows(selectors) -> Callable[[Element], Iterator[tuple]]:
     def rows(page: Element) -> Iterator[tuple]:
         for number, test in enumerate(selectors):
             for position, node in enumerate(page.all(test)):
-                parent = node.parent.text() if node.parent is not None else ""
+                parent = node.parent.once("text", Element.text) if node.parent is not None else ""
                 yield (
                     number, position, node.text().strip(), " ".join(node.classes), parent,
                     _in_subscription_area(node),

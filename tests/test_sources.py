@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 
@@ -135,3 +136,15 @@ def test_strategies(spark, strategy):
     sealed = spark.createDataFrame([(1, "Box", "Base Set", "Booster Box", 1.0)],
                                    "sealed_product_id int, product_name string, set_name string, product_type string, msrp double")
     assert 0 < catalog.select_items(strategy, cards, sealed, 3).count() <= 3
+
+
+def test_a_long_table_takes_seconds(spark):
+    """The work on a page follows its size: 10,000 rows do not read the page's text 10,000 times."""
+    begin = time.time()
+    rows = "".join(f"<tr><td>2024-01-01</td><td>item {i}</td><td class='price'>${i % 90 + 1}.00</td></tr>" for i in range(10_000))
+    page = spark.createDataFrame(
+        [("u", f"<html><body><div><table><tr><th>Date</th><th>Title</th><th>Price</th></tr>{rows}</table></div></body></html>")], "url string, html string"
+    )
+    assert pages.page_tables(page).count() >= 10_000
+    pages.current_prices(page).collect()
+    assert time.time() - begin < 60
