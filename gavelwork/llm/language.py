@@ -19,6 +19,8 @@ from gavelwork.llm.features import code_points, ngrams
 BUCKETS, SIZES = 1 << 16, (1, 2, 3)
 #: Documents of each language that the counts are learned from, at most.
 SAMPLE_DOCS = 2_000
+#: Parts of a hash by which the sample is first narrowed, so that no task orders a whole language.
+DRAW_BUCKETS = 1 << 16
 #: Sampled ids that are sent to every task at most.
 BROADCAST_ROWS = 200_000
 FOLDS, HELD, SEED = 4, 2, 11
@@ -84,8 +86,16 @@ def training_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     """
     known = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
-    drawn = saved(known.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= limit).select("doc_id", "lang").distinct(), "drawn")
+    draw = F.xxhash64("doc_id", F.lit(SEED))
+    known = known.select("doc_id", "lang", draw.alias("draw"), F.pmod(draw, F.lit(DRAW_BUCKETS)).cast("int").alias("bucket"))
+    # the bucket in which each language's sample is full; later ones need not be ordered
+    upto = Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    full = known.groupBy("lang", "bucket").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    last = full.filter(F.col("before") < limit).groupBy("lang").agg(F.max("bucket").alias("last"))
+    near = known.join(last, "lang").filter(F.col("bucket") <= F.col("last"))
+    first = Window.partitionBy("lang").orderBy("bucket", "draw", "doc_id")
+    chosen = near.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= limit)
+    drawn = saved(chosen.select("doc_id", "lang").distinct(), "drawn")
     if drawn.count() <= BROADCAST_ROWS:  # else, with very many languages, a shuffled join gives the same rows
         drawn = F.broadcast(drawn)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang"), text_or_empty(text).alias("text"))
