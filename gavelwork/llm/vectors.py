@@ -192,7 +192,8 @@ def links(rows: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) ->
     return met.repartition(tasks, "dims", "low", "high").groupBy("dims", "low", "high").applyInPandas(one, "node long, linked long, a long, b long")
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_column: str = "vec_id", vector: str = "embedding",
+                 block: int = BLOCK) -> DataFrame:
     """Every row of ``vectors`` as (vec_id, n_links, component_id, kept).
 
     Rows link when the cosine of their vectors is at least ``threshold``; ``n_links`` counts the other
@@ -203,7 +204,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_column: st
     """
     given = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"))
     rows = saved(directions(vectors, id_column, vector), "directions")
-    found = saved(links(rows, threshold), "links")
+    found = saved(links(rows, threshold, block), "links")
     linked = found.filter("node is not null").groupBy("node").agg(F.sum("linked").alias("linked"))
     components = with_components(found.filter("a is not null").select("a", "b"))
     known = rows.join(linked, "node", "left").join(components, "node", "left").select(

@@ -39,11 +39,7 @@ def test_links_and_components(spark, rows, block):
     counts = {i: sum(linked(i, j) for j in fine if j != i) for i in fine}
     assert 0 < sum(counts.values())
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, node string")
-    old, vectors.links.__defaults__ = vectors.links.__defaults__, (vectors.THRESHOLD, block)
-    try:
-        got = vectors.near_vectors(frame).collect()
-    finally:
-        vectors.links.__defaults__ = old
+    got = vectors.near_vectors(frame, block=block).collect()
     assert len(got) == len(rows)
     for r in got:
         i = r["vec_id"]
