@@ -285,38 +285,64 @@ def _hits(title: Column, patterns: Sequence[str]) -> Column:
     return total([flag(text.matches(title, p)) for p in patterns])
 
 
-def gate_v2(listings: DataFrame, expected: str | None = "product_name", sealed: Column | None = None) -> DataFrame:
+def _staged(listings: DataFrame, rules: Mapping) -> tuple[DataFrame, Column, Column]:
+    """Listings with what the rule rows find in their titles; the title and price that gates test."""
+    title = F.lower(F.coalesce(F.col("title"), F.lit("")))
+    price = F.coalesce(F.col("price").cast("double"), F.lit(0.0))
+    staged = listings.withColumns({
+        "_invalid": _invalid_category(title, rules["invalid"]),
+        "_named": text.any_contains(title, rules["names"]),
+        "_valid": _hits(title, rules["valid"]),
+    })
+    return staged, title, price
+
+
+def _first_reason(title: Column, price: Column, own: Sequence[tuple[Column, object]]) -> Column:
+    """The first rule that fails: those of all gates around the gate's own."""
+    return text.first_match([
+        (title == "", F.lit("No title")),
+        (F.col("_invalid").isNotNull(), F.concat(F.lit("Invalid: "), F.col("_invalid"))),
+        (price <= 0, F.lit("Invalid price")),
+        (price < 0.5, F.lit("Price too low (likely damaged/fake)")),
+        *own,
+        (F.length(title) < 10, F.lit("Title too short")),
+        (F.length(F.regexp_replace(title, "[^ ]", "")) < 2, F.lit("Title too simple")),
+    ], F.lit("Passed quality checks"))
+
+
+#: Rule rows of the two gates; a caller's own mapping with the same keys takes their place.
+RULES_V2 = {
+    "invalid": fixed.GATE_V2_INVALID, "names": fixed.GATE_V2_NAMES, "valid": fixed.GATE_V2_VALID,
+    "indicators": fixed.GATE_V2_INDICATORS,
+}
+RULES_V1 = {
+    "invalid": fixed.GATE_V1_INVALID, "names": fixed.GATE_V1_NAMES, "valid": fixed.GATE_V1_VALID,
+    "card_types": fixed.GATE_V1_CARD_TYPES,
+}
+
+
+def gate_v2(listings: DataFrame, expected: str | None = "product_name", sealed: Column | None = None,
+            rules: Mapping = RULES_V2) -> DataFrame:
     """Quality gate for cards and sealed products.
 
     Adds ``is_valid``, ``reason``, ``reason_class``, ``invalid_category`` and
     ``quality_score``. The first failing rule names the reason.
     """
-    title = F.lower(F.coalesce(F.col("title"), F.lit("")))
-    price = F.coalesce(F.col("price").cast("double"), F.lit(0.0))
     is_sealed = F.lit(False) if sealed is None else sealed
-    staged = listings.withColumns({
-        "_invalid": _invalid_category(title, fixed.GATE_V2_INVALID),
-        "_indicators": _hits(title, fixed.GATE_V2_INDICATORS),
-        "_named": text.any_contains(title, fixed.GATE_V2_NAMES),
-        "_valid": _hits(title, fixed.GATE_V2_VALID),
+    staged, title, price = _staged(listings, rules)
+    staged = staged.withColumns({
+        "_indicators": _hits(title, rules["indicators"]),
         "_match": F.lit(None).cast("double") if expected is None else text.name_match_score(title, F.col(expected)),
     })
     named, indicators, match = F.col("_named"), F.col("_indicators"), F.col("_match")
     mismatch = F.lit(None).cast("string") if expected is None else F.concat(
         F.lit("Item name mismatch: expected '"), F.col(expected), F.lit("' not well matched")
     )
-    reason = (
-        F.when(title == "", "No title")
-        .when(F.col("_invalid").isNotNull(), F.concat(F.lit("Invalid: "), F.col("_invalid")))
-        .when(price <= 0, "Invalid price")
-        .when(price < 0.5, "Price too low (likely damaged/fake)")
-        .when(match < 0.3, mismatch)
-        .when(~named & (indicators == 0) & is_sealed, "No Pokemon indicators found for sealed product")
-        .when(~named & (indicators == 0), "No Pokemon name or 'pokemon' found in title")
-        .when(F.length(title) < 10, "Title too short")
-        .when(F.length(F.regexp_replace(title, "[^ ]", "")) < 2, "Title too simple")
-        .otherwise("Passed quality checks")
-    )
+    reason = _first_reason(title, price, [
+        (match < 0.3, mismatch),
+        (~named & (indicators == 0) & is_sealed, F.lit("No Pokemon indicators found for sealed product")),
+        (~named & (indicators == 0), F.lit("No Pokemon name or 'pokemon' found in title")),
+    ])
     score = (
         F.lit(0.4)
         + F.when(named, 0.3).otherwise(0.0)
@@ -331,34 +357,21 @@ def gate_v2(listings: DataFrame, expected: str | None = "product_name", sealed:
     })
 
 
-def gate_v1(listings: DataFrame, expected: str | None = "product_name") -> DataFrame:
+def gate_v1(listings: DataFrame, expected: str | None = "product_name", rules: Mapping = RULES_V1) -> DataFrame:
     """Stricter gate for single cards; the score has no upper cap."""
-    title = F.lower(F.coalesce(F.col("title"), F.lit("")))
-    price = F.coalesce(F.col("price").cast("double"), F.lit(0.0))
+    staged, title, price = _staged(listings, rules)
     types = F.lit(False)
-    for kind in fixed.GATE_V1_CARD_TYPES:
+    for kind in rules["card_types"]:
         types = types | title.contains(f" {kind}") | title.contains(f"{kind} ")
     contained = F.lit(False) if expected is None else title.contains(F.lower(F.col(expected)))
-    staged = listings.withColumns({
-        "_invalid": _invalid_category(title, fixed.GATE_V1_INVALID),
-        "_named": text.any_contains(title, fixed.GATE_V1_NAMES),
-        "_valid": _hits(title, fixed.GATE_V1_VALID),
-    })
     named, word = F.col("_named"), title.contains("pokemon")
     mismatch = F.lit(None).cast("string") if expected is None else F.concat(
         F.lit("Card name mismatch: expected '"), F.col(expected), F.lit("' not found in title")
     )
-    reason = (
-        F.when(title == "", "No title")
-        .when(F.col("_invalid").isNotNull(), F.concat(F.lit("Invalid: "), F.col("_invalid")))
-        .when(price <= 0, "Invalid price")
-        .when(price < 0.5, "Price too low (likely damaged/fake)")
-        .when(F.lit(expected is not None) & ~contained, mismatch)
-        .when(~named & ~word, "No Pokemon name or 'pokemon' found in title")
-        .when(F.length(title) < 10, "Title too short")
-        .when(F.length(F.regexp_replace(title, "[^ ]", "")) < 2, "Title too simple")
-        .otherwise("Passed quality checks")
-    )
+    reason = _first_reason(title, price, [
+        (F.lit(expected is not None) & ~contained, mismatch),
+        (~named & ~word, F.lit("No Pokemon name or 'pokemon' found in title")),
+    ])
     score = (
         F.lit(0.5)
         + F.when(named, 0.2).otherwise(0.0)

@@ -114,3 +114,12 @@ def test_title_mismatch(spark):
         "Card name not found in title", "Different Pokemon: expected charizard, found pikachu",
         "Potential set mismatch: expected Brilliant Stars", "Card number mismatch: expected 154/172",
     ]
+
+
+def test_gates_take_other_rules(spark):
+    rows = spark.createDataFrame([("Garden gnome mint boxed", 5.0), ("Garden gnome chipped mint", 5.0)], "title string, price double")
+    rules = {**quality.RULES_V2, "names": ("gnome",), "invalid": {"damaged": (r"\bchipped\b",)}}
+    got = [(r.is_valid, r.invalid_category) for r in quality.gate_v2(rows, expected=None, rules=rules).orderBy("title").collect()]
+    assert got == [(False, "damaged"), (True, None)]
+    rules = {**quality.RULES_V1, "names": ("gnome",), "invalid": {"damaged": (r"\bchipped\b",)}}
+    assert [r.is_valid for r in quality.gate_v1(rows, expected=None, rules=rules).orderBy("title").collect()] == [False, True]
