@@ -182,6 +182,8 @@ def upsert(path: str, incoming: DataFrame, keys: Sequence[str], newest: Column |
         touched = [r["merge_bucket"] for r in rows.select("merge_bucket").distinct().collect()]  # at most ``buckets`` numbers
         stored = spark.read.parquet(path).filter(F.col("merge_bucket").isin(touched))
     merged = keyed_merge(stored, rows, [*keys, "merge_bucket"], newest)
+    # one file or few for each partition; adaptive execution splits a large one over tasks
+    merged = merged.hint("rebalance", F.col("merge_bucket"))
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("merge_bucket").parquet(path)
 
 

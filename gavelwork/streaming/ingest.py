@@ -39,7 +39,8 @@ def start_ingest(listings: DataFrame, table: str, checkpoint: str,
             touched = [r["url_bucket"] for r in rows.select("url_bucket").distinct().collect()]  # at most ``buckets`` numbers
             stored = spark.read.parquet(table).filter(F.col("url_bucket").isin(touched) & (F.col("batch_id") != batch_id))
             rows = rows.join(stored.select("listing_url"), "listing_url", "left_anti")
-        rows.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").option(
+        rows = rows.withColumn("batch_id", F.lit(batch_id).cast("long")).hint("rebalance", F.col("url_bucket"))
+        rows.write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("url_bucket", "batch_id").parquet(table)
         if on_new is not None:
             on_new(spark.read.parquet(table).filter(F.col("batch_id") == batch_id), batch_id)
