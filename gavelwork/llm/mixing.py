@@ -158,11 +158,19 @@ def _decide(rows: DataFrame, weights, share: float, repeat: int) -> DataFrame:
     up = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("l"))
     before = F.coalesce(F.sum("n").over(up), F.lit(0))
-    shares = counted.withColumn("before", before).join(plans, same).select(
-        "s", "l", F.col("bucket").alias("b"), "source_size", "target", "passes", "n",
+    # the key of the last join has no nulls, so that join and window deal the documents alike and they move once
+    cell = ["no_source", "of_source", "size", "bucket"]
+
+    def keyed(frame: DataFrame, name: str) -> DataFrame:
+        source = F.col(name)
+        return frame.withColumns({"no_source": source.isNull(), "of_source": F.coalesce(source.cast("string"), F.lit(""))}).drop(name)
+
+    shares = keyed(counted.withColumn("before", before).join(plans, same).drop("source"), "s").select(
+        *cell, "source_size", "target", "passes", "n",
         F.least(F.greatest(F.col("extra") - F.col("before"), F.lit(0)), F.col("n")).alias("pick"),
     )
-    at = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("draw", "doc_id"))
-    met = rows.join(saved(shares, "shares"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("l")) & (F.col("bucket") == F.col("b")))
+    at = F.row_number().over(Window.partitionBy(*cell).orderBy("draw", "doc_id"))
+    met = keyed(rows, "source").join(saved(shares, "shares"), cell)
     extra = F.when(F.col("pick") == 0, 0).when(F.col("pick") == F.col("n"), 1).otherwise((at <= F.col("pick")).cast("int"))
-    return met.withColumn("times", (F.col("passes") + extra).cast("long")).drop("s", "l", "b", "bucket", "n", "pick", "passes", "draw", "source")
+    return met.withColumn("times", (F.col("passes") + extra).cast("long")).drop(
+        "no_source", "of_source", "bucket", "n", "pick", "passes", "draw")
