@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,13 @@ SEED = 42
 STEP_BYTES = 3_000_000
 #: Fingerprints in one tree; a shard with more is cut into pieces, each with a tree of its own.
 TREE_NODES = 4_000
+#: Near-dedup of documents: words of a shingle, least Jaccard similarity, and bits within which
+#: fingerprints of the shingle sets are compared (at 0.8 they differ in 10 bits on average).
+DEDUP_SHINGLE, SIMILARITY, DEDUP_RADIUS = 5, 0.8, 22
+#: Shards of the near-dedup: bands of so many smallest hashes; at 0.8 all bands miss 3 pairs in a million.
+BANDS, BAND_ROWS = 24, 4
+#: Fingerprints of one side that are compared with all others of their piece in one step.
+SCAN_ROWS = 256
 
 
 def _hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,16 +256,175 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
     ).drop("row")
 
 
-def deduplicate(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different shingle hashes of every text in ascending order, and the bounds of each text."""
+    hashes, bounds = _hashes(pc.ascii_lower(texts), shingle)
+    own = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    return np.concatenate([np.zeros(0, np.uint64), *own]), np.cumsum([0, *map(len, own)])
+
+
+def _bands(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(texts x BANDS) keys, each of BAND_ROWS smallest hashes; texts without shingles share theirs."""
+    keys = np.zeros((len(bounds) - 1, BANDS), np.uint64)
+    full = np.flatnonzero(np.diff(bounds))
+    if not len(full):
+        return keys
+    turns = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * BAND_ROWS, 2), np.int64).astype(np.uint64)
+    for i, (turn, factor) in enumerate(turns):
+        least = np.minimum.reduceat((hashes ^ turn) * (factor | np.uint64(1)), bounds[full])
+        mixed = (keys[full, i // BAND_ROWS] ^ least) * np.uint64(0x9E3779B97F4A7C15)
+        keys[full, i // BAND_ROWS] = mixed ^ (mixed >> np.uint64(29))
+    return keys
+
+
+def set_marks(rows: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, row, digest, size, fingerprint, bands) of the shingle set of every row (doc_id, row, text)."""
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("row", pa.int64()), ("digest", pa.binary()), ("size", pa.int64()), ("fingerprint", pa.int64()),
+        ("bands", pa.list_(pa.int64())),
+    ])
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = words.as_array(batch.column(2))
+            for begin, end in words.steps(texts, STEP_BYTES):
+                hashes, bounds = shingle_sets(texts.slice(begin, end - begin), shingle)
+                digests = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                keys = _bands(hashes, bounds).view(np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(begin, end - begin), batch.column(1).slice(begin, end - begin), pa.array(digests, pa.binary()),
+                    pa.array(np.diff(bounds)), pa.array(_majority(hashes, bounds).view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())),
+                ], schema=schema)
+
+    kinds = "doc_id long, row long, digest binary, size long, fingerprint long, bands array<long>"
+    return rows.select("doc_id", "row", text_or_empty().alias("text")).mapInArrow(marked, kinds)
+
+
+def _candidates(rows: pd.DataFrame, radius: int, similarity: float, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b) of nodes in one piece or two whose fingerprints and sizes allow the similarity
+    and whose groups differ; ``nearest``: for every node only the nearest one before it."""
+    marks, size, group, node = (rows[c].to_numpy() for c in ("fingerprint", "size", "group", "node"))
+    marks, side = marks.view(np.uint64), rows["side"].to_numpy()
+    first = np.flatnonzero(side == 0)
+    second = np.flatnonzero(side == 1) if side.any() else first
+    for begin in range(0, len(second) if len(first) else 0, SCAN_ROWS):
+        own = second[begin:begin + SCAN_ROWS]
+        before = first if side.any() else first[:begin + len(own)]
+        distance = np.bitwise_count(marks[own][:, None] ^ marks[before])
+        fits = (distance <= radius) & (group[own][:, None] != group[before])
+        fits &= np.minimum(size[own][:, None], size[before]) >= similarity * np.maximum(size[own][:, None], size[before])
+        if not side.any():
+            fits &= before < own[:, None]
+        if nearest:  # of equally near ones the last, so that copies make a chain and no star
+            at = np.where(fits, distance, 255)[:, ::-1].argmin(axis=1)
+            at = fits.shape[1] - 1 - at
+            i = np.flatnonzero(fits[np.arange(len(own)), at])
+            yield node[own[i]], node[before[at[i]]]
+        else:
+            i, j = np.nonzero(fits)
+            yield node[own[i]], node[before[j]]
+
+
+def candidate_pairs(nodes: DataFrame, radius: int, similarity: float, nearest: bool, piece: int = TREE_NODES) -> DataFrame:
+    """Pairs (a, b) of nodes of a stored table (node, size, fingerprint, bands, group) that share a
+    band, differ in ``radius`` bits at most and are of different groups, see ``_candidates``.
+
+    A shard is the nodes of one band key; like those of ``near_links`` it is sent to one task, or
+    in pieces of ``piece`` nodes of which every two meet.
+    """
+    keyed = nodes.select("node", "size", "fingerprint", "group", F.posexplode("bands").alias("table", "key"))
+    sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("n"), F.count_distinct("group").alias("groups"))
+    shards = keyed.join(sizes.filter("groups > 1").drop("groups"), ["table", "key"])
+    pieces = F.ceil(F.col("n") / piece).cast("int")
+    own = F.pmod(F.xxhash64("node"), pieces).cast("int")
+    dealt = shards.withColumns({"pieces": pieces, "own": own}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(
+        "table", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "fingerprint", "node", "size", "group",
+    )
+    ids = ["table", "key", "low", "high"]
+    spread = dealt.repartition(*ids).sortWithinPartitions(*ids, "side", "fingerprint", "node")
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def close(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            keys = rows[ids].to_numpy()
+            new = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *new.tolist()], [*new.tolist(), len(rows)], strict=True):
+                if b - a > 1:
+                    for left, right in _candidates(rows.iloc[a:b], radius, similarity, nearest):
+                        if len(left):
+                            yield pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)})
+
+        rest = None
+        for frame in frames:
+            rows = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            if not len(rows):
+                continue
+            same = (rows[ids] == rows[ids].iloc[-1]).all(axis=1).to_numpy()
+            last = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0
+            rest = rows.iloc[last:]
+            if last:
+                yield from close(rows.iloc[:last])
+        if rest is not None:
+            yield from close(rest)
+
+    return spread.mapInPandas(search, "a long, b long").distinct()
+
+
+def similar_pairs(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The stored pairs (a, b) of rows (row, text) whose shingle sets have the Jaccard similarity."""
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = words.as_array(batch.column(1))
+            for begin, end in words.steps(texts, STEP_BYTES):
+                hashes, bounds = shingle_sets(texts.slice(begin, end - begin), shingle)
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), lists], names=["row", "own"])
+
+    used = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    held = saved(rows.join(used, "row").select("row", text_or_empty().alias("text")).mapInArrow(sets, "row long, own array<long>"), "sets")
+    met = pairs.join(held.select(F.col("row").alias("a"), F.col("own").alias("left")), "a").join(
+        held.select(F.col("row").alias("b"), F.col("own").alias("right")), "b")
+    both = F.size(F.array_intersect("left", "right"))
+    return met.filter(both / (F.size("left") + F.size("right") - both) >= similarity).select("a", "b")
+
+
+def similar_groups(nodes: DataFrame, rows: DataFrame, radius: int, shingle: int, similarity: float) -> DataFrame:
+    """(node, component) of all nodes that a chain of similar pairs links with another.
+
+    First every node is checked with its nearest one of each shard, which settles most groups by
+    about one pair a node; then all candidates that are still in different groups are checked.
+    """
+    alone = nodes.withColumn("group", F.col("node"))
+    pairs = saved(candidate_pairs(alone, radius, similarity, True), "nearest")
+    links = saved(similar_pairs(pairs, rows, shingle, similarity), "links")
+    found = with_components(links)
+    grouped = saved(nodes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"), "grouped")
+    more = saved(candidate_pairs(grouped, radius, similarity, False).join(pairs, ["a", "b"], "left_anti"), "others")
+    return with_components(links.unionByName(similar_pairs(more, rows, shingle, similarity)))
+
+
+def deduplicate(docs: DataFrame, radius: int = DEDUP_RADIUS, doc_id: str = "doc_id", text: str = "text",
+                shingle: int = DEDUP_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest id (of rows
-    that repeat it, one); rows with a null id all stay. All columns are kept whatever their names."""
+    that repeat it, one); rows with a null id all stay. All columns are kept whatever their names.
+
+    Rows are linked if the Jaccard similarity of their sets of ``shingle`` words is ``similarity``
+    or more: rows with equal sets are one node, nodes that share a band and have fingerprints within
+    ``radius`` are candidates, and candidates are checked on their shingle sets.
+    """
     names = docs.columns
     rows = saved(docs.select(
         F.struct(*[F.col(f"`{n}`") for n in names]).alias("doc"), F.monotonically_increasing_id().alias("row"),
     ), "near")
-    fields = rows.select(F.col(f"doc.`{doc_id}`").alias("doc_id"), F.col(f"doc.`{text}`").alias("text"), "row")
-    marks = saved(fingerprints(fields, row=F.col("row")).filter("doc_id is not null"), "simhash")
-    near = marks.join(near_groups(marks, radius), "fingerprint").select("doc_id", "row", "component_id")
+    fields = rows.select(F.col(f"doc.`{doc_id}`").cast("long").alias("doc_id"), F.col(f"doc.`{text}`").alias("text"), "row")
+    marks = saved(set_marks(fields.filter("doc_id is not null"), shingle), "simhash")
+    nodes = saved(marks.groupBy("digest").agg(F.min(F.struct("row", "size", "fingerprint", "bands")).alias("m"), F.count("*").alias("n")).select(
+        "digest", "n", F.col("m.row").alias("node"), "m.size", "m.fingerprint", "m.bands"), "nodes")
+    found = nodes.select("digest", "n", "node").join(similar_groups(nodes.drop("digest", "n"), fields, radius, shingle, similarity), "node", "left")
+    near = marks.select("doc_id", "row", "digest").join(
+        found.filter("component is not null or n > 1").select("digest", F.coalesce("component", "node").alias("component_id")), "digest")
+    near = saved(near.drop("digest"), "members")
     stays = near.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).getField("row").alias("first"))
     dropped = near.join(stays, "component_id").filter("row <> first").select("row")
     return rows.join(dropped, "row", "left_anti").select("doc.*")

@@ -112,3 +112,31 @@ def test_components_of_chains_and_stars(spark):
 def test_majority_is_strict():
     hashes = np.array([0b11, 0b01, 0b10, 0b01], np.uint64)
     assert simhash._majority(hashes, np.array([0, 2, 2, 4])).tolist() == [0b01, 0, 0]
+
+
+def jaccard(a, b, shingle=5):
+    sets = []
+    for text in (a, b):
+        found = text.translate(LOWER).split()
+        sets.append({tuple(found[i:i + shingle]) for i in range(max(1, len(found) - shingle + 1))} if found else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+@pytest.mark.parametrize("piece", [3, 4000])
+def test_near_copies_are_those_of_all_pairs(spark, monkeypatch, piece):
+    """Copies with changed words around the similarity, in small pieces of shards and in whole ones."""
+    monkeypatch.setattr(simhash.candidate_pairs, "__defaults__", (piece,))
+    rng, texts = random.Random(3), []
+    for _ in range(12):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(rng.choice([4, 12, 60, 300]))]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.randint(1, max(1, len(base) // 45))):
+                copy[rng.randrange(len(copy))] = f"x{rng.randint(0, 5000)}"
+            texts.append(" ".join(copy))
+    texts += [" ".join(["same", "words"] * 200 + [f"end{i}" for i in range(n)]) for n in (0, 1, 30)]
+    label = components(range(len(texts)), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect())
+    assert kept == sorted(set(label.values())) and 20 < len(kept) < len(texts) - 10
