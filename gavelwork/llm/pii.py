@@ -34,6 +34,16 @@ _FORMS = {
 }
 _ANY = re.compile("|".join(f"(?P<{kind}>{form})" for kind, form in _FORMS.items()).replace(r"\1", "(?P=d1)").replace(r"\2", "(?P=d2)").replace(
     "[0-9]{4}([-/.])", "[0-9]{4}(?P<d1>[-/.])").replace("[0-9]{1,2}([-/.])", "[0-9]{1,2}(?P<d2>[-/.])"))
+_EACH = {kind: re.compile(form) for kind, form in _FORMS.items()}
+#: Where a value of groups may end before others that were read with it.
+_BORDERS = {"card": " -", "iban": " ", "phone": " .-"}
+# Lengths of the IBANs of a country, as registered with SWIFT.
+_IBAN_LENGTHS = {country: int(n) for n, countries in (
+    ("15", "NO"), ("16", "BE"), ("18", "DK FI FK FO GL NL SD"), ("19", "MK SI"), ("20", "AT BA EE KZ LT LU MN XK"), ("21", "CH HR LI LV"),
+    ("22", "BG BH CR DE GB GE IE ME RS VA"), ("23", "AE GI IL IQ OM SO TL"), ("24", "AD CZ DZ ES MD PK RO SA SE SK TN VG"),
+    ("25", "LY PT ST"), ("26", "IS TR"), ("27", "BI DJ FR GR IT MC MR SM"), ("28", "AL AZ BY CY DO GT HN HU LB NI PL SV"),
+    ("29", "BR EG PS QA UA"), ("30", "JO KW MU YE"), ("31", "MT SC"), ("32", "LC"), ("33", "RU"),
+) for country in countries.split()}
 #: No value is without an at sign or two digits in a row or beside a mark.
 _HINT = r"@|[0-9][0-9./\-]"
 
@@ -192,22 +202,48 @@ def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | Non
     return _MAKE[kind](text, lambda n, size: permute(n, size, key, f"{kind} {size}", back))
 
 
+def _tries(kind: str, text: str) -> Iterator[str]:
+    """The text and what of it ends on a border of its groups, the longest first; of an IBAN before
+    all others what has the length of its country."""
+    borders = [i for i, c in enumerate(text) if c in _BORDERS.get(kind, "")]
+    ends = [len(text), *reversed(borders)]
+    if kind == "iban":
+        ends.sort(key=lambda end: len(text[:end].replace(" ", "")) != _IBAN_LENGTHS.get(text[:2]))
+    return (text[:end] for end in ends)
+
+
 def pseudonymiser(key: bytes) -> Callable[[str], tuple[str, list[str]]]:
-    """A function from a text to the text with pseudonyms and the kinds it replaced."""
+    """A function from a text to the text with pseudonyms and the kinds it replaced.
+
+    Where a value could begin, every kind is tried in turn and each from the longest text down to
+    shorter ones; where none is valid, the next place where one could begin is looked for.
+    """
     known = lru_cache(1 << 16)(lambda kind, value: pseudonym(kind, value, key))
 
+    def first(text: str, at: int) -> tuple[str, str, str] | None:
+        for kind, form in _EACH.items():
+            found = form.match(text, at)
+            for value in _tries(kind, found[0]) if found else ():
+                new = known(kind, value)
+                if new is not None:
+                    return kind, value, new
+        return None
+
     def run(text: str) -> tuple[str, list[str]]:
         kinds: list[str] = []
-
-        def put(found: re.Match) -> str:
-            kind = found.lastgroup if found.lastgroup in KINDS else next(k for k in KINDS if found[k])
-            new = known(kind, found[0])
-            if new is None:
-                return found[0]
+        parts: list[str] = []
+        done = at = 0
+        while found := _ANY.search(text, at):
+            at = found.start()
+            valid = first(text, at)
+            if valid is None:
+                at += 1
+                continue
+            kind, value, new = valid
             kinds.append(kind)
-            return new
-
-        return _ANY.sub(put, text), kinds
+            parts += [text[done:at], new]
+            done = at = at + len(value)
+        return "".join([*parts, text[done:]]), kinds
 
     return run
 

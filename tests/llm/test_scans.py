@@ -75,6 +75,18 @@ def test_what_is_not_valid_stays(text):
     assert pii.pseudonymiser(KEY)(text) == (text, [])
 
 
+@pytest.mark.parametrize("text,kind,value", [
+    ("4111 1111 1111 1111 123", "card", "4111 1111 1111 1111"), ("4111 1111 1111 1111 12/27", "card", "4111 1111 1111 1111"),
+    ("4111-1111-1111-1111-123", "card", "4111-1111-1111-1111"), ("ref 1234 4111 1111 1111 1111", "card", "4111 1111 1111 1111"),
+    ("AT61 1904 3002 3457 3201 BIC OPSKATWW", "iban", "AT61 1904 3002 3457 3201"),
+    ("GB82 WEST 1234 5698 7654 32 ABC", "iban", "GB82 WEST 1234 5698 7654 32"),
+    ("+49 151 1234 5678 2024", "phone", "+49 151 1234 5678"),
+])
+def test_values_before_other_digits_and_capitals(text, kind, value):
+    new = pii.pseudonym(kind, value, KEY)
+    assert pii.pseudonymiser(KEY)(text) == (text.replace(value, new), [kind])
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 1000, 4097])
 def test_permutation(size):
     assert sorted(pii.permute(i, size, KEY, "x") for i in range(size)) == list(range(size))
