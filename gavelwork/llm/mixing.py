@@ -56,8 +56,8 @@ def subset_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, table: i
     while they leave room to spare; the rest is a bounded knapsack by dynamic programming over
     the sums up to ``table``: each length's count is cut into binary parts, and the part that
     first reached a sum leads back to the documents. The nearest sum that can be reached counts.
-    Documents longer than half the table can't be part of the last sum; they are taken while they
-    fit, and once more if that brings a budget that is still larger than the table nearer.
+    Documents longer than half the table are taken while they fit; the shortest one that is left
+    is taken in place of the shorter single documents and the last sum if that is nearer.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
@@ -65,7 +65,8 @@ def subset_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, table: i
         return np.zeros(len(lengths), np.int64)
     if budget >= total:
         return counts.copy()
-    taken = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
+    even = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
+    taken = even.copy()
     rest = budget - int((lengths * taken).sum())
     order = np.argsort(-lengths, kind="stable").tolist()
     spare = min(4 * int(lengths.max()), table // 2)
@@ -75,11 +76,12 @@ def subset_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, table: i
             n = min(free, max(0, rest if length > table // 2 else rest - spare) // length)
             taken[i] += n
             rest -= n * length
+    longer = np.where(lengths > table // 2, taken, even)
+    left = [i for i in order if lengths[i] > table // 2 and counts[i] > taken[i]]
+    longer[left[-1:]] += 1
+    over = int((lengths * longer).sum()) - budget if left else budget
     if rest > table:
-        left = [i for i in order if counts[i] > taken[i] and lengths[i]]
-        if left and abs(rest - int(lengths[left[-1]])) < rest:
-            taken[left[-1]] += 1
-        return taken
+        return longer if over < rest else taken
     short = lengths[(lengths > 0) & (lengths <= table // 2)]
     room = rest + (int(short.max()) if len(short) else 0)  # of use above the budget: one document more
     reach, first, parts = np.zeros(room + 1, bool), np.full(room + 1, -1, np.int32), []
@@ -96,6 +98,8 @@ def subset_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, table: i
             free, chunk = free - n, 2 * chunk
     sums = np.flatnonzero(reach)
     at = int(sums[np.argmin(np.abs(sums - rest))])
+    if over < abs(at - rest):
+        return longer
     while at:
         i, n = parts[first[at]]
         taken[i] += n

@@ -66,6 +66,15 @@ def test_many_lengths_meet_the_budget():
     assert int((huge * taken).sum()) == 100_000_009 and len(taken) == 2
 
 
+@pytest.mark.parametrize("lengths,counts,budget,words", [
+    ([600_000], [1], 450_000, 600_000), ([600_000], [1], 250_000, 0), ([600_000], [1], 550_000, 600_000), ([10, 600_000], [5, 1], 450_000, 600_030),
+    ([10, 600_000], [5, 1], 40, 40), ([600_000, 900_000], [1, 1], 500_000, 600_000), ([200_000, 600_000], [1, 1], 450_000, 600_000),
+])
+def test_a_huge_document_is_taken_where_it_is_nearer(lengths, counts, budget, words):
+    lengths = np.array(lengths)
+    assert int((lengths * mixing.subset_counts(lengths, np.array(counts), budget)).sum()) == words
+
+
 def test_mix(spark):
     docs = hard(spark)
     plan = mixing.mix_plan(docs).toPandas()
