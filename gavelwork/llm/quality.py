@@ -135,12 +135,18 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id:
 
 
 def train(sample: DataFrame, chars: int = SAMPLE_CHARS) -> Model:
-    """Fit on a bounded sample in one task; documents beyond ``chars`` characters in all are left out."""
+    """Fit on a bounded sample in one task. In the order of the draw every document is taken that
+    fits into what is left of ``chars`` characters in all; raises if a label of the sample has none that fits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["draw"], r["doc_id"]))
-        total = np.cumsum([len(r["text"]) for r in rows])
-        rows = [r for r, n in zip(rows, total, strict=True) if n <= chars]
-        model = fit([r["text"] for r in rows], [r["label"] for r in rows])
+        left, drawn = chars, []
+        for r in rows:
+            if len(r["text"]) <= left:
+                drawn.append(r)
+                left -= len(r["text"])
+        if {r["label"] for r in rows} != {r["label"] for r in drawn}:
+            raise ValueError(f"a label has no document within {chars} characters of the sample")
+        model = fit([r["text"] for r in drawn], [r["label"] for r in drawn])
         yield pa.RecordBatch.from_pydict({
             "vectors": [model.vectors.astype("<f4").tobytes()], "weights": [model.weights.tobytes()], "bias": [model.bias.tobytes()],
         })

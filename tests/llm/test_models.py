@@ -52,6 +52,16 @@ def test_hard_rows_have_scores(spark, model):
     assert quality.filter_quality(hard(spark), labels.limit(0)).count() == len(ROWS)
 
 
+def test_a_text_beyond_the_character_bound_leaves_the_others(spark):
+    texts = ["good text here " * 30] + ["good text here"] * 20 + ["bad!! bad!! bad!!"] * 20
+    rows = [(i, i, t, int("good" in t)) for i, t in enumerate(texts)]
+    sample = spark.createDataFrame(rows, "draw long, doc_id long, text string, label int")
+    model, want = quality.train(sample, 400), quality.fit(texts[1:28], [1] * 20 + [0] * 7)
+    assert np.allclose(model.scalars()[0], want.scalars()[0], atol=1e-5) and np.abs(want.vectors).sum() > 0
+    with pytest.raises(Exception, match="no document within"):
+        quality.train(sample, 10)
+
+
 def test_training_repeats():
     texts, labels = ["good text here"] * 20 + ["bad!! bad!! bad!!"] * 20, [1] * 20 + [0] * 20
     a, b = quality.fit(texts, labels), quality.fit(texts, labels)
