@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gavelwork.functions import text
+from gavelwork.operators import versioned
 
 
 def prepare_listings(rows: DataFrame, sealed: Column, as_of: Column) -> DataFrame:
@@ -153,62 +154,54 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     )
 
 
-#: Partitions of a table that is merged into.
-BUCKETS = 64
-
-
-def bucket_of(*columns: str, buckets: int = BUCKETS) -> Column:
-    """Partition of a row of a merged table, from the leading columns of its key."""
-    return F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in columns]), F.lit(buckets)).cast("int")
-
-
-def read_merged(spark: SparkSession, path: str) -> DataFrame:
-    """A table that ``upsert`` writes, without its partition column."""
-    return spark.read.parquet(path).drop("merge_bucket")
+def read_merged(spark: SparkSession, path: str, touched: DataFrame | None = None) -> DataFrame:
+    """A stored table as it stands, or the rows of the keys in ``touched`` alone."""
+    return versioned.read(spark, versioned.table(spark, path), touched)
 
 
 def upsert(path: str, incoming: DataFrame, keys: Sequence[str], newest: Column | None = None,
-           bucket_by: Sequence[str] | None = None, buckets: int = BUCKETS) -> None:
-    """Keyed merge into a partitioned parquet table (created when missing).
+           bucket_by: Sequence[str] | None = None, buckets: int = versioned.BUCKETS, run: str | None = None, batch: int | None = None) -> bool:
+    """Keyed merge into a stored table (created when missing): the incoming row of a key counts.
 
-    Rows lie in partitions by a hash of ``bucket_by`` (default: the first key). Only the
-    partitions that the incoming rows fall into are read, and they alone are replaced when
-    the job commits; until then the table is as it was.
+    Only the incoming rows are written; the newest row of a key is found on reading. A repeated
+    (run, batch) is left out, see ``versioned``.
     """
-    spark = incoming.sparkSession
-    rows = incoming.withColumn("merge_bucket", bucket_of(*(bucket_by or keys[:1]), buckets=buckets))
-    stored = rows.limit(0)
-    if table_exists(spark, path):
-        touched = [r["merge_bucket"] for r in rows.select("merge_bucket").distinct().collect()]  # at most ``buckets`` numbers
-        stored = spark.read.parquet(path).filter(F.col("merge_bucket").isin(touched))
-    merged = keyed_merge(stored, rows, [*keys, "merge_bucket"], newest)
-    # one file or few for each partition; adaptive execution splits a large one over tasks
-    merged = merged.hint("rebalance", F.col("merge_bucket"))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("merge_bucket").parquet(path)
+    return versioned.write(versioned.table(incoming.sparkSession, path, keys, bucket_by, buckets), incoming, newest, run, batch)
 
 
 SERIES_KEY = ("product_id", "price_date", "source", "condition_category")
 
 
-def store_series(path: str, series: DataFrame) -> None:
+def store_series(path: str, series: DataFrame, run: str | None = None, batch: int | None = None) -> bool:
     """Series upsert on product, day, source and condition."""
-    upsert(path, series, SERIES_KEY)
+    return upsert(path, series, SERIES_KEY, run=run, batch=batch)
+
+
+def store_analyses(path: str, records: DataFrame, run: str | None = None, batch: int | None = None) -> bool:
+    """Append analysis records; those of a (run, batch) that is stored are left out."""
+    return versioned.write(versioned.table(records.sparkSession, path), records, run=run, batch=batch)
+
+
+def store_sets(path: str, sets: DataFrame) -> bool:
+    return upsert(path, sets, ["set_name"])
 
 
-def store_analyses(path: str, records: DataFrame) -> None:
-    append(records, path)
+def store_cards(path: str, cards: DataFrame) -> bool:
+    return upsert(path, cards, ["set_name", "card_number"], F.col("card_name"))
 
 
-def store_sets(path: str, sets: DataFrame) -> None:
-    upsert(path, sets, ["set_name"])
+def store_market_summaries(path: str, summaries: DataFrame, run: str | None = None, batch: int | None = None) -> bool:
+    return upsert(path, summaries, ["product_id"], run=run, batch=batch)
 
 
-def store_cards(path: str, cards: DataFrame) -> None:
-    upsert(path, cards, ["set_name", "card_number"], F.col("card_name"))
+#: What stored listing counts are counted by; series and market summaries are read off them.
+COUNT_KEY = ("product_id", "price_date", "source", "condition_category", "search_strategy", "sold_date", "price")
 
 
-def store_market_summaries(path: str, summaries: DataFrame) -> None:
-    upsert(path, summaries, ["product_id"])
+def store_counts(path: str, counts: DataFrame, run: str | None = None, batch: int | None = None) -> bool:
+    """Add counts (``COUNT_KEY``, n_rows) to the stored ones."""
+    at = versioned.table(counts.sparkSession, path, COUNT_KEY, ["product_id"], sums=["n_rows"])
+    return versioned.write(at, counts.select(*COUNT_KEY, "n_rows"), run=run, batch=batch)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -23,9 +23,14 @@ def market_summary(listings: DataFrame, as_of: Column) -> DataFrame:
     medians are read off value counts, so a card with a third of all listings costs its
     last task no more than its number of different prices.
     """
+    return summary_of_counts(listings.withColumn("n_rows", F.lit(1)), as_of)
+
+
+def summary_of_counts(counted: DataFrame, as_of: Column) -> DataFrame:
+    """``market_summary`` of listings that are counted (``n_rows``) by product, strategy, sale date and price."""
     recent = sold_since(as_of, 30)
-    counts = listings.groupBy("product_id", "search_strategy", "price").agg(
-        F.count("*").alias("n_rows"), F.count_if(recent).alias("n_recent")
+    counts = counted.groupBy("product_id", "search_strategy", "price").agg(
+        F.sum("n_rows").alias("n_rows"), F.coalesce(F.sum(F.when(recent, F.col("n_rows"))), F.lit(0)).alias("n_recent")
     )
     price = F.col("price")
     positive = F.when(price > 0, price)

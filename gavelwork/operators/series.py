@@ -38,6 +38,23 @@ def daily_rows(listings: DataFrame, source: str | None = None) -> DataFrame:
     return rows.filter((F.col("price") > 0) & F.col("price_date").isNotNull())
 
 
+def count_rows(listings: DataFrame) -> DataFrame:
+    """Listings counted by what series and market summaries depend on (``ingest.COUNT_KEY``).
+
+    All listings count, also those that enter no series: such rows have no day, or no positive price.
+    """
+    keyed = series_key(listings).select(
+        text.product_key().alias("product_id"), F.col("_day").alias("price_date"), "source", F.col("_slot").alias("condition_category"),
+        "search_strategy", "sold_date", "price",
+    )
+    return keyed.groupBy(*keyed.columns).agg(F.count("*").alias("n_rows"))
+
+
+def series_of_counts(counts: DataFrame) -> DataFrame:
+    """Series rows of listings counted by ``count_rows``."""
+    return medians_of_counts(counts.filter((F.col("price") > 0) & F.col("price_date").isNotNull()))
+
+
 def medians_of_counts(counts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Series rows from listings counted by series key and price (``n_rows``)."""
     keys = [*keep, *KEY]

@@ -167,24 +167,24 @@ def incremental_ingest(spark, sf_dir):
 
 
 def refreshed(spark, sf_dir):
-    """Paths of series and summaries after streamed passes over listings without repeats."""
+    """Paths of counts, series and summaries after streamed passes over listings without repeats."""
     from gavelwork.functions.text import search_strategy
 
     table, state = scratch_path(spark, "touched-table"), scratch_path(spark, "touched-state")
-    points, summary = scratch_path(spark, "touched-series"), scratch_path(spark, "touched-summary")
+    counts, points, summary = (scratch_path(spark, f"touched-{name}") for name in ("counts", "series", "summary"))
     url = F.concat_ws("-", "listing_id", F.format_string("%.2f", "price"))
     source = landed(spark, sf_dir, 2).withColumn("listing_url", url).withColumn(
         "search_strategy", search_strategy(F.col("search_terms"), F.col("product_type") == "sealed")
     )
-    refresh = stream.refresh_touched(table, points, summary, as_of())
+    refresh = stream.refresh_touched(counts, points, summary, as_of())
     stream.start_ingest(source, table, state, refresh).awaitTermination()
-    return points, summary
+    return counts, points, summary
 
 
 @query("touched_refresh", with_(LISTINGS, SERIES) + f"""
 SELECT product_id, {day('price_date')} AS price_date, source, condition_category, price, data_confidence, listing_count FROM series""")
 def touched_refresh(spark, sf_dir):
-    return days_as_text(ingest.read_merged(spark, refreshed(spark, sf_dir)[0]))
+    return days_as_text(ingest.read_merged(spark, refreshed(spark, sf_dir)[1]))
 
 
 @query("stored_market_summary", with_(LISTINGS) + f"""
@@ -193,7 +193,7 @@ SELECT {PRODUCT_KEY} AS product_id, count(*) AS total_listings, {hu('avg(price)
 FROM listings GROUP BY 1""")
 def stored_market_summary(spark, sf_dir):
     """What the refresh has stored for every product, read back."""
-    stored = ingest.read_merged(spark, refreshed(spark, sf_dir)[1])
+    stored = ingest.read_merged(spark, refreshed(spark, sf_dir)[2])
     return stored.select("product_id", "total_listings", half_up(F.col("avg_price"), 4).alias("avg_price"), "lowest_price", "highest_price")
 
 
@@ -203,8 +203,7 @@ GROUP BY ALL""")
 def stream_daily_counts(spark, sf_dir):
     table, state = scratch_path(spark, "counts"), scratch_path(spark, "counts-state")
     stream.start_daily_counts(landed(spark, sf_dir), table, state).awaitTermination()
-    done = ingest.read_merged(spark, table)
-    return done.select(
+    return stream.daily_counts(spark, table).select(
         F.date_format("day", "yyyy-MM-dd").alias("day"), "product_type", "product_id", "listings",
         half_up(F.col("avg_price"), 4).alias("avg_price"),
     )

@@ -1,4 +1,4 @@
-"""Landed listings as a stream: dedup on URL, append, refresh what was touched."""
+"""Landed listings as a stream: dedup on URL in keyed state, counts kept up to date, refresh of what was touched."""
 
 from __future__ import annotations
 
@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gavelwork.functions import text
-from gavelwork.operators import ingest, market, series
+from gavelwork.operators import ingest, market, series, versioned
 from gavelwork.session import scratch_path
 
+#: State of streams: on the executors' disks in RocksDB, changes saved to the checkpoint with every batch.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 
 def landed(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1000) -> DataFrame:
     """Listings from parquet files as they land."""
@@ -22,72 +27,109 @@ def landed(spark: SparkSession, folder: str, schema, files_per_trigger: int = 10
     )
 
 
+def unseen(staged: DataFrame) -> DataFrame:
+    """Rows whose URL the stream has not given out before. The state is the URLs alone; it has no
+    watermark, so no listing is dropped for its age."""
+    return staged.dropDuplicates(["listing_url"])
+
+
 def start_ingest(listings: DataFrame, table: str, checkpoint: str,
-                 on_new: Callable[[DataFrame, int], None] | None = None, buckets: int = ingest.BUCKETS) -> StreamingQuery:
-    """Append unseen listings to ``table``, then hand them to ``on_new``; one pass over
-    what is there.
-
-    No listing is dropped for its age: a URL counts as seen only if it is stored. The table is
-    partitioned by a hash of the URL, and a batch reads the URLs of its own partitions alone.
-    A batch writes to its ``batch_id`` partitions, so a repeated batch replaces itself
-    instead of appending twice, and the anti-join leaves its rows out.
+                 on_new: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Append unseen listings to ``table``, then hand them to ``on_new``; one pass over what is there.
+
+    Every batch is first cut to the first listing of each URL, with the rank limit before the
+    shuffle, and staged. A second stream with keyed state takes what is staged and lets URLs pass that
+    it has not seen, so a batch costs its own rows and their look-ups, however large the stored
+    table is; that table is not read.
+
+    A batch that is repeated after a failure finds its staged rows, or stages them anew when they
+    have already been passed on, in which case the state knows all their URLs. Each pass of the second
+    stream replaces its own ``batch_id`` partition, and ``on_new`` is called again with the same id.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
+    staging, state = f"{checkpoint}/staged", f"{checkpoint}/urls"
+
+    def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = ingest.first_per_url(batch).withColumn("url_bucket", ingest.bucket_of("listing_url", buckets=buckets))
-        if ingest.table_exists(spark, table):
-            touched = [r["url_bucket"] for r in rows.select("url_bucket").distinct().collect()]  # at most ``buckets`` numbers
-            stored = spark.read.parquet(table).filter(F.col("url_bucket").isin(touched) & (F.col("batch_id") != batch_id))
-            rows = rows.join(stored.select("listing_url"), "listing_url", "left_anti")
-        rows = rows.withColumn("batch_id", F.lit(batch_id).cast("long")).hint("rebalance", F.col("url_bucket"))
-        rows.write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("url_bucket", "batch_id").parquet(table)
+        target = f"{table}/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(target)
         if on_new is not None:
-            on_new(spark.read.parquet(table).filter(F.col("batch_id") == batch_id), batch_id)
+            on_new(spark.read.schema(batch.schema).parquet(target), batch_id)
+
+    def stage(batch: DataFrame, batch_id: int) -> None:
+        spark, folder = batch.sparkSession, f"{staging}/batch-{batch_id}"
+        if not committed(spark, folder):
+            ingest.first_per_url(batch).write.mode("overwrite").parquet(folder)
+        before = {key: spark.conf.get(key, None) for key in STATE}
+        for key, value in STATE.items():
+            spark.conf.set(key, value)
+        try:
+            staged = spark.readStream.schema(batch.schema).parquet(f"{staging}/*")
+            unseen(staged).writeStream.foreachBatch(append).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        finally:
+            for key, value in before.items():
+                spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+        remove(spark, folder)
 
     return (
         listings.filter(F.coalesce("listing_url", F.lit("")) != "")
-        .writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
+        .writeStream.foreachBatch(stage)
+        .option("checkpointLocation", f"{checkpoint}/source")
         .trigger(availableNow=True)
         .start()
     )
 
 
-def refresh_touched(table: str, series_path: str, summary_path: str, as_of) -> Callable[[DataFrame, int], None]:
-    """Batch step: recompute series and market summary of the products in the new rows.
+def committed(spark: SparkSession, folder: str) -> bool:
+    return versioned.Files(spark, folder).exists("_SUCCESS")
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    versioned.Files(spark, folder).remove("")
+
+
+def refresh_touched(counts_path: str, series_path: str, summary_path: str, as_of, run: str = "ingest") -> Callable[[DataFrame, int], None]:
+    """Batch step: keep series and market summary of the products in the new rows up to date.
 
-    Both are merged by product, so partitions without a touched product are not written.
+    The new rows are counted by series key, strategy, sale date and price and added to the stored counts.
+    Medians are exact: they and the summaries are read off the counts of the touched products, of
+    whose buckets alone files are read. A repeated batch is counted once.
     """
-    def refresh(new_rows: DataFrame, _batch_id: int) -> None:
+    def refresh(new_rows: DataFrame, batch_id: int) -> None:
         spark = new_rows.sparkSession
-        touched = new_rows.select("product_type", "product_id").distinct()
-        rows = spark.read.parquet(table).join(touched, ["product_type", "product_id"], "left_semi")
-        ingest.store_series(series_path, series.daily_median_series(rows))
-        keyed = rows.withColumn("product_id", text.product_key())
-        ingest.store_market_summaries(summary_path, market.market_summary(keyed, as_of))
+        fresh = series.count_rows(new_rows).persist()
+        try:
+            ingest.store_counts(counts_path, fresh, run, batch_id)
+            counts = ingest.read_merged(spark, counts_path, fresh.select("product_id").distinct()).persist()
+            ingest.store_series(series_path, series.series_of_counts(counts), run, batch_id)
+            ingest.store_market_summaries(summary_path, market.summary_of_counts(counts, as_of), run, batch_id)
+            counts.unpersist()
+        finally:
+            fresh.unpersist()
 
     return refresh
 
 
-def daily_counts(listings: DataFrame, time: str = "sold_date") -> DataFrame:
-    """Running count and mean price per product and day, as updates: each row replaces the
-    one of its product and day. Late rows count like others."""
-    return (
-        listings.groupBy(F.to_date(time).alias("day"), "product_type", "product_id")
-        .agg(F.count("*").alias("listings"), F.avg("price").alias("avg_price"))
-    )
+def count_days(batch: DataFrame, time: str = "sold_date") -> DataFrame:
+    """Listings and the sum of their prices per product and day, as numbers that can be added up."""
+    cents = F.round(F.col("price") * 100).cast("long")
+    return batch.groupBy(F.to_date(time).alias("day"), "product_type", "product_id").agg(
+        F.count("*").alias("listings"), F.count("price").alias("priced"), F.sum(cents).alias("cents"))
 
 
-def start_daily_counts(listings: DataFrame, table: str, checkpoint: str, time: str = "sold_date") -> StreamingQuery:
-    """Merge the updates of ``daily_counts`` into ``table``; one pass over what is there."""
-    return (
-        daily_counts(listings, time).writeStream.outputMode("update")
-        .foreachBatch(lambda batch, _: ingest.upsert(table, batch, ["product_type", "product_id", "day"], bucket_by=["product_id"]))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def start_daily_counts(listings: DataFrame, table: str, checkpoint: str, time: str = "sold_date", run: str = "days") -> StreamingQuery:
+    """Add up counts per product and day in ``table``; one pass over what is there. The stream has no
+    state: each batch adds its own counts, once, however late its rows are."""
+    def add(batch: DataFrame, batch_id: int) -> None:
+        at = versioned.table(batch.sparkSession, table, ["product_type", "product_id", "day"], ["product_id"], sums=["listings", "priced", "cents"])
+        versioned.write(at, count_days(batch, time), run=run, batch=batch_id)
+
+    return listings.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def daily_counts(spark: SparkSession, table: str) -> DataFrame:
+    """(day, product_type, product_id, listings, avg_price) as stored by ``start_daily_counts``."""
+    rows = ingest.read_merged(spark, table)
+    return rows.select("day", "product_type", "product_id", "listings", F.try_divide(F.col("cents"), F.col("priced") * 100).alias("avg_price"))
 
 
 def ingest_once(spark: SparkSession, stream: DataFrame, name: str = "ingest") -> DataFrame:

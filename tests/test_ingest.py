@@ -133,20 +133,6 @@ def test_stream_ingest_is_incremental(spark, tmp_path):
     assert run() == ["u1", "u2", "u3", "u9"]
 
 
-def test_merge_leaves_other_partitions_alone(spark, tmp_path):
-    path = str(tmp_path / "merged")
-    rows = spark.range(200).selectExpr("concat('p', id) as product_id", "cast(id as double) as price")
-    assert not ingest.table_exists(spark, path)
-    ingest.upsert(path, rows, ["product_id"], buckets=16)
-    before = {f: f.stat().st_mtime_ns for f in tmp_path.rglob("part-*.parquet")}
-    ingest.upsert(path, rows.limit(1).selectExpr("product_id", "-1.0D as price"), ["product_id"], buckets=16)
-    after = {f: f.stat().st_mtime_ns for f in tmp_path.rglob("part-*.parquet")}
-    gone = {f.parent.name for f in before if f not in after}
-    assert len(gone) == 1 and all(after[f] == t for f, t in before.items() if f.parent.name not in gone)
-    merged = ingest.read_merged(spark, path)
-    assert merged.count() == 200 and merged.filter("price = -1").count() == 1
-
-
 def test_freshness_of_names(spark):
     as_of = F.lit("2024-03-01").cast("timestamp")
     listings = spark.sql("""
