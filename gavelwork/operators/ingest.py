@@ -160,7 +160,7 @@ def read_merged(spark: SparkSession, path: str, touched: DataFrame | None = None
 
 
 def upsert(path: str, incoming: DataFrame, keys: Sequence[str], newest: Column | None = None,
-           bucket_by: Sequence[str] | None = None, buckets: int = versioned.BUCKETS, run: str | None = None, batch: int | None = None) -> bool:
+           bucket_by: Sequence[str] | None = None, buckets: int | None = None, run: str | None = None, batch: int | None = None) -> bool:
     """Keyed merge into a stored table (created when missing): the incoming row of a key counts.
 
     Only the incoming rows are written; the newest row of a key is found on reading. A repeated

@@ -147,13 +147,13 @@ def catalog_defaults(spark, sf_dir):
 # -- streams: the line items land as files -------------------------------------------------------------
 
 
-def landed(spark, sf_dir, files=6):
-    """The line items as a stream of listings that lands in several files, one per batch, in no
+def landed(spark, sf_dir, files=16, batches=4):
+    """The line items as a stream of listings that lands in several files, some of them in each batch, in no
     order of time; all rows of an order are in one file."""
     folder = scratch_path(spark, "landed")
     items = views.read(spark, sf_dir, "lineitem")
     items.repartition(files, "l_orderkey").write.parquet(folder)
-    raw = stream.landed(spark, folder, items.schema, files_per_trigger=1)
+    raw = stream.landed(spark, folder, items.schema, files_per_trigger=files // batches)
     return views.listings_of(raw).withColumn("created_at", F.col("sold_date").cast("timestamp"))
 
 
@@ -173,7 +173,7 @@ def refreshed(spark, sf_dir):
     table, state = scratch_path(spark, "touched-table"), scratch_path(spark, "touched-state")
     counts, points, summary = (scratch_path(spark, f"touched-{name}") for name in ("counts", "series", "summary"))
     url = F.concat_ws("-", "listing_id", F.format_string("%.2f", "price"))
-    source = landed(spark, sf_dir, 2).withColumn("listing_url", url).withColumn(
+    source = landed(spark, sf_dir, batches=2).withColumn("listing_url", url).withColumn(
         "search_strategy", search_strategy(F.col("search_terms"), F.col("product_type") == "sealed")
     )
     refresh = stream.refresh_touched(counts, points, summary, as_of())

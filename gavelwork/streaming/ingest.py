@@ -99,7 +99,8 @@ def refresh_touched(counts_path: str, series_path: str, summary_path: str, as_of
         fresh = series.count_rows(new_rows).persist()
         try:
             ingest.store_counts(counts_path, fresh, run, batch_id)
-            counts = ingest.read_merged(spark, counts_path, fresh.select("product_id").distinct()).persist()
+            # dealt by product once: series and summaries are grouped and ordered within products
+            counts = ingest.read_merged(spark, counts_path, fresh.select("product_id").distinct()).repartition("product_id").persist()
             ingest.store_series(series_path, series.series_of_counts(counts), run, batch_id)
             ingest.store_market_summaries(summary_path, market.summary_of_counts(counts, as_of), run, batch_id)
             counts.unpersist()
