@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gavelwork.functions import numbers, text
@@ -196,3 +196,34 @@ def listing_date_range(listings: DataFrame) -> DataFrame:
     return listings.groupBy("product_type", "product_id").agg(
         F.min(seen).alias("earliest"), F.max(seen).alias("latest")
     )
+
+
+def store_bucketed(series: DataFrame, name: str, path: str, buckets: int | None = None) -> DataFrame:
+    """The series as catalog table ``name`` at ``path``, dealt by product into buckets of one sorted file.
+
+    Jobs that group or order within products plan no exchange on it. ``buckets`` defaults to the
+    session's shuffle partitions; a bucket should fit a task.
+    """
+    spark = series.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = series.repartition(buckets, "product_id")
+    dealt.write.mode("overwrite").bucketBy(buckets, "product_id").sortBy(*KEY).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def create_functions(spark: SparkSession, series_table: str = "stored_series") -> None:
+    """SQL table functions over a table or view of series, for this session:
+
+    ``price_history(key, since)`` gives the points of a product, ``price_summary(key)`` one row about
+    them. With a lateral join they are one plan for any number of products.
+    """
+    spark.sql(f"""
+      CREATE OR REPLACE TEMPORARY FUNCTION price_history(key STRING, since DATE)
+      RETURNS TABLE (price_date DATE, source STRING, condition_category STRING, price DOUBLE)
+      RETURN SELECT price_date, source, condition_category, price FROM {series_table}
+        WHERE product_id = price_history.key AND price_date >= price_history.since""")
+    spark.sql(f"""
+      CREATE OR REPLACE TEMPORARY FUNCTION price_summary(key STRING)
+      RETURNS TABLE (points BIGINT, lowest DOUBLE, average DOUBLE, highest DOUBLE, first_day DATE, last_day DATE)
+      RETURN SELECT count(*), min(price), avg(price), max(price), min(price_date), max(price_date) FROM {series_table}
+        WHERE product_id = price_summary.key""")

@@ -4,9 +4,10 @@ extracted can be compared with the rows themselves."""
 from pyspark.sql import functions as F
 
 from gavelwork.functions.numbers import half_up
-from gavelwork.registry.base import LISTINGS, day, hu, query, quoted, with_
+from gavelwork.registry.base import LISTINGS, day, days_as_text, hu, query, quoted, with_
 from gavelwork.rules import fixed
-from gavelwork.sources import pages
+from gavelwork.session import scratch_path
+from gavelwork.sources import catalog_files, pages
 from gavelwork.sources import starviews as views
 
 # -- result pages: even suppliers in the newer layout, odd ones in the older ------------------------
@@ -105,6 +106,22 @@ def chart_arrays(spark, sf_dir):
     return pages.chart_arrays(array_pages(spark, sf_dir))
 
 
+@query("mixed_history", f"""
+SELECT CASE WHEN event_id % 7 <> 0 THEN 'card-' || user_id END AS product_id, CASE WHEN event_id % 7 <> 0 AND event_id % 11 <> 0 THEN {day('ts')} END AS price_date,
+  CASE WHEN event_id % 7 <> 0 THEN round(value, 2) END AS price
+FROM events""")
+def mixed_history(spark, sf_dir):
+    """Chart dumps landed as lines with both shapes of points, undated points and broken lines, read back."""
+    key, path = F.col("event_id"), scratch_path(spark, "history")
+    date = F.when(key % 11 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    price = F.format_string("%.2f", "value")
+    point = F.when(key % 2 == 0, F.concat(F.lit('["'), date, F.lit('", "sale", '), price, F.lit("]"))).otherwise(
+        F.concat(F.lit('{"price": '), price, F.lit(', "date": "'), date, F.lit('"}')))
+    line = F.concat(F.lit('{"card_id": "card-'), F.col("user_id"), F.lit('", "historical_chart_data": ['), point, F.when(key % 7 == 0, "").otherwise("]}"))
+    views.read(spark, sf_dir, "events").select(line.alias("value")).write.text(path)
+    return days_as_text(catalog_files.mixed_history(spark, path))
+
+
 # -- tables, prices by condition, details: one page per part -------------------------------------------------
 
 

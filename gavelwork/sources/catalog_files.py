@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gavelwork.sources import pages
+
 CARD_SCHEMA = "name string, number string, rarity string, set_name string, set_series string"
 SET_SCHEMA = (
     "id string, name string, releaseDate string, total int, printedTotal int, series string"
@@ -61,6 +63,24 @@ def latest_history(spark: SparkSession, folder: str, prefix: str = "pricechartin
     return spark.read.schema(HISTORY_SCHEMA).json(newest, multiLine=True)
 
 
+def mixed_history(spark: SparkSession, path: str) -> DataFrame:
+    """(product_id, price_date, price) of landed chart dumps, one JSON object per line, whatever shape their
+    points have: ``{"date": .., "price": ..}`` or ``[date, .., price]``, the price last.
+
+    Lines are VARIANTs, so a column of mixed shape needs no second schema. A line that is no JSON, or a
+    field that is no date or number, gives NULL and not an error.
+    """
+    lines = spark.read.text(path).select(F.try_parse_json("value").alias("v"))
+    records = lines.select(
+        pages.variant_text(F.col("v"), "$.card_id", "$.product_id").alias("product_id"),
+        F.explode_outer(pages.variant_list(F.try_variant_get("v", "$.historical_chart_data", "variant"))).alias("e"),
+    )
+    entries = pages.variant_list(F.col("e"))
+    last = F.get(entries, F.size(entries) - 1)
+    price = F.coalesce(F.try_variant_get("e", "$.price", "double"), F.try_variant_get(last, "$", "double"))
+    return records.select("product_id", pages.variant_text(F.col("e"), "$.date", "$[0]").try_cast("date").alias("price_date"), price.alias("price"))
+
+
 def chart_prices(history: DataFrame) -> DataFrame:
     """Current chart prices per card, one row each."""
     return history.select(F.explode("cards").alias("c")).select(

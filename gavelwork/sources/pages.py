@@ -213,40 +213,52 @@ ARRAY_PATTERNS = (
 )
 
 
+def variant_list(value: Column) -> Column:
+    """The entries of a VARIANT that is a list, NULL if it is none."""
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def variant_text(entry: Column, *paths: str) -> Column:
+    """The first of the paths that a VARIANT has a plain value at, as trimmed text."""
+    return F.trim(F.coalesce(*[F.try_variant_get(entry, path, "string") for path in paths]))
+
+
+def is_record(entry: Column) -> Column:
+    """True for a VARIANT that is a list or an object."""
+    return F.schema_of_variant(entry).rlike("^(ARRAY|OBJECT)<")
+
+
 def chart_arrays(pages: DataFrame) -> DataFrame:
     """Dated prices from chart arrays, for pages without ``[epoch ms, cents]`` pairs.
 
-    An entry is a list (date, _, description, price, ...) or an object with date and price.
-    Per pattern the first array that parses counts.
+    An entry is a list (date, _, description, price, ...) or an object with date and price; an
+    array may mix them, as each entry is a VARIANT whose fields are asked for by path. Text that is no JSON
+    is no array. Per pattern the first array of such entries counts.
     """
     def entries(pattern: str) -> Column:
         texts = F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
-        arrays = F.filter(
-            F.transform(texts, lambda t: F.from_json(t, "array<string>")),
-            lambda a: a.isNotNull() & (F.size(a) > 0) & F.get(a, F.lit(0)).rlike(r"^\s*[\[{]"),
-        )
-        return F.coalesce(F.get(arrays, F.lit(0)), F.array().cast("array<string>"))
-
-    rows = (
-        pages.filter(~F.col("html").rlike(r"\[(\d{13}),(\d+)\]"))
-        .select("url", F.posexplode(F.concat(*[entries(p) for p in ARRAY_PATTERNS])).alias("position", "_e"))
-        .withColumn("_list", F.when(F.col("_e").rlike(r"^\s*\["), F.from_json("_e", "array<string>")))
-        .withColumn("_object", F.when(F.col("_e").rlike(r"^\s*\{"), F.from_json("_e", "date string, price string")))
-    )
-    item = lambda i: F.trim(F.get("_list", F.lit(i)))
-    description = item(2)
+        lists = F.transform(texts, lambda t: variant_list(F.try_parse_json(t)))
+        fine = F.filter(lists, lambda a: a.isNotNull() & (F.size(a) > 0) & is_record(F.get(a, F.lit(0))))
+        return F.coalesce(F.get(fine, F.lit(0)), F.array().cast("array<variant>"))
+
+    rows = pages.filter(~F.col("html").rlike(r"\[(\d{13}),(\d+)\]")).select(
+        "url", F.posexplode(F.concat(*[entries(p) for p in ARRAY_PATTERNS])).alias("position", "_e"))
+    entry = F.col("_e")
+    first, description, last = variant_text(entry, "$[0]"), variant_text(entry, "$[2]"), variant_text(entry, "$[3]")
+    size = F.size(variant_list(entry))
     listed = (
-        (F.size("_list") >= 4)
-        & item(0).rlike(DATE_CELL)
+        (size >= 4)
+        & first.rlike(DATE_CELL)
         & ~F.lower(description).contains("subscribe")
         & ~F.lower(description).contains("$6/month")
     )
-    keyed = F.col("_object.date").isNotNull() & F.col("_object.price").isNotNull()
+    date, price = variant_text(entry, "$.date"), variant_text(entry, "$.price")
+    keyed = date.isNotNull() & price.isNotNull()
     found = rows.select(
         "url", "position",
-        F.when(listed, item(0)).when(keyed, F.col("_object.date")).alias("date"),
-        F.when(listed, text.extract(item(3), r"\$?(\d+\.?\d*)"))
-        .when(keyed, text.extract(F.col("_object.price"), r"(\d+\.?\d*)"))
+        F.when(listed, first).when(keyed, date).alias("date"),
+        F.when(listed, text.extract(last, r"\$?(\d+\.?\d*)"))
+        .when(keyed, text.extract(price, r"(\d+\.?\d*)"))
         .cast("double").alias("price"),
         F.when(listed, description).alias("description"),
     )
