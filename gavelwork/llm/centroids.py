@@ -31,7 +31,7 @@ def walsh(x: np.ndarray) -> np.ndarray:
     their basis row, so that the first ones hold the coarse shape. Its own inverse times DIMS."""
     out, half = x.copy(), 1
     while half < x.shape[1]:
-        pairs = out.reshape(len(x), -1, 2, half)
+        pairs = out.reshape(len(x), x.shape[1] // (2 * half), 2, half)
         out = np.stack([pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]], axis=2).reshape(x.shape)
         half *= 2
     return out[:, _sequency(x.shape[1])]

@@ -225,7 +225,8 @@ def labelled_of(spark: SparkSession, model: Model, text: str = "text", penalty:
     A text that is null or has no letter is ``und`` with score 0 and no spans; so is every text
     when no language was learned.
     """
-    held = spark.sparkContext.broadcast(model)  # languages times buckets, whatever the data
+    # plain arrays, so that workers need no class of this package; languages times buckets, whatever the data
+    held = spark.sparkContext.broadcast((model.languages, model.scores, model.allowed))
     kind = pa.struct([
         ("lang", pa.string()), ("score", pa.float64()),
         ("spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))),
@@ -233,7 +234,7 @@ def labelled_of(spark: SparkSession, model: Model, text: str = "text", penalty:
 
     @F.arrow_udf(RESULT)
     def label(column: pa.Array) -> pa.Array:
-        own, out = held.value, []
+        own, out = Model(*held.value), []
         names = own.languages
         texts = words.as_array(column)
         for a, b in words.steps(texts, STEP_BYTES) if names else []:

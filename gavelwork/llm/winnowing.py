@@ -93,7 +93,7 @@ def extended(hits: Column, window: int) -> Column:
     """Spans (begin, end) of neighbouring or overlapping hits, which have ``begin``, ``end`` and
     ``reach``, the end of what the hits before them cover."""
     opens = F.filter(F.transform(hits, lambda h, j: F.when(h["reach"] < h["begin"], j)), lambda j: j.isNotNull())
-    last = F.greatest(*[F.get(hits, F.size(hits) - j)["end"] for j in range(1, window + 1)])
+    last = F.greatest(F.lit(-1), *[F.get(hits, F.size(hits) - j)["end"] for j in range(1, window + 1)])
     spans = F.transform(opens, lambda first, k: F.struct(
         F.get(hits, first)["begin"].alias("begin"), F.coalesce(F.get(hits, F.get(opens, k + 1))["reach"], last).alias("end"),
     ))

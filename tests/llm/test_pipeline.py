@@ -1,15 +1,17 @@
 """The stages on the small tables, each against plain Python on what the stage before has kept."""
 
+import math
 import os
+import re
 from collections import Counter
 
 import pytest
 
 import corpus_pipeline
-from gavelwork.llm import quality
+from gavelwork.llm import quality, simhash
 from tests.conftest import SF
 from tests.llm.helpers import TOKENIZER, components, hard
-from tests.llm.test_dedup import LOWER, mark
+from tests.llm.test_dedup import LOWER
 from tests.llm.test_mixing import WORD, shared
 from tests.llm.test_tokens import ids_of
 
@@ -49,12 +51,53 @@ def test_newest_copy_stays(tables):
     assert sorted(r["doc_id"] for r in tables[2][1]) == sorted(newest.values())
 
 
+def shingles(text):
+    found = [w for w in re.split("[ \t\n\x0b\x0c\r]+", (text or "").translate(LOWER)) if w]
+    return frozenset(" ".join(found[i:i + 5]) for i in range(max(1, len(found) - 4))) if found else frozenset()
+
+
+def similar_sets(sets, least=0.8):
+    """All pairs of different sets with the Jaccard similarity. A pair of sets shares one of the rarest
+    shingles of either, so only those are looked up; no pair is left out."""
+    common = Counter(s for own in sets for s in own)
+    index, out = {}, set()
+    for i, own in enumerate(sets):
+        rare = sorted(own, key=lambda s: (common[s], s))[:len(own) - math.ceil(least * len(own)) + 1]
+        for j in {j for s in rare for j in index.get(s, ())}:
+            both = len(own & sets[j])
+            if both >= least * (len(own) + len(sets[j]) - both):
+                out.add((j, i))
+        for s in rare:
+            index.setdefault(s, []).append(i)
+    return out
+
+
 def test_one_of_each_near_group_stays(tables):
-    marks = {r["doc_id"]: mark(r["text"]) for r in tables[2][1]}
-    label = components(list(marks), lambda a, b: (marks[a] ^ marks[b]).bit_count() <= 2)
+    """Jaccard similarity of five-word shingles, 0.8 or more, by brute force."""
+    own = {r["doc_id"]: shingles(r["text"]) for r in tables[2][1]}
+    label = components(list(own), lambda a, b: own[a] == own[b] or len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b]))
     assert sorted(r["doc_id"] for r in tables[3][1]) == sorted(set(label.values()))
 
 
+def test_recall_of_near_copies_on_a_larger_table(spark):
+    """Of all pairs of documents at 0.8 or more that are not equal sets, at least 99 % lose a member."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no larger table")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    first = {}
+    for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
+        first.setdefault(shingles(r["text"]), r["doc_id"])
+    sets = list(first)
+    pairs = similar_sets(sets)
+    kept = {r["doc_id"] for r in simhash.deduplicate(docs).select("doc_id").collect()}
+    assert kept <= set(first.values())
+    caught = [(a, b) for a, b in pairs if not {first[sets[a]], first[sets[b]]} <= kept]
+    assert len(pairs) > 20 and len(caught) >= 0.99 * len(pairs)
+    linked = {i for pair in pairs for i in pair}
+    assert all(first[s] in kept for i, s in enumerate(sets) if i not in linked)  # nothing else goes
+
+
 def test_mix_meets_its_targets(tables):
     size = {r["doc_id"]: len(WORD.findall(r["text"])) for r in tables[3][1]}
     total, taken = Counter(), Counter()
