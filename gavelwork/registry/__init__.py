@@ -8,7 +8,7 @@ from gavelwork.registry.base import QUERIES, SQL
 
 _MODULES = (
     "series_queries", "metric_queries", "quality_queries", "market_queries", "catalog_queries",
-    "text_queries", "ingest_queries", "page_queries", "stored_queries",
+    "text_queries", "ingest_queries", "page_queries", "stored_queries", "whole_queries",
 )
 for _name in _MODULES:
     importlib.import_module(f"gavelwork.registry.{_name}")
