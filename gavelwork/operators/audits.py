@@ -35,16 +35,38 @@ def range_audit(series: DataFrame) -> DataFrame:
     )
 
 
-def suspicious_listings(listings: DataFrame) -> DataFrame:
-    """One row per listing and reason: low price for a box, empty-box words, damage words."""
+def suspicions() -> Column:
+    """Reasons to doubt a listing: low price for a box, empty-box words, damage words."""
     low = F.lower("title")
     box = (F.col("product_type") == "sealed") & F.lower("product_name").contains("booster box")
-    reasons = F.array_compact(F.array(
+    return F.array_compact(F.array(
         F.when(box & (F.col("price") < 50), "Suspiciously low for booster box"),
         F.when(text.any_contains(low, fixed.EMPTY_BOX_WORDS), "Likely empty box"),
         F.when(text.any_contains(low, fixed.DAMAGE_WORDS), "Likely damaged/opened"),
     ))
-    return listings.withColumn("reason", F.explode(reasons))
+
+
+def suspicious_listings(listings: DataFrame) -> DataFrame:
+    """One row per listing and reason."""
+    return listings.withColumn("reason", F.explode(suspicions()))
+
+
+def product_audit(listings: DataFrame, keys: Sequence[str], min_group: int = 3) -> DataFrame:
+    """Per product: name, lowest price, suspicions and price outliers within its groups (``keys``).
+
+    The listings are read and shuffled once, as counts by group and price; outlier limits and all three
+    numbers are read off those.
+    """
+    keys = list(keys)
+    counts = listings.groupBy(*keys, "price").agg(
+        F.count("*").alias("n_rows"), F.sum(F.size(suspicions())).alias("doubts"), F.min("product_name").alias("product_name"))
+    limits = exclusive_quartiles(counts, keys).filter(F.col("n_total") >= min_group).select(*keys, "q1", "q3")
+    spread, p = F.col("q3") - F.col("q1"), F.col("price").cast("double")
+    out = (p < F.col("q1") - 1.5 * spread) | (p > F.col("q3") + 1.5 * spread)
+    return join_groups(counts, limits, keys, "left").groupBy("product_type", "product_id").agg(
+        F.min("product_name").alias("product_name"), F.min("price").alias("min_price"), F.sum("doubts").alias("suspicious_count"),
+        F.coalesce(F.sum(F.when(out, F.col("n_rows"))), F.lit(0)).alias("outlier_count"),
+    )
 
 
 def suspicious_counts(listings: DataFrame) -> DataFrame:

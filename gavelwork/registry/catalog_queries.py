@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from gavelwork.functions import text
-from gavelwork.operators import audits, catalog, search
-from gavelwork.registry.base import CARDS, SEALED, any_in, query, quoted, when, with_, words
+from gavelwork.operators import audits, catalog, ingest, search
+from gavelwork.plans import preparation
+from gavelwork.registry.base import CARDS, LISTINGS, SEALED, any_in, query, quoted, when, with_, words
 from gavelwork.rules import fixed
+from gavelwork.session import scratch_path
 from gavelwork.sources import starviews as views
 
 COLUMNS = "card_id, card_name, set_name, card_number, rarity"
@@ -365,3 +367,54 @@ def search_urls(spark, sf_dir):
     return cards(spark, sf_dir).select("card_id", url.alias("url"))
 
 
+# -- the other strategies, each a list of its own ---------------------------------------------------------
+
+_PICKS = {
+    "high_value": f"SELECT card_id FROM cards WHERE {any_in('lower(card_name)', fixed.HIGH_VALUE_NAMES)} OR {any_in('lower(rarity)', fixed.HIGH_VALUE_RARITIES)}",
+    "by_set": "SELECT card_id FROM cards WHERE set_name = 'Lost Origin'",
+    "by_name": "SELECT min(card_id) FROM cards WHERE card_name ILIKE '%umbreon%' GROUP BY card_name, set_name, card_number",
+    "custom": "SELECT card_id FROM cards WHERE rarity IN ('Rare Holo', 'Secret Rare') AND set_name = 'Base Set'",
+    "all_cards": "(SELECT card_id FROM cards ORDER BY card_id LIMIT 1000 OFFSET 50)",
+    "sealed_only": "SELECT sealed_product_id FROM sealed",
+}
+
+
+@query("strategy_picks", with_(CARDS, SEALED) + " UNION ALL ".join(
+    f"SELECT '{name}' AS strategy, * FROM ({sql}) t(target_id)" for name, sql in _PICKS.items()))
+def strategy_picks(spark, sf_dir):
+    """What six strategies select from the whole catalog."""
+    own, boxes = cards(spark, sf_dir), views.sealed_products(spark, sf_dir)
+    options = {
+        "high_value": {}, "by_set": {"set_name": "Lost Origin"}, "by_name": {"name": "Umbreon"},
+        "custom": {"filters": {"rarity": ["Rare Holo", "Secret Rare"], "set_name": "Base Set"}}, "all_cards": {"offset": 50}, "sealed_only": {},
+    }
+    picks = None
+    for name, more in options.items():
+        key = "sealed_product_id" if name == "sealed_only" else "card_id"
+        chosen = catalog.select_items(name, own, boxes, **more).select(F.lit(name).alias("strategy"), F.col(key).alias("target_id"))
+        picks = chosen if picks is None else picks.unionByName(chosen)
+    return picks
+
+
+@query("tracked_listings", with_(LISTINGS, CARDS) + f"""
+SELECT listing_id, card_id, l.price, c.card_name, c.rarity FROM listings l JOIN cards c ON c.card_id = l.product_id
+WHERE {any_in('lower(card_name)', fixed.HIGH_VALUE_NAMES)} OR {any_in('lower(rarity)', fixed.HIGH_VALUE_RARITIES)}""")
+def tracked_listings(spark, sf_dir):
+    """Listings of the tracked cards alone, with the attributes of the card."""
+    own = cards(spark, sf_dir)
+    rows = preparation.listings_with_cards(views.listings(spark, sf_dir), own, catalog.high_value(own))
+    return rows.select("listing_id", "card_id", "price", "card_name", "rarity")
+
+
+@query("written_catalog", with_(CARDS, SEALED) + """
+SELECT 'csv' AS kind, card_id AS id, card_name AS name, set_name, CAST(NULL AS DOUBLE) AS msrp FROM cards
+UNION ALL SELECT 'json', sealed_product_id, product_name, set_name, msrp FROM sealed""")
+def written_catalog(spark, sf_dir):
+    """Both catalogs through the CSV and the JSON sink and back."""
+    own = cards(spark, sf_dir).select(F.col("card_id").alias("id"), F.col("card_name").alias("name"), "set_name")
+    boxes = views.sealed_products(spark, sf_dir).select(F.col("sealed_product_id").alias("id"), F.col("product_name").alias("name"), "set_name", "msrp")
+    csv, json = scratch_path(spark, "catalog-csv"), scratch_path(spark, "catalog-json")
+    ingest.write_csv(own, csv)
+    ingest.write_json(boxes, json)
+    one = spark.read.schema(own.schema).option("header", True).csv(csv).select(F.lit("csv").alias("kind"), "*", F.lit(None).cast("double").alias("msrp"))
+    return one.unionByName(spark.read.schema(boxes.schema).json(json).select(F.lit("json").alias("kind"), "*"))

@@ -416,30 +416,18 @@ audit AS (
   SELECT b.*, coalesce(suspicious_count, 0) AS suspicious_count, coalesce(outlier_count, 0) AS outlier_count
   FROM base b LEFT JOIN suspects USING (product_type, product_id) LEFT JOIN outs USING (product_type, product_id)
 )""") + """
-SELECT product_type, product_id, suspicious_count, outlier_count, min_price,
-  CASE WHEN product_type = 'sealed' AND contains(lower(product_name), 'booster box') THEN 3 ELSE 0 END
-  + (suspicious_count > 10)::INT + (outlier_count > 5)::INT + (min_price < 10)::INT AS advice_count
-FROM audit""")
+SELECT product_type, product_id, suspicious_count, outlier_count, min_price, concat_ws(' | ',
+  CASE WHEN box THEN 'Add minimum price filter: Booster boxes should be at least $50' END,
+  CASE WHEN box THEN 'Filter titles containing: ''empty'', ''box only'', ''just box'', ''no cards''' END,
+  CASE WHEN box THEN 'Filter damaged indicators: ''damaged'', ''torn'', ''opened'', ''resealed''' END,
+  CASE WHEN suspicious_count > 10 THEN 'High number of suspicious listings detected - implement stricter filtering' END,
+  CASE WHEN outlier_count > 5 THEN 'Consider more aggressive IQR-based outlier removal' END,
+  CASE WHEN min_price < 10 THEN 'Implement minimum price threshold based on product type' END) AS advice
+FROM (SELECT *, product_type = 'sealed' AND contains(lower(product_name), 'booster box') AS box FROM audit)""")
 def audit_advice(spark, sf_dir):
-    rows = listings(spark, sf_dir)
-    suspects = audits.suspicious_listings(rows).groupBy("product_type", "product_id").agg(
-        F.count("*").alias("suspicious_count")
-    )
-    outliers = audits.series_outlier_audit(rows, quality.GROUP).groupBy("product_type", "product_id").agg(
-        F.sum("outliers").alias("outlier_count")
-    )
-    base = rows.groupBy("product_type", "product_id").agg(
-        F.min("product_name").alias("product_name"), F.min("price").alias("min_price")
-    )
-    audit = (
-        base.join(suspects, ["product_type", "product_id"], "left")
-        .join(outliers, ["product_type", "product_id"], "left")
-        .fillna(0, ["suspicious_count", "outlier_count"])
-    )
+    audit = audits.product_audit(listings(spark, sf_dir), quality.GROUP)
     return decide.audit_advice(audit).select(
-        "product_type", "product_id", "suspicious_count", "outlier_count", "min_price",
-        F.size("advice").alias("advice_count"),
-    )
+        "product_type", "product_id", "suspicious_count", "outlier_count", "min_price", F.array_join("advice", " | ").alias("advice"))
 
 
 def _category_sql():
