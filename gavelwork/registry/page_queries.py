@@ -10,39 +10,47 @@ from gavelwork.session import scratch_path
 from gavelwork.sources import catalog_files, pages
 from gavelwork.sources import starviews as views
 
-# -- result pages: even suppliers in the newer layout, odd ones in the older ------------------------
+# -- result pages: one per order with all its items, even orders in the newer layout, odd ones in the older ----
 
 
 def result_pages(spark, sf_dir):
-    rows = views.listings(spark, sf_dir).withColumn("bids", F.month("sold_date"))
+    order = F.substring_index("listing_id", "-", 1).cast("bigint")
+    rows = views.listings(spark, sf_dir).withColumns({"bids": F.month("sold_date"), "order": order})
     price = F.concat(F.lit("$"), F.format_string("%.2f", F.col("price")))
     link = F.concat(F.lit("https://market.example/"), F.col("listing_url"))
     sold = F.date_format("sold_date", "MMM d, yyyy")
     newer = F.concat(
-        F.lit('<html><body><ul class="srp-results list"><li class="s-card wide"><div class="s-card__title"><span class="su-styled-text">'),
+        F.lit('<li class="s-card wide"><div class="s-card__title"><span class="su-styled-text">'),
         F.col("title"), F.lit('</span></div><div class="s-card__caption"><span class="su-styled-text">Sold  '), sold,
         F.lit('</span></div><div class="s-card__subtitle"><span class="su-styled-text">'), F.col("condition"),
         F.lit('</span></div><span class="s-card__price">'), price, F.lit('</span><a class="su-link" href="'), link,
         F.lit('">go</a><div class="s-card__attribute-row">'), F.col("bids").cast("string"),
-        F.lit(' bids</div><div class="s-card__attribute-row">+$4.99 delivery</div><img src="i.png"></li></ul></body></html>'),
+        F.lit(' bids</div><div class="s-card__attribute-row">+$4.99 delivery</div><img src="i.png"></li>'),
     )
     older = F.concat(
-        F.lit('<html><body><div id="srp-river-results"><div class="s-item"><div class="s-item__title"><span>'), F.col("title"),
+        F.lit('<div class="s-item"><div class="s-item__title"><span>'), F.col("title"),
         F.lit('</span></div><div class="s-item__subtitle"><span class="SECONDARY_INFO">'), F.col("condition"),
         F.lit('</span></div><span class="s-item__price">'), price, F.lit(' to $99,999.00</span><a class="s-item__link" href="'), link,
         F.lit('">go</a><span class="s-item__purchase-options">Buy It Now</span><span class="s-item__shipping">Free shipping</span>'),
-        F.lit('<span class="s-item__ended-date">Ended '), sold,
-        F.lit('</span><img data-defer-load="big.png" src="i.png"></div></div></body></html>'),
+        F.lit('<span class="s-item__ended-date">Ended '), sold, F.lit('</span><img data-defer-load="big.png" src="i.png"></div>'),
     )
-    even = F.substring_index("listing_id", "-", -1).cast("bigint") % 2 == 0
-    return rows.select(F.col("listing_id").alias("url"), F.when(even, newer).otherwise(older).alias("html"))
+    even = F.col("order") % 2 == 0
+    item = F.struct("listing_id", "price", "sold_date", F.when(even, newer).otherwise(older).alias("html"))
+    items = rows.groupBy("order").agg(F.array_join(F.sort_array(F.collect_list(item)).getField("html"), "").alias("items"))  # lines of an order
+    html = F.when(even, F.concat(F.lit('<html><body><ul class="srp-results list">'), "items", F.lit("</ul></body></html>"))).otherwise(
+        F.concat(F.lit('<html><body><div id="srp-river-results">'), "items", F.lit("</div></body></html>")))
+    return items.select(F.col("order").cast("string").alias("url"), html.alias("html"))
 
 
-_EVEN = "CAST(split_part(listing_id, '-', 4) AS BIGINT) % 2 = 0"
+_ORDER = "split_part(listing_id, '-', 1)"
+_EVEN = f"CAST({_ORDER} AS BIGINT) % 2 = 0"
+# in the older layout the title and subtitle of an item have item classes too; they count as places without a title
+_PER_ITEM = f"CASE WHEN {_EVEN} THEN 1 ELSE 3 END"
 
 
 @query("listing_pages", with_(LISTINGS) + f"""
-SELECT listing_id AS url, 0 AS position, title, price, 'https://market.example/' || listing_url AS listing_url, condition,
+SELECT {_ORDER} AS url, CAST({_PER_ITEM} * (row_number() OVER (PARTITION BY {_ORDER} ORDER BY listing_id, price, sold_date) - 1) AS INTEGER) AS position,
+  title, price, 'https://market.example/' || listing_url AS listing_url, condition,
   CASE WHEN {_EVEN} THEN 'i.png' ELSE 'big.png' END AS image_url, {_EVEN} AS is_auction,
   CASE WHEN {_EVEN} THEN month(sold_date) ELSE 0 END AS bids,
   CASE WHEN {_EVEN} THEN '+$4.99 delivery' ELSE 'Free shipping' END AS shipping,
