@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +19,51 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def saved(rows: DataFrame, name: str) -> DataFrame:
+#: Paths of the tables that go at the end of the innermost ``scratch`` block.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+def saved(rows: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """The rows as a table of the shared folder: later steps read it, whatever executor is lost."""
     path = scratch_path(rows.sparkSession, name)
+    if not stays and _passing.get() is not None:
+        _passing.get().append(path)
     rows.write.parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are saved inside the block are removed at its end, unless they are to stay: what
+    the block returns reads from those and from its input alone."""
+    paths: list[str] = []
+    token = _passing.set(paths)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        for path in paths:
+            remove(spark, path)
+
+
+def named_rows(docs: DataFrame) -> DataFrame:
+    """(doc, file, place): every row with all its columns and a name that is the same whenever it is read.
+
+    Rows of Parquet files are named by file and index there; the rows of other tables are saved first.
+    """
+    doc = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("doc")
+    try:
+        about = docs.metadataColumn("_metadata")
+        return docs.select(doc, about.getField("file_path").alias("file"), about.getField("row_index").alias("place"))
+    except AnalysisException:
+        return saved(docs.select(doc, F.lit("").alias("file"), F.monotonically_increasing_id().alias("place")), "rows", stays=True)
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavelwork.llm.common import lower_ascii, saved, text_or_empty
+from gavelwork.llm.common import lower_ascii, named_rows, saved, scratch, text_or_empty
 
 SLOTS = 4
 KICKS = 200
@@ -168,11 +168,17 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns whatever their names."""
-    names = docs.columns
-    rows = saved(docs.select(
-        F.struct(*[F.col(f"`{n}`") for n in names]).alias("doc"), F.col(doc_id).cast("long").alias("doc_id"),
-        digest(text).alias("digest"), F.monotonically_increasing_id().alias("row"),
-    ), "dedup")
-    dropped = decide(rows.select("digest", "doc_id", "row")).filter(~F.col("kept")).select("row")
-    return rows.join(dropped, "row", "left_anti").select("doc.*")
+    """The rows of ``docs`` that are kept, with all their columns whatever their names.
+
+    The names of the rows to drop are stored; the documents themselves are neither copied nor, while those
+    names are few enough for Spark to send them to all tasks, moved.
+    """
+    rows = named_rows(docs)
+    with scratch(docs.sparkSession):
+        narrow = saved(rows.select(
+            digest(f"doc.`{text}`").alias("digest"), F.col(f"doc.`{doc_id}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
+            "file", "place",
+        ), "digests")
+        found = groups(narrow.select("digest", "doc_id", "row")).filter("group_size > 1")
+        dropped = saved(narrow.join(found.select("digest", "keep_row"), "digest").filter("row <> keep_row").select("file", "place"), "dropped", stays=True)
+    return rows.join(dropped, ["file", "place"], "left_anti").select("doc.*")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gavelwork.llm.common import saved
+from gavelwork.llm.common import named_rows, saved, scratch
 
 #: Weights of the sources in code-point order, repeating; null is the last source.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -107,41 +107,77 @@ def subset_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, table: i
     return taken
 
 
-def mix(docs: DataFrame, seed: int = 42, source: str = "source", text: str = "text", doc_id: str = "doc_id",
-        weights=WEIGHTS, share: float = SHARE, repeat: int = REPEAT) -> DataFrame:
-    """Every row of ``docs`` as (doc, doc_id, size, source_size, target, times).
+def mix_plan(docs: DataFrame, seed: int = 42, source: str = "source", text: str = "text", doc_id: str = "doc_id",
+             weights=WEIGHTS, share: float = SHARE, repeat: int = REPEAT) -> DataFrame:
+    """Every row of ``docs`` as (doc_id, size, source_size, target, times).
 
-    ``doc`` is the row with all its columns, ``times`` how often the mix takes it (0 to
-    ``repeat``): as many whole passes over its source as the target holds, and once more if it is
-    among the documents that fill the rest. Those are picked by length count, within a source and
-    length by a seeded hash of id and size. Null sources are one source, the last; null texts have
-    size 0 and are taken with the whole passes only. Sources without words have target 0.
+    ``times`` is how often the mix takes the row (0 to ``repeat``): as many whole passes over its source as
+    the target holds, and once more if it is among the documents that fill the rest. Those are
+    picked by length count, within a source and length by a seeded hash of id and size. Null
+    sources are one source, the last; null texts have size 0 and are taken with the whole passes
+    only. Sources without words have target 0.
     """
-    doc = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("doc")
-    return _decide(docs.select(doc, *_drawn(seed, source, text, doc_id)), weights, share, repeat)
+    return _decide(saved(docs.select(*_drawn(seed, F.col(source), F.col(text), F.col(doc_id))), "sizes"), weights, share, repeat)
 
 
-def mix_plan(docs: DataFrame, seed: int = 42, source: str = "source", text: str = "text", doc_id: str = "doc_id",
-             weights=WEIGHTS, share: float = SHARE, repeat: int = REPEAT) -> DataFrame:
-    """What ``mix`` decides without the documents: (doc_id, size, source_size, target, times)."""
-    return _decide(saved(docs.select(*_drawn(seed, source, text, doc_id)), "sizes"), weights, share, repeat)
+def mixed(docs: DataFrame, seed: int = 42, source: str = "source", text: str = "text", doc_id: str = "doc_id",
+          weights=WEIGHTS, share: float = SHARE, repeat: int = REPEAT) -> DataFrame:
+    """The documents of the mix with all their columns, each as often as ``mix_plan`` takes it.
 
+    Which documents of a source and length are taken once more is one limit in the order of bucket,
+    draw and id, so the documents meet a small table of limits and are not ranked themselves. Rows that are equal in
+    all of this are told apart by their place in the input.
+    """
+    rows = named_rows(docs)
+    drawn = _drawn(seed, F.col(f"doc.`{source}`"), F.col(f"doc.`{text}`"), F.col(f"doc.`{doc_id}`"))
+    with scratch(docs.sparkSession):
+        narrow = saved(rows.select(*drawn, "file", "place"), "sizes").withColumn("bucket", _bucket())
+        shares = saved(_shares(narrow, weights, share, repeat), "shares")
+        cut = shares.filter("pick > 0 AND pick < n").select(*CELL, "pick")
+        order = Window.partitionBy(*CELL).orderBy("draw", _id_order(), "file", "place")
+        near = saved(_keyed(narrow, "source").join(cut, CELL).withColumn("at", F.row_number().over(order)), "near")
+        last = near.filter("at = pick").select(*CELL, F.col("draw").alias("last_draw"), _id_order().alias("last_id"), F.lit(True).alias("_cut"))
+        # rows that are equal to the last one taken, of which some are taken and some are not
+        even = near.join(last, CELL).filter((F.col("draw") == F.col("last_draw")) & (_id_order() == F.col("last_id")))
+        chosen = saved(even.filter("at <= pick").select("file", "place", F.lit(1).alias("equal")), "equal", stays=True)
+        full = shares.filter("pick = n").groupBy("no_source", "of_source", "size").agg(F.max("bucket").alias("upto"))
+        goals = shares.select("no_source", "of_source", "size", "passes").distinct()
+        limits = goals.join(full, ["no_source", "of_source", "size"], "left").join(
+            last.withColumnRenamed("bucket", "at_bucket").drop("_cut"), ["no_source", "of_source", "size"], "left")
+        limits = saved(limits, "limits", stays=True)
+    named = _keyed(rows.select("doc", "file", "place", *drawn).withColumn("bucket", _bucket()), "source")
+    met = named.join(limits, ["no_source", "of_source", "size"]).join(chosen, ["file", "place"], "left")
+    below = (F.col("draw") < F.col("last_draw")) | ((F.col("draw") == F.col("last_draw")) & (_id_order() < F.col("last_id")))
+    extra = (F.col("bucket") <= F.col("upto")) | ((F.col("bucket") == F.col("at_bucket")) & below) | F.col("equal").isNotNull()
+    times = F.col("passes") + F.coalesce(extra.cast("int"), F.lit(0))
+    return met.select("doc", times.cast("int").alias("times")).filter("times > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as it is taken."""
-    taken = mix(docs, **options).filter("times > 0")
-    return taken.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("doc.*")
 
+def _id_order() -> Column:
+    """Ids in ascending order, nulls with the smallest."""
+    return F.coalesce("doc_id", F.lit(-(1 << 63)))
 
-def _drawn(seed: int, source: str, text: str, doc_id: str) -> list[Column]:
-    size = words_in(F.col(text))
-    key = F.col(doc_id).cast("long")
-    return [key.alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(key, size, F.lit(seed)).alias("draw")]
 
+def _bucket() -> Column:
+    return F.pmod(F.col("draw"), F.lit(BUCKETS)).cast("int")
 
-def _decide(rows: DataFrame, weights, share: float, repeat: int) -> DataFrame:
-    bucket = F.pmod(F.col("draw"), F.lit(BUCKETS)).cast("int")
-    rows = rows.withColumn("bucket", bucket)
+
+#: A cell of documents that are drawn from: source (in a form without nulls), size and bucket of the draw.
+CELL = ["no_source", "of_source", "size", "bucket"]
+
+
+def _keyed(frame: DataFrame, name: str) -> DataFrame:
+    source = F.col(name)
+    return frame.withColumns({"no_source": source.isNull(), "of_source": F.coalesce(source.cast("string"), F.lit(""))}).drop(name)
+
+
+def _drawn(seed: int, source: Column, text: Column, doc_id: Column) -> list[Column]:
+    size, key = words_in(text), doc_id.cast("long")
+    return [key.alias("doc_id"), source.alias("source"), size.alias("size"), F.xxhash64(key, size, F.lit(seed)).alias("draw")]
+
+
+def _shares(rows: DataFrame, weights, share: float, repeat: int) -> DataFrame:
+    """(CELL, source_size, target, passes, n, pick): how many of the n rows of every cell are taken once more."""
     counted = saved(rows.groupBy("source", "size", "bucket").agg(F.count("*").alias("n")), "lengths")
     lengths = counted.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sizes = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -162,19 +198,17 @@ def _decide(rows: DataFrame, weights, share: float, repeat: int) -> DataFrame:
     up = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("l"))
     before = F.coalesce(F.sum("n").over(up), F.lit(0))
-    # the key of the last join has no nulls, so that join and window deal the documents alike and they move once
-    cell = ["no_source", "of_source", "size", "bucket"]
-
-    def keyed(frame: DataFrame, name: str) -> DataFrame:
-        source = F.col(name)
-        return frame.withColumns({"no_source": source.isNull(), "of_source": F.coalesce(source.cast("string"), F.lit(""))}).drop(name)
-
-    shares = keyed(counted.withColumn("before", before).join(plans, same).drop("source"), "s").select(
-        *cell, "source_size", "target", "passes", "n",
+    return _keyed(counted.withColumn("before", before).join(plans, same).drop("source"), "s").select(
+        *CELL, "source_size", "target", "passes", "n",
         F.least(F.greatest(F.col("extra") - F.col("before"), F.lit(0)), F.col("n")).alias("pick"),
     )
-    at = F.row_number().over(Window.partitionBy(*cell).orderBy("draw", "doc_id"))
-    met = keyed(rows, "source").join(saved(shares, "shares"), cell)
+
+
+def _decide(rows: DataFrame, weights, share: float, repeat: int) -> DataFrame:
+    rows = rows.withColumn("bucket", _bucket())
+    # the key of the join has no nulls, so that join and window deal the rows alike and they move once
+    at = F.row_number().over(Window.partitionBy(*CELL).orderBy("draw", "doc_id"))
+    met = _keyed(rows, "source").join(saved(_shares(rows, weights, share, repeat), "shares"), CELL)
     extra = F.when(F.col("pick") == 0, 0).when(F.col("pick") == F.col("n"), 1).otherwise((at <= F.col("pick")).cast("int"))
     return met.withColumn("times", (F.col("passes") + extra).cast("long")).drop(
         "no_source", "of_source", "bucket", "n", "pick", "passes", "draw")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelwork.llm import words
-from gavelwork.llm.common import saved, text_or_empty, with_components
+from gavelwork.llm.common import named_rows, saved, scratch, text_or_empty, with_components
 
 SHINGLE = 3
 RADIUS = 2
@@ -30,6 +30,8 @@ DEDUP_SHINGLE, SIMILARITY, DEDUP_RADIUS = 5, 0.8, 22
 BANDS, BAND_ROWS = 24, 4
 #: Fingerprints of one side that are compared with all others of their piece in one step.
 SCAN_ROWS = 256
+#: Bytes of shingle sets in a piece of a shard whose pairs are checked.
+PIECE_BYTES = 24_000_000
 
 
 def _hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -278,34 +280,48 @@ def _bands(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def set_marks(rows: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, row, digest, size, fingerprint, bands) of the shingle set of every row (doc_id, row, text)."""
+    """(doc_id, row, file, place, digest, size, fingerprint, bands) of the shingle set of every row (doc_id, row, file, place, text)."""
     schema = pa.schema([
-        ("doc_id", pa.int64()), ("row", pa.int64()), ("digest", pa.binary()), ("size", pa.int64()), ("fingerprint", pa.int64()),
+        ("doc_id", pa.int64()), ("row", pa.int64()), ("file", pa.string()), ("place", pa.int64()), ("digest", pa.binary()), ("size", pa.int64()), ("fingerprint", pa.int64()),
         ("bands", pa.list_(pa.int64())),
     ])
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = words.as_array(batch.column(2))
+            texts = words.as_array(batch.column(4))
             for begin, end in words.steps(texts, STEP_BYTES):
                 hashes, bounds = shingle_sets(texts.slice(begin, end - begin), shingle)
                 digests = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 keys = _bands(hashes, bounds).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(begin, end - begin), batch.column(1).slice(begin, end - begin), pa.array(digests, pa.binary()),
+                    *[batch.column(i).slice(begin, end - begin) for i in range(4)], pa.array(digests, pa.binary()),
                     pa.array(np.diff(bounds)), pa.array(_majority(hashes, bounds).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())),
                 ], schema=schema)
 
-    kinds = "doc_id long, row long, digest binary, size long, fingerprint long, bands array<long>"
-    return rows.select("doc_id", "row", text_or_empty().alias("text")).mapInArrow(marked, kinds)
-
-
-def _candidates(rows: pd.DataFrame, radius: int, similarity: float, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (a, b) of nodes in one piece or two whose fingerprints and sizes allow the similarity
-    and whose groups differ; ``nearest``: for every node only the nearest one before it."""
-    marks, size, group, node = (rows[c].to_numpy() for c in ("fingerprint", "size", "group", "node"))
-    marks, side = marks.view(np.uint64), rows["side"].to_numpy()
+    kinds = "doc_id long, row long, file string, place long, digest binary, size long, fingerprint long, bands array<long>"
+    return rows.select("doc_id", "row", "file", "place", text_or_empty().alias("text")).mapInArrow(marked, kinds)
+
+
+def _nearest(rows: pd.DataFrame, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b) of nodes in one piece or two: for every node the nearest one before it whose
+    fingerprint and size allow the similarity; and (a, a) for every node that is allowed for one behind it."""
+    marks, size, node = (rows[c].to_numpy() for c in ("fingerprint", "size", "node"))
+    told = np.zeros(len(node), bool)
+    for own, before, fits, distance in _fitting(marks.view(np.uint64), size, node, rows["side"].to_numpy(), radius, similarity):
+        # of equally near ones the last, so that copies make a chain and no star
+        at = fits.shape[1] - 1 - np.where(fits, distance, 255)[:, ::-1].argmin(axis=1)
+        i = np.flatnonzero(fits[np.arange(len(own)), at])
+        yield node[own[i]], node[before[at[i]]]
+        fresh = before[fits.any(axis=0)]
+        fresh = fresh[~told[fresh]]
+        told[fresh] = True
+        yield node[fresh], node[fresh]
+
+
+def _fitting(marks: np.ndarray, size: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int, similarity: float):
+    """Blocks (own, before, fits, distance) of rows and the rows before them, or of rows of side 1 and
+    those of side 0: which pairs of different groups the fingerprints and sizes allow."""
     first = np.flatnonzero(side == 0)
     second = np.flatnonzero(side == 1) if side.any() else first
     for begin in range(0, len(second) if len(first) else 0, SCAN_ROWS):
@@ -316,92 +332,159 @@ def _candidates(rows: pd.DataFrame, radius: int, similarity: float, nearest: boo
         fits &= np.minimum(size[own][:, None], size[before]) >= similarity * np.maximum(size[own][:, None], size[before])
         if not side.any():
             fits &= before < own[:, None]
-        if nearest:  # of equally near ones the last, so that copies make a chain and no star
-            at = np.where(fits, distance, 255)[:, ::-1].argmin(axis=1)
-            at = fits.shape[1] - 1 - at
-            i = np.flatnonzero(fits[np.arange(len(own)), at])
-            yield node[own[i]], node[before[at[i]]]
-        else:
-            i, j = np.nonzero(fits)
-            yield node[own[i]], node[before[j]]
-
-
-def candidate_pairs(nodes: DataFrame, radius: int, similarity: float, nearest: bool, piece: int = TREE_NODES) -> DataFrame:
-    """Pairs (a, b) of nodes of a stored table (node, size, fingerprint, bands, group) that share a
-    band, differ in ``radius`` bits at most and are of different groups, see ``_candidates``.
-
-    A shard is the nodes of one band key; like those of ``near_links`` it is sent to one task, or
-    in pieces of ``piece`` nodes of which every two meet.
+        yield own, before, fits, distance
+
+
+def _similar(rows: pd.DataFrame, radius: int, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links (a, b) of similar nodes that join two groups or sets of them, of one shard's piece or two.
+
+    Every pair that fits is checked on its shingle sets where it is found, unless it meets in an earlier
+    band too, where it has been checked, or a link has joined its groups already.
     """
-    keyed = nodes.select("node", "size", "fingerprint", "group", F.posexplode("bands").alias("table", "key"))
-    sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("n"), F.count_distinct("group").alias("groups"))
-    shards = keyed.join(sizes.filter("groups > 1").drop("groups"), ["table", "key"])
-    pieces = F.ceil(F.col("n") / piece).cast("int")
-    own = F.pmod(F.xxhash64("node"), pieces).cast("int")
-    dealt = shards.withColumns({"pieces": pieces, "own": own}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(
+    node, table = rows["node"].to_numpy(), int(rows["table"].iloc[0])
+    names, group = np.unique(rows["group"].to_numpy(), return_inverse=True)
+    sets = [np.frombuffer(b, np.uint64) for b in rows["own"]]
+    bands = np.stack(rows["bands"].to_numpy())[:, :table]
+    forest = Forest(len(names))
+    parts = (rows[c].to_numpy() for c in ("fingerprint", "size"))
+    marks, size = next(parts).view(np.uint64), next(parts)
+    for own, before, fits, _ in _fitting(marks, size, group, rows["side"].to_numpy(), radius, similarity):
+        for at in np.flatnonzero(fits.any(axis=1)).tolist():
+            i = own[at]
+            others = before[np.flatnonzero(fits[at])]
+            if table:
+                others = others[~(bands[others] == bands[i]).any(axis=1)]
+            for j in others.tolist():
+                if forest.root(group[i]) != forest.root(group[j]):
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    total = len(sets[i]) + len(sets[j]) - both
+                    if both >= similarity * total:
+                        forest.join(group[i], group[j])
+                        yield int(node[i]), int(node[j])
+
+
+_SHARD = ["table", "key", "low", "high"]
+
+
+def _by_shard(frames: Iterator[pd.DataFrame], work) -> Iterator:
+    """``work`` on the rows of each shard's piece or pair of pieces, which come one after the other."""
+    def close(rows: pd.DataFrame) -> Iterator:
+        keys = rows[_SHARD].to_numpy()
+        new = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for a, b in zip([0, *new.tolist()], [*new.tolist(), len(rows)], strict=True):
+            if b - a > 1:
+                yield from work(rows.iloc[a:b])
+
+    rest = None
+    for frame in frames:
+        rows = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        if not len(rows):
+            continue
+        same = (rows[_SHARD] == rows[_SHARD].iloc[-1]).all(axis=1).to_numpy()
+        last = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0
+        rest = rows.iloc[last:]
+        if last:
+            yield from close(rows.iloc[:last])
+    if rest is not None:
+        yield from close(rest)
+
+
+def shards(nodes: DataFrame, piece: int = TREE_NODES, sets: bool = False) -> DataFrame:
+    """The nodes of a stored table (node, size, fingerprint, bands, group) in every shard that holds several groups.
+
+    A shard is the nodes of one band key; like those of ``near_links`` it is sent to one task, or in
+    pieces of ``piece`` nodes of which every two meet. With ``sets`` pieces are cut by PIECE_BYTES of shingle
+    sets as well.
+    """
+    keyed = nodes.select("node", "size", "fingerprint", "group", *(["bands"] if sets else []), F.posexplode("bands").alias("table", "key"))
+    sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.count_distinct("group").alias("groups"))
+    pieces = F.ceil(F.greatest(F.col("n") / piece, F.col("bytes") * 8 / PIECE_BYTES) if sets else F.col("n") / piece).cast("int")
+    several = sizes.filter("groups > 1").select("table", "key", pieces.alias("pieces"))
+    own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
+    dealt = keyed.join(several, ["table", "key"]).withColumn("own", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    return dealt.select(
         "table", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "fingerprint", "node", "size", "group",
+        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "fingerprint", "node", "size", "group", *(["bands"] if sets else []),
     )
-    ids = ["table", "key", "low", "high"]
-    spread = dealt.repartition(*ids).sortWithinPartitions(*ids, "side", "fingerprint", "node")
 
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def close(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            keys = rows[ids].to_numpy()
-            new = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            for a, b in zip([0, *new.tolist()], [*new.tolist(), len(rows)], strict=True):
-                if b - a > 1:
-                    for left, right in _candidates(rows.iloc[a:b], radius, similarity, nearest):
-                        if len(left):
-                            yield pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)})
 
-        rest = None
-        for frame in frames:
-            rows = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            if not len(rows):
-                continue
-            same = (rows[ids] == rows[ids].iloc[-1]).all(axis=1).to_numpy()
-            last = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0
-            rest = rows.iloc[last:]
-            if last:
-                yield from close(rows.iloc[:last])
-        if rest is not None:
-            yield from close(rest)
+def nearest_pairs(nodes: DataFrame, radius: int, similarity: float, piece: int = TREE_NODES) -> DataFrame:
+    """Pairs (a, b): every node with its nearest one of each shard, and (a, a) for all that can have a pair, see ``_nearest``."""
+    spread = shards(nodes, piece).repartition(*_SHARD).sortWithinPartitions(*_SHARD, "side", "fingerprint", "node")
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for left, right in _by_shard(frames, lambda rows: _nearest(rows, radius, similarity)):
+            if len(left):
+                yield pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)})
 
     return spread.mapInPandas(search, "a long, b long").distinct()
 
 
-def similar_pairs(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The stored pairs (a, b) of rows (row, text) whose shingle sets have the Jaccard similarity."""
+def joining_links(nodes: DataFrame, sets: DataFrame, radius: int, similarity: float, piece: int = TREE_NODES) -> DataFrame:
+    """Links (a, b) of similar nodes that join groups, from the shards that hold several; ``sets`` is a
+    stored table (node, own) of shingle sets. At most a link for each node and band comes out."""
+    dealt = shards(nodes, piece, sets=True).join(sets, "node")
+    spread = dealt.repartition(*_SHARD).sortWithinPartitions(*_SHARD, "side", "fingerprint", "node")
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = []
+        for link in _by_shard(frames, lambda rows: _similar(rows, radius, similarity)):
+            found.append(link)
+            if len(found) == 10_000:
+                yield pd.DataFrame(found, columns=["a", "b"])
+                found = []
+        yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return spread.mapInPandas(search, "a long, b long")
+
+
+def shingle_table(rows: DataFrame, shingle: int) -> DataFrame:
+    """(node, own) of rows (node, text): the shingle set as bytes of ascending 64-bit hashes."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = words.as_array(batch.column(1))
             for begin, end in words.steps(texts, STEP_BYTES):
                 hashes, bounds = shingle_sets(texts.slice(begin, end - begin), shingle)
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), lists], names=["row", "own"])
+                own = [hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(own, pa.binary())], names=["node", "own"])
+
+    return rows.select("node", text_or_empty().alias("text")).mapInArrow(sets, "node long, own binary")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets (node, own) have the Jaccard similarity."""
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("left")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("own").alias("right")), "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for left, right in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(left.as_py(), np.uint64), np.frombuffer(right.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    used = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    held = saved(rows.join(used, "row").select("row", text_or_empty().alias("text")).mapInArrow(sets, "row long, own array<long>"), "sets")
-    met = pairs.join(held.select(F.col("row").alias("a"), F.col("own").alias("left")), "a").join(
-        held.select(F.col("row").alias("b"), F.col("own").alias("right")), "b")
-    both = F.size(F.array_intersect("left", "right"))
-    return met.filter(both / (F.size("left") + F.size("right") - both) >= similarity).select("a", "b")
+    return met.select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
 
-def similar_groups(nodes: DataFrame, rows: DataFrame, radius: int, shingle: int, similarity: float) -> DataFrame:
+def similar_groups(nodes: DataFrame, texts, radius: int, shingle: int, similarity: float) -> DataFrame:
     """(node, component) of all nodes that a chain of similar pairs links with another.
 
     First every node is checked with its nearest one of each shard, which settles most groups by
-    about one pair a node; then all candidates that are still in different groups are checked.
+    about one pair a node. Shards that still hold several groups are then searched with the shingle sets at
+    hand, so pairs that fail are looked at in their task and go nowhere. ``texts`` gives (node, text) of
+    a table of nodes.
     """
-    alone = nodes.withColumn("group", F.col("node"))
-    pairs = saved(candidate_pairs(alone, radius, similarity, True), "nearest")
-    links = saved(similar_pairs(pairs, rows, shingle, similarity), "links")
-    found = with_components(links)
-    grouped = saved(nodes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"), "grouped")
-    more = saved(candidate_pairs(grouped, radius, similarity, False).join(pairs, ["a", "b"], "left_anti"), "others")
-    return with_components(links.unionByName(similar_pairs(more, rows, shingle, similarity)))
+    pairs = saved(nearest_pairs(nodes.withColumn("group", F.col("node")), radius, similarity), "nearest")
+    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = saved(shingle_table(texts(used), shingle), "sets")
+    links = saved(similar_pairs(pairs.filter("a <> b"), sets, similarity), "links")
+    grouped = saved(nodes.join(with_components(links), "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"), "grouped")
+    # nodes that are in no pair are allowed for no other in any of their shards
+    more = joining_links(grouped.join(used, "node", "left_semi"), sets, radius, similarity)
+    return with_components(links.unionByName(more))
 
 
 def deduplicate(docs: DataFrame, radius: int = DEDUP_RADIUS, doc_id: str = "doc_id", text: str = "text",
@@ -411,20 +494,25 @@ def deduplicate(docs: DataFrame, radius: int = DEDUP_RADIUS, doc_id: str = "doc_
 
     Rows are linked if the Jaccard similarity of their sets of ``shingle`` words is ``similarity``
     or more: rows with equal sets are one node, nodes that share a band and have fingerprints within
-    ``radius`` are candidates, and candidates are checked on their shingle sets.
+    ``radius`` are candidates, and candidates are checked on their shingle sets. The names of the rows to drop
+    are stored; the documents are not copied.
     """
-    names = docs.columns
-    rows = saved(docs.select(
-        F.struct(*[F.col(f"`{n}`") for n in names]).alias("doc"), F.monotonically_increasing_id().alias("row"),
-    ), "near")
-    fields = rows.select(F.col(f"doc.`{doc_id}`").cast("long").alias("doc_id"), F.col(f"doc.`{text}`").alias("text"), "row")
-    marks = saved(set_marks(fields.filter("doc_id is not null"), shingle), "simhash")
-    nodes = saved(marks.groupBy("digest").agg(F.min(F.struct("row", "size", "fingerprint", "bands")).alias("m"), F.count("*").alias("n")).select(
-        "digest", "n", F.col("m.row").alias("node"), "m.size", "m.fingerprint", "m.bands"), "nodes")
-    found = nodes.select("digest", "n", "node").join(similar_groups(nodes.drop("digest", "n"), fields, radius, shingle, similarity), "node", "left")
-    near = marks.select("doc_id", "row", "digest").join(
-        found.filter("component is not null or n > 1").select("digest", F.coalesce("component", "node").alias("component_id")), "digest")
-    near = saved(near.drop("digest"), "members")
-    stays = near.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).getField("row").alias("first"))
-    dropped = near.join(stays, "component_id").filter("row <> first").select("row")
-    return rows.join(dropped, "row", "left_anti").select("doc.*")
+    rows = named_rows(docs)
+    with scratch(docs.sparkSession):
+        fields = rows.select(F.col(f"doc.`{doc_id}`").cast("long").alias("doc_id"), F.col(f"doc.`{text}`").alias("text"), "file", "place")
+        marks = saved(set_marks(fields.filter("doc_id is not null").withColumn("row", F.monotonically_increasing_id()), shingle), "simhash")
+        nodes = saved(marks.groupBy("digest").agg(F.min(F.struct("row", "size", "fingerprint", "bands")).alias("m"), F.count("*").alias("n")).select(
+            "digest", "n", F.col("m.row").alias("node"), "m.size", "m.fingerprint", "m.bands"), "nodes")
+
+        def texts(used: DataFrame) -> DataFrame:
+            places = saved(marks.select(F.col("row").alias("node"), "file", "place").join(used, "node", "left_semi"), "places")
+            return fields.join(places, ["file", "place"]).select("node", "text")
+
+        linked = similar_groups(nodes.drop("digest", "n"), texts, radius, shingle, similarity)
+        found = nodes.select("digest", "n", "node").join(linked, "node", "left")
+        near = marks.select("doc_id", "row", "file", "place", "digest").join(
+            found.filter("component is not null or n > 1").select("digest", F.coalesce("component", "node").alias("component_id")), "digest")
+        near = saved(near.drop("digest"), "members")
+        stays = near.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).getField("row").alias("first"))
+        dropped = saved(near.join(stays, "component_id").filter("row <> first").select("file", "place"), "dropped", stays=True)
+    return rows.join(dropped, ["file", "place"], "left_anti").select("doc.*")

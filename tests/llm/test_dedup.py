@@ -125,7 +125,8 @@ def jaccard(a, b, shingle=5):
 @pytest.mark.parametrize("piece", [3, 4000])
 def test_near_copies_are_those_of_all_pairs(spark, monkeypatch, piece):
     """Copies with changed words around the similarity, in small pieces of shards and in whole ones."""
-    monkeypatch.setattr(simhash.candidate_pairs, "__defaults__", (piece,))
+    for search in (simhash.nearest_pairs, simhash.joining_links):
+        monkeypatch.setattr(search, "__defaults__", (piece,))
     rng, texts = random.Random(3), []
     for _ in range(12):
         base = [f"w{rng.randint(0, 5000)}" for _ in range(rng.choice([4, 12, 60, 300]))]
