@@ -59,20 +59,6 @@ def new_listings(batch: DataFrame, stored: DataFrame, arrival: Sequence[str] = (
     return first_per_url(batch, arrival, key).join(stored.select(key), key, "left_anti")
 
 
-def keyed_merge(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], newest: Column | None = None) -> DataFrame:
-    """Stored rows with the incoming rows put in their place; the incoming row wins.
-
-    Several incoming rows of one key are reduced to one first (the last by ``newest``).
-    """
-    if newest is not None:
-        last = Window.partitionBy(*keys).orderBy(newest.desc())
-        incoming = (
-            incoming.withColumn("_rank", F.row_number().over(last)).filter(F.col("_rank") == 1).drop("_rank")
-        )
-    kept = stored.join(incoming.select(*keys), list(keys), "left_anti")
-    return kept.unionByName(incoming, allowMissingColumns=True)
-
-
 def insert_missing(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Incoming rows whose key is not stored (insert, on conflict do nothing).
 
@@ -139,21 +125,6 @@ def reset_products(products: DataFrame, series: DataFrame) -> tuple[DataFrame, D
 # -- sinks ---------------------------------------------------------------------------------------
 
 
-def append(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Add rows to a parquet table; the commit is all or nothing."""
-    rows.write.mode("append").partitionBy(*partition_by).parquet(path)
-
-
-def table_exists(spark: SparkSession, path: str) -> bool:
-    """True if the folder holds a table that was committed."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return files.exists(folder) and any(
-        not f.getPath().getName().startswith(("_", ".")) for f in files.listStatus(folder)
-    )
-
-
 def read_merged(spark: SparkSession, path: str, touched: DataFrame | None = None) -> DataFrame:
     """A stored table as it stands, or the rows of the keys in ``touched`` alone."""
     return versioned.read(spark, versioned.table(spark, path), touched)
