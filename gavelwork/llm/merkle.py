@@ -18,9 +18,11 @@ FANOUT = 8
 LEVELS = 4
 SLOTS = FANOUT ** LEVELS
 #: Ids of a container share all but their last bits.
-LOW_BITS = 16
-#: Containers up to this many ids list them, larger ones are a bitmap.
-SPARSE = 4_096
+LOW_BITS = 12
+#: Containers up to this many ids list them in two bytes each, larger ones are a bitmap.
+SPARSE = (1 << LOW_BITS) // 16
+#: Bits of a container's number that a level of the directory takes off.
+LEVEL_BITS = 18
 #: Bits under one entry of a popcount directory.
 WORD = 64
 #: Container of rows without an id, before all others.
@@ -201,11 +203,11 @@ def bitmaps(ids: DataFrame) -> DataFrame:
 def directory(containers: DataFrame) -> DataFrame:
     """(tree, bucket, base): rows of the tree before each container.
 
-    Counts are added up in three levels of at most 65,537 entries below one another, so that no
-    window holds more, however the ids are spread.
+    Counts are added up in three levels of at most 2 ** LEVEL_BITS entries below one another, so that
+    no window holds more, however the ids are spread.
     """
     def parent(name: str) -> Column:
-        return F.floor(F.col(name) / (1 << LOW_BITS)).cast("long")
+        return F.shiftright(name, LEVEL_BITS)
 
     def before(keys: list[str], order: str) -> Column:
         return F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
