@@ -51,6 +51,19 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
+    """Batches of about ``size`` bytes for the Python tasks of jobs that run inside the block, for rows that
+    may be large; elsewhere the number of rows alone limits a batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def named_rows(docs: DataFrame) -> DataFrame:
     """(doc, file, place): every row with all its columns and a name that is the same whenever it is read.
 

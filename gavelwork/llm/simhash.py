@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelwork.llm import words
-from gavelwork.llm.common import named_rows, saved, scratch, text_or_empty, with_components
+from gavelwork.llm.common import named_rows, saved, scratch, small_batches, text_or_empty, with_components
 
 SHINGLE = 3
 RADIUS = 2
@@ -31,7 +31,7 @@ BANDS, BAND_ROWS = 24, 4
 #: Fingerprints of one side that are compared with all others of their piece in one step.
 SCAN_ROWS = 256
 #: Bytes of shingle sets in a piece of a shard whose pairs are checked.
-PIECE_BYTES = 24_000_000
+PIECE_BYTES = 8_000_000
 
 
 def _hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -344,7 +344,7 @@ def _similar(rows: pd.DataFrame, radius: int, similarity: float) -> Iterator[tup
     node, table = rows["node"].to_numpy(), int(rows["table"].iloc[0])
     names, group = np.unique(rows["group"].to_numpy(), return_inverse=True)
     sets = [np.frombuffer(b, np.uint64) for b in rows["own"]]
-    bands = np.stack(rows["bands"].to_numpy())[:, :table]
+    bands = np.stack(rows["bands"].to_numpy()) if table else None
     forest = Forest(len(names))
     parts = (rows[c].to_numpy() for c in ("fingerprint", "size"))
     marks, size = next(parts).view(np.uint64), next(parts)
@@ -397,6 +397,8 @@ def shards(nodes: DataFrame, piece: int = TREE_NODES, sets: bool = False) -> Dat
     sets as well.
     """
     keyed = nodes.select("node", "size", "fingerprint", "group", *(["bands"] if sets else []), F.posexplode("bands").alias("table", "key"))
+    if sets:  # a pair is checked in the first band it shares: only the bands before are needed
+        keyed = keyed.withColumn("bands", F.slice("bands", F.lit(1), F.col("table")))
     sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.count_distinct("group").alias("groups"))
     pieces = F.ceil(F.greatest(F.col("n") / piece, F.col("bytes") * 8 / PIECE_BYTES) if sets else F.col("n") / piece).cast("int")
     several = sizes.filter("groups > 1").select("table", "key", pieces.alias("pieces"))
@@ -498,7 +500,7 @@ def deduplicate(docs: DataFrame, radius: int = DEDUP_RADIUS, doc_id: str = "doc_
     are stored; the documents are not copied.
     """
     rows = named_rows(docs)
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession), small_batches(docs.sparkSession):
         fields = rows.select(F.col(f"doc.`{doc_id}`").cast("long").alias("doc_id"), F.col(f"doc.`{text}`").alias("text"), "file", "place")
         marks = saved(set_marks(fields.filter("doc_id is not null").withColumn("row", F.monotonically_increasing_id()), shingle), "simhash")
         nodes = saved(marks.groupBy("digest").agg(F.min(F.struct("row", "size", "fingerprint", "bands")).alias("m"), F.count("*").alias("n")).select(
