@@ -133,6 +133,23 @@ def test_stream_ingest_is_incremental(spark, tmp_path):
     assert run() == ["u1", "u2", "u3", "u9"]
 
 
+def test_state_has_as_many_partitions_as_the_rows_need(spark, tmp_path):
+    """Not those of the session: each opens a store in every batch, however few rows there are."""
+    folder, state = str(tmp_path / "in"), tmp_path / "state"
+    spark.createDataFrame([("1", "u1", 1.0), ("2", "u2", 2.0)], LISTING).coalesce(1).write.parquet(folder)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        source = spark.readStream.schema(LISTING).parquet(folder)
+        stream.start_ingest(source, str(tmp_path / "table"), str(state)).awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "9"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    stores = [p for p in (state / "urls" / "state" / "0").iterdir() if p.name.isdigit()]
+    assert len(stores) == spark.sparkContext.defaultParallelism == 4
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 2
+
+
 def test_freshness_of_names(spark):
     as_of = F.lit("2024-03-01").cast("timestamp")
     listings = spark.sql("""
