@@ -158,12 +158,25 @@ def platform_sealed_terms(platform: str, name: Column, set_name: Column, kind: C
 def clean_terms(terms: Column) -> Column:
     """Blanks squeezed, terms under three characters dropped, first of equal terms kept
     (ignoring case)."""
+    kept = squeezed_terms(terms)
+    return first_terms(kept, F.transform(kept, F.lower))
+
+
+def squeezed_terms(terms: Column) -> Column:
     squeezed = F.transform(terms, lambda t: F.trim(F.regexp_replace(t, r"\s+", " ")))
-    kept = F.filter(squeezed, lambda t: F.length(t) >= 3)
-    lowered = F.transform(kept, F.lower)
+    return F.filter(squeezed, lambda t: F.length(t) >= 3)
+
+
+def first_terms(kept: Column, lowered: Column) -> Column:
+    """The first of equal terms; ``lowered`` is asked for every term, so it had better be a stored column."""
     return F.filter(kept, lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1)
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """The rows with more columns, each computed once per row: expressions are not moved through a generator."""
+    return rows.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in rows.columns], *[c.alias(n) for n, c in columns.items()]))))
+
+
 def _ordered(terms: Column, priority) -> Column:
     """Stable sort of the terms by a priority number."""
     keyed = F.transform(
@@ -223,17 +236,19 @@ def search_plan(items: DataFrame, platform: str | None = None, max_terms: int =
     name, set_name = F.col("item_name"), F.coalesce(F.col("set_name"), F.lit(""))
     number, kind = F.coalesce(F.col("card_number"), F.lit("")), F.coalesce(F.col("product_type"), F.lit(""))
     sealed = F.col("item_type") == "sealed_product"
+    terms = F.col("_terms")
     if platform is None:
-        terms = F.when(sealed, sealed_terms(name, set_name, kind)).otherwise(card_terms(name, set_name, number))
+        plain = F.when(sealed, sealed_terms(name, set_name, kind)).otherwise(card_terms(name, set_name, number))
+        rows = _once(items, _terms=plain)
         ordered = by_specificity(terms, set_name, F.when(~sealed, number).otherwise(""))
     else:
-        terms = clean_terms(
-            F.when(sealed, platform_sealed_terms(platform, name, set_name, kind))
-            .otherwise(platform_card_terms(platform, name, set_name, number))
-        )
-        ordered = by_platform(terms, platform, name, F.when(~sealed, number).otherwise(""))
-    chosen = F.slice(ordered, 1, max_terms)
-    return items.withColumn("search_terms", chosen).withColumn("term_count", F.size("search_terms").cast("bigint"))
+        own = F.when(sealed, platform_sealed_terms(platform, name, set_name, kind)).otherwise(
+            platform_card_terms(platform, name, set_name, number))
+        rows = _once(items, _terms=squeezed_terms(own))
+        rows = _once(rows, _lowered=F.transform(terms, F.lower))
+        ordered = by_platform(first_terms(terms, F.col("_lowered")), platform, name, F.when(~sealed, number).otherwise(""))
+    rows = _once(rows, search_terms=F.slice(ordered, 1, max_terms)).select(*[F.col(f"`{c}`") for c in items.columns], "search_terms")
+    return rows.withColumn("term_count", F.size("search_terms").cast("bigint"))
 
 
 def plan_terms(plan: DataFrame) -> DataFrame:

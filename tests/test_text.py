@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from gavelwork.functions import text
@@ -120,3 +121,17 @@ def test_like_wildcards(spark):
     names = spark.createDataFrame([("Mewtwo",), ("Mew_wo",)], "n string")
     assert names.filter(catalog.like(F.col("n"), "mew_wo")).count() == 2
     assert names.filter(catalog.like(F.col("n"), "mew_wo", escape=True)).count() == 1
+
+
+@pytest.mark.parametrize("platform", ["ebay", "pricecharting"])
+def test_terms_are_worked_out_once_per_item(spark, platform):
+    items = spark.createDataFrame(
+        [(1, "card", "Mew V", "Base Set", "3/200", None), (2, "sealed_product", "Base Set Tin", "Base Set", None, "Tin")],
+        "item_id long, item_type string, item_name string, set_name string, card_number string, product_type string")
+    plan = search.search_plan(items, platform, 2)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    got = {r.item_id: (r.search_terms, r.term_count) for r in plan.collect()}
+    assert got == {
+        "ebay": {1: (["Mew V 3/200 Base Set near mint", "Mew V 3/200 Base Set nm"], 2), 2: (["Base Set Tin factory sealed", "Base Set Tin sealed english"], 2)},
+        "pricecharting": {1: (["Mew V 3/200", "Mew V Base Set 3/200"], 2), 2: (["Base Set Tin"], 1)},
+    }[platform]
