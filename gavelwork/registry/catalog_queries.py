@@ -7,7 +7,7 @@ from gavelwork.operators import audits, catalog, ingest, search
 from gavelwork.plans import preparation
 from gavelwork.registry.base import CARDS, LISTINGS, SEALED, any_in, query, quoted, when, with_, words
 from gavelwork.rules import fixed
-from gavelwork.session import scratch_path
+from gavelwork.session import scratch_path, spread
 from gavelwork.sources import starviews as views
 
 COLUMNS = "card_id, card_name, set_name, card_number, rarity"
@@ -226,7 +226,7 @@ def rarity_and_slug(spark, sf_dir):
 
 
 def items(spark, sf_dir):
-    return search.search_items(cards(spark, sf_dir), views.sealed_products(spark, sf_dir))
+    return spread(search.search_items(cards(spark, sf_dir), views.sealed_products(spark, sf_dir)))
 
 
 _ITEMS = """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gavelwork.functions.numbers import half_up
 from gavelwork.registry.base import LISTINGS, day, days_as_text, hu, query, quoted, with_
 from gavelwork.rules import fixed
-from gavelwork.session import scratch_path
+from gavelwork.session import scratch_path, spread
 from gavelwork.sources import catalog_files, pages
 from gavelwork.sources import starviews as views
 
@@ -150,7 +150,8 @@ def product_pages(spark, sf_dir):
         F.lit('<p>loose <span class="price">$'), low, F.lit('</span></p><div><div class="current-price">$'), price,
         F.lit('</div></div><div class="tour-box"><div class="chart-price">$77.70</div></div></html>'),
     )
-    return views.read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("url"), html.alias("html"))
+    parts = spread(views.read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"))
+    return parts.select(F.col("p_partkey").cast("string").alias("url"), html.alias("html"))
 
 
 _PRICE = "(CAST(round(p_retailprice * 100) AS BIGINT) // 10 / 100.0)"

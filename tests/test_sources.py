@@ -5,6 +5,7 @@ import pytest
 
 from gavelwork.operators import catalog
 from gavelwork.plans import preparation
+from gavelwork.registry import page_queries
 from gavelwork.rules import targets
 from gavelwork.sources import catalog_files, pages
 from gavelwork.sources.html_tree import parse
@@ -148,3 +149,11 @@ def test_a_long_table_takes_seconds(spark):
     assert pages.page_tables(page).count() >= 10_000
     pages.current_prices(page).collect()
     assert time.time() - begin < 60
+
+
+def test_pages_of_a_small_file_are_read_by_many_tasks(spark, tmp_path):
+    rows = [(i, f"part {i}", "Brand#1", 7, 900.0 + i) for i in range(40)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    made = page_queries.product_pages(spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() >= 4
+    assert sorted((r.url, r.title) for r in pages.product_details(made).collect()) == sorted((str(i), f"part {i}") for i in range(40))
