@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gavelwork.session import spread
+
 #: Characters of a gram; shorter texts are looked up whole.
 GRAM = 3
 
@@ -58,10 +60,14 @@ def target_match_table(cards: DataFrame, targets: DataFrame, gram: int = GRAM) -
     Names and sets are indexed once each, however many cards have them. A target that is null in
     name or set has no partial match.
     """
+    cards, targets = spread(cards), spread(targets)  # an exact target may match very many cards
     exact = targets.join(cards, (F.col("card_name") == F.col("target_name")) & (F.col("set_name") == F.col("target_set"))
                          & (F.col("card_number") == F.col("target_number")))
     exact = exact.select("target_id", "card_id", "card_name", "set_name", "card_number", F.lit("exact").alias("match_kind"))
-    rest = targets.join(exact.select("target_id").distinct(), "target_id", "left_anti")
+    known = cards.select("card_name", "set_name", "card_number").distinct()
+    met = targets.join(known, (F.col("card_name") == F.col("target_name")) & (F.col("set_name") == F.col("target_set"))
+                       & (F.col("card_number") == F.col("target_number")), "left_semi")
+    rest = targets.join(met.select("target_id").distinct(), "target_id", "left_anti")
     pairs = cards.groupBy(F.lower("card_name").alias("name"), F.lower("set_name").alias("series")).agg(
         F.min_by(F.struct("card_id", "card_name", "set_name", "card_number"), "card_id").alias("card"))
     parts = rest.select(F.lower("target_name").alias("name"), F.lower("target_set").alias("series")).distinct()

@@ -84,6 +84,17 @@ def test_partners_are_those_of_all_pairs(spark, block):
     assert partners.closest_partners(frame.limit(0)).count() == 0
 
 
+def test_exact_targets_are_joined_once_and_by_many_tasks(spark):
+    cards = spark.createDataFrame([(i, "Mew", "Base", "1/9") for i in range(60)], "card_id long, card_name string, set_name string, card_number string")
+    wanted = spark.createDataFrame([(i, "Mew", "Base", "1/9" if i < 49 else "2/9") for i in range(50)],
+                                   "target_id long, target_name string, target_set string, target_number string")
+    found = targets.target_match_table(cards.coalesce(1), wanted.coalesce(1))
+    assert {r.match_kind: r["count"] for r in found.groupBy("match_kind").count().collect()} == {"exact": 49 * 60, "partial": 1}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join Inner" in line and "card_number" in line for line in plan.splitlines()) == 1, plan
+    assert plan.count("Repartition 4, true") >= 2, plan
+
+
 def test_block_bounds_lose_no_pair(spark):
     """Two far groups: their blocks are not compared, and nothing changes."""
     rng = np.random.default_rng(6)
