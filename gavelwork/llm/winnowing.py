@@ -19,6 +19,8 @@ from gavelwork.llm.common import lower_ascii, saved, text_or_empty
 WINDOW = 10
 #: Words of a k-gram.
 GRAM = 5
+#: Marks of items that are sent to every task; beyond, runs of windows are shuffled to the marks with their words.
+SENT_MARKS = 2_000_000
 #: Fixed value: what stands between words once A-Z are in lower case.
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -53,7 +55,7 @@ def window_marks(rows: DataFrame, lengths: list[int], gram: int = GRAM) -> DataF
 
 
 def runs(rows: DataFrame, lengths: list[int], gram: int = GRAM) -> DataFrame:
-    """(row, length, mark, first, last) from rows (row, words): neighbouring windows of one mark."""
+    """(row, words, length, mark, first, last) from rows (row, words): neighbouring windows of one mark."""
     def of(n: int) -> Column:
         marks, firsts = F.col(f"marks_{n}"), F.col(f"firsts_{n}")
         ends = F.size(marks) - n + 1
@@ -67,8 +69,8 @@ def runs(rows: DataFrame, lengths: list[int], gram: int = GRAM) -> DataFrame:
         return F.filter(places, lambda i: i.isNotNull()).alias(f"firsts_{n}")
 
     marked = window_marks(rows, lengths, gram)
-    marked = held(marked, "row", *[f"marks_{n}" for n in lengths], *map(firsts, lengths))
-    return marked.select("row", F.inline(F.concat(*map(of, lengths))))
+    marked = held(marked, "row", "words", *[f"marks_{n}" for n in lengths], *map(firsts, lengths))
+    return marked.select("row", "words", F.inline(F.concat(*map(of, lengths))))
 
 
 def item_windows(items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame, list[int]]:
@@ -102,12 +104,18 @@ def extended(hits: Column, window: int) -> Column:
 
 def found_in(stored: DataFrame, windows: DataFrame, lengths: list[int], window: int, gram: int) -> DataFrame:
     """(row, spans, classes) of the rows (row, words) of a stored table that hold a window."""
-    marked = runs(stored.select("row", "words"), lengths, gram).join(windows.select("mark").distinct(), "mark", "left_semi")
-    places = saved(marked.groupBy("row").agg(F.collect_list(F.struct("length", "first", "last")).alias("runs")), "marks")
-    each = F.transform("runs", lambda r: F.transform(F.sequence(r["first"], r["last"]), lambda i: F.struct(
-        i.alias("begin"), (i + r["length"]).alias("end"), F.array_join(F.slice("words", i + 1, r["length"]), " ").alias("text"),
-    )))
-    shared = stored.select("row", "words").join(places, "row").select("row", F.inline(F.flatten(each))).join(windows.select("text", "class"), "text")
+    marks = windows.select("mark").distinct()
+    part = F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + F.col("length")).alias("part")
+    marked, own = runs(stored.select("row", "words"), lengths, gram), ["row", "length", "first", "last"]
+    # the words of a document stay in its task: only those of runs with a mark of an item go on
+    if marks.count() <= SENT_MARKS:
+        met = marked.join(F.broadcast(marks), "mark", "left_semi").select(*own, part)
+    else:
+        met = held(marked, *own, "mark", part).join(marks, "mark", "left_semi")
+    text = F.array_join(F.slice("part", F.col("i") - F.col("first") + 1, F.col("length")), " ").alias("text")
+    each = met.select("*", F.explode(F.sequence("first", "last")).alias("i")).select(
+        "row", F.col("i").alias("begin"), (F.col("i") + F.col("length")).alias("end"), text)
+    shared = each.join(windows.select("text", "class"), "text")
     hits = shared.groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("hits"), F.array_sort(F.collect_set("class")).alias("classes"),
     )

@@ -107,3 +107,21 @@ def test_main_path_is_native(spark):
     frame = winnowing.scan(hard(spark), spark.createDataFrame([(1, "one two")], PLAIN))
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("sent", [winnowing.SENT_MARKS, 0])
+def test_words_of_documents_are_not_shuffled(spark, sent, monkeypatch):
+    """Where documents that hold a window are few or many, only runs with a mark of an item go on."""
+    monkeypatch.setattr(winnowing, "SENT_MARKS", sent)
+    docs = [(i, " ".join(f"w{i}x{j}" for j in range(30)) + (" a b c d e f g h i j k l m" if i % 3 else "")) for i in range(30)]
+    items = [(1, "a b c d e f g h i j k"), (2, "d e f"), (3, None)]
+    stored = winnowing.word_table(spark.createDataFrame(docs, "row long, text string"), "text", winnowing.F.col("row"))
+    stored = winnowing.saved(stored, "words")
+    windows, _, lengths = winnowing.item_windows(winnowing.saved(winnowing.word_table(
+        spark.createDataFrame(items, PLAIN), "text", winnowing.F.col("item_id").cast("string").alias("item")), "items"))
+    found = winnowing.found_in(stored, windows, lengths, winnowing.WINDOW, winnowing.GRAM)
+    assert found.count() == 20
+    scans = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation [row#" in line and "words#" in line]
+    assert len(scans) == 1  # no second reading of the words to be joined
+    got = collected(winnowing.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, PLAIN)))
+    assert got == expected(docs, items)
