@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from contextvars import ContextVar
+from threading import get_ident
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,15 +19,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-#: Paths of the tables that go at the end of the innermost ``scratch`` block.
-_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+#: By thread, the paths of the tables that go at the end of each open ``scratch`` block, the innermost last;
+#: plain lists, as what is sent to tasks by value takes it along.
+_passing: dict[int, list[list[str]]] = {}
 
 
 def saved(rows: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """The rows as a table of the shared folder: later steps read it, whatever executor is lost."""
     path = scratch_path(rows.sparkSession, name)
-    if not stays and _passing.get() is not None:
-        _passing.get().append(path)
+    if not stays and _passing.get(get_ident()):
+        _passing[get_ident()][-1].append(path)
     rows.write.parquet(path)
     return rows.sparkSession.read.parquet(path)
 
@@ -42,11 +43,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are saved inside the block are removed at its end, unless they are to stay: what
     the block returns reads from those and from its input alone."""
     paths: list[str] = []
-    token = _passing.set(paths)
+    _passing.setdefault(get_ident(), []).append(paths)
     try:
         yield
     finally:
-        _passing.reset(token)
+        _passing[get_ident()].pop()
         for path in paths:
             remove(spark, path)
 
