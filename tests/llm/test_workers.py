@@ -46,3 +46,19 @@ def test_queries_run_where_only_the_driver_has_the_package():
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=900, cwd="/tmp", env=env)
     assert "all ran" in done.stdout, done.stderr[-3000:]
+
+
+def test_scratch_tables_go_with_their_own_block(spark):
+    import os
+
+    from gavelwork.llm import common
+
+    with common.scratch(spark):
+        outer = common.saved(spark.range(3), "outer")
+        with common.scratch(spark):
+            inner, kept = common.saved(spark.range(4), "inner"), common.saved(spark.range(5), "kept", stays=True)
+        gone, there = inner.inputFiles(), outer.inputFiles() + kept.inputFiles()
+        assert not any(os.path.exists(f.removeprefix("file://")) for f in gone)
+        assert all(os.path.exists(f.removeprefix("file://")) for f in there)
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in outer.inputFiles())
+    assert kept.count() == 5
