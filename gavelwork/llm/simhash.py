@@ -26,8 +26,11 @@ TREE_NODES = 4_000
 #: Near-dedup of documents: words of a shingle, least Jaccard similarity, and bits within which
 #: fingerprints of the shingle sets are compared (at 0.8 they differ in 10 bits on average).
 DEDUP_SHINGLE, SIMILARITY, DEDUP_RADIUS = 5, 0.8, 22
-#: Shards of the near-dedup: bands of so many smallest hashes; at 0.8 all bands miss 3 pairs in a million.
-BANDS, BAND_ROWS = 24, 4
+#: Least agreement is also asked of two fingerprint words together: bits of 128 (at 0.8 they differ in 19 on average).
+DEDUP_WIDE_RADIUS = 38
+#: Shards of the near-dedup: fingerprints of WORDS more 64-bit words, cut into WORD_KEYS keys of KEY_BITS bits
+#: each. At 0.8 a key agrees with probability 0.14, so all 40 miss 2 pairs in a thousand; at 0.9, 2 in a hundred million.
+WORDS, WORD_KEYS, KEY_BITS = 8, 5, 12
 #: Fingerprints of one side that are compared with all others of their piece in one step.
 SCAN_ROWS = 256
 #: Bytes of shingle sets in a piece of a shard whose pairs are checked.
@@ -59,12 +62,17 @@ def _hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Fingerprint of each text: the bits that are set in over half of its hashes."""
-    bits = np.empty((64, len(bounds) - 1), bool)
-    half = np.diff(bounds)
-    for bit in range(64):
-        ones = words.sums(((hashes >> np.uint64(bit)) & np.uint64(1)).astype(np.int64), bounds)
-        bits[bit] = 2 * ones > half
-    return (bits.astype(np.uint64) << np.arange(64, dtype=np.uint64)[:, None]).sum(axis=0, dtype=np.uint64)
+    size = np.diff(bounds)
+    # counts of several bits are summed at once, in lanes of a word wide enough for the longest text
+    lane = 16 if size.max(initial=0) < 1 << 16 else 32
+    lanes = np.uint64(sum(1 << at for at in range(0, 64, lane)))
+    out = np.zeros(len(size), np.uint64)
+    for low in range(lane):
+        ones = words.sums(((hashes >> np.uint64(low)) & lanes).view(np.int64), bounds).view(np.uint64)
+        for at in range(0, 64, lane):
+            count = ((ones >> np.uint64(at)) & np.uint64((1 << lane) - 1)).astype(np.int64)
+            out |= (2 * count > size).astype(np.uint64) << np.uint64(low + at)
+    return out
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text",
@@ -265,25 +273,30 @@ def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([np.zeros(0, np.uint64), *own]), np.cumsum([0, *map(len, own)])
 
 
-def _bands(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(texts x BANDS) keys, each of BAND_ROWS smallest hashes; texts without shingles share theirs."""
-    keys = np.zeros((len(bounds) - 1, BANDS), np.uint64)
-    full = np.flatnonzero(np.diff(bounds))
-    if not len(full):
-        return keys
-    turns = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * BAND_ROWS, 2), np.int64).astype(np.uint64)
+def _wide(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(texts x WORDS) more words of the fingerprints: the majority bits of the hashes, mixed anew for every word."""
+    turns = np.random.default_rng(SEED).integers(0, 1 << 63, (WORDS, 2), np.int64).astype(np.uint64)
+    out = np.zeros((len(bounds) - 1, WORDS), np.uint64)
     for i, (turn, factor) in enumerate(turns):
-        least = np.minimum.reduceat((hashes ^ turn) * (factor | np.uint64(1)), bounds[full])
-        mixed = (keys[full, i // BAND_ROWS] ^ least) * np.uint64(0x9E3779B97F4A7C15)
-        keys[full, i // BAND_ROWS] = mixed ^ (mixed >> np.uint64(29))
-    return keys
+        mixed = (hashes ^ turn) * (factor | np.uint64(1))
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        out[:, i] = _majority(mixed ^ (mixed >> np.uint64(29)), bounds)
+    return out
+
+
+def _bands(wide: np.ndarray) -> np.ndarray:
+    """(texts x WORDS * WORD_KEYS) keys: disjoint runs of KEY_BITS bits of the fingerprints."""
+    shifts = np.arange(WORD_KEYS, dtype=np.uint64) * np.uint64(KEY_BITS)
+    keys = (wide[:, :, None] >> shifts) & np.uint64((1 << KEY_BITS) - 1)
+    return keys.reshape(len(wide), -1).astype(np.int16)
 
 
 def set_marks(rows: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, row, file, place, digest, size, fingerprint, bands) of the shingle set of every row (doc_id, row, file, place, text)."""
+    """(doc_id, row, file, place, digest, size, fingerprint, second, bands) of the shingle set of every row (doc_id, row, file,
+    place, text): ``second`` is the second word of the fingerprint, ``bands`` are keys from its further bits."""
     schema = pa.schema([
         ("doc_id", pa.int64()), ("row", pa.int64()), ("file", pa.string()), ("place", pa.int64()), ("digest", pa.binary()), ("size", pa.int64()), ("fingerprint", pa.int64()),
-        ("bands", pa.list_(pa.int64())),
+        ("second", pa.int64()), ("bands", pa.list_(pa.int16())),
     ])
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,23 +305,34 @@ def set_marks(rows: DataFrame, shingle: int) -> DataFrame:
             for begin, end in words.steps(texts, STEP_BYTES):
                 hashes, bounds = shingle_sets(texts.slice(begin, end - begin), shingle)
                 digests = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                keys = _bands(hashes, bounds).view(np.int64)
+                wide = _wide(hashes, bounds)
+                keys = _bands(wide)
                 yield pa.RecordBatch.from_arrays([
                     *[batch.column(i).slice(begin, end - begin) for i in range(4)], pa.array(digests, pa.binary()),
                     pa.array(np.diff(bounds)), pa.array(_majority(hashes, bounds).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())),
+                    pa.array(np.ascontiguousarray(wide[:, 0]).view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, WORDS * WORD_KEYS), pa.int32()), pa.array(keys.ravel())),
                 ], schema=schema)
 
-    kinds = "doc_id long, row long, file string, place long, digest binary, size long, fingerprint long, bands array<long>"
+    kinds = "doc_id long, row long, file string, place long, digest binary, size long, fingerprint long, second long, bands array<smallint>"
     return rows.select("doc_id", "row", "file", "place", text_or_empty().alias("text")).mapInArrow(marked, kinds)
 
 
-def _nearest(rows: pd.DataFrame, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+#: Columns of the rows of a shard's piece or two.
+Rows = dict[str, np.ndarray]
+
+
+def _marks(rows: Rows) -> np.ndarray:
+    """(2 x rows) the two words of the fingerprints."""
+    return np.stack([rows["fingerprint"], rows["second"]]).view(np.uint64)
+
+
+def _nearest(rows: Rows, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (a, b) of nodes in one piece or two: for every node the nearest one before it whose
     fingerprint and size allow the similarity; and (a, a) for every node that is allowed for one behind it."""
-    marks, size, node = (rows[c].to_numpy() for c in ("fingerprint", "size", "node"))
+    size, node = rows["size"], rows["node"]
     told = np.zeros(len(node), bool)
-    for own, before, fits, distance in _fitting(marks.view(np.uint64), size, node, rows["side"].to_numpy(), radius, similarity):
+    for own, before, fits, distance in _fitting(_marks(rows), size, node, rows["side"], radius, similarity):
         # of equally near ones the last, so that copies make a chain and no star
         at = fits.shape[1] - 1 - np.where(fits, distance, 255)[:, ::-1].argmin(axis=1)
         i = np.flatnonzero(fits[np.arange(len(own)), at])
@@ -324,36 +348,60 @@ def _fitting(marks: np.ndarray, size: np.ndarray, group: np.ndarray, side: np.nd
     those of side 0: which pairs of different groups the fingerprints and sizes allow."""
     first = np.flatnonzero(side == 0)
     second = np.flatnonzero(side == 1) if side.any() else first
+    marks, further = marks
     for begin in range(0, len(second) if len(first) else 0, SCAN_ROWS):
         own = second[begin:begin + SCAN_ROWS]
         before = first if side.any() else first[:begin + len(own)]
         distance = np.bitwise_count(marks[own][:, None] ^ marks[before])
-        fits = (distance <= radius) & (group[own][:, None] != group[before])
-        fits &= np.minimum(size[own][:, None], size[before]) >= similarity * np.maximum(size[own][:, None], size[before])
+        fits = distance <= radius
         if not side.any():
             fits &= before < own[:, None]
+        # few pairs of unlike texts come this far: the rest is asked of those alone
+        i, j = np.nonzero(fits)
+        a, b = own[i], before[j]
+        wide = distance[i, j] + np.bitwise_count(further[a] ^ further[b])
+        like = (wide <= DEDUP_WIDE_RADIUS) & (group[a] != group[b])
+        like &= np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
+        fits[i, j] = like
         yield own, before, fits, distance
 
 
-def _similar(rows: pd.DataFrame, radius: int, similarity: float) -> Iterator[tuple[int, int]]:
+def _unmet(fits: np.ndarray, own: np.ndarray, before: np.ndarray, bands: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
+    """Every row of a block with the rows that fit it and share none of its earlier bands, where they have met."""
+    for at in np.flatnonzero(fits.any(axis=1)).tolist():
+        i, others = own[at], before[np.flatnonzero(fits[at])]
+        if bands is not None:
+            others = others[~(bands[others] == bands[i]).any(axis=1)]
+        if len(others):
+            yield i, others
+
+
+def _earlier(rows: Rows) -> np.ndarray | None:
+    return np.stack(rows["bands"]) if rows["table"][0] else None
+
+
+def _contested(rows: Rows, radius: int, similarity: float) -> np.ndarray:
+    """Which rows of one piece or two fit a node of another group that they have not met before."""
+    hit, bands = np.zeros(len(rows["node"]), bool), _earlier(rows)
+    for own, before, fits, _ in _fitting(_marks(rows), rows["size"], rows["group"], rows["side"], radius, similarity):
+        for i, others in _unmet(fits, own, before, bands):
+            hit[i] = True
+            hit[others] = True
+    return hit
+
+
+def _similar(rows: Rows, radius: int, similarity: float) -> Iterator[tuple[int, int]]:
     """Links (a, b) of similar nodes that join two groups or sets of them, of one shard's piece or two.
 
     Every pair that fits is checked on its shingle sets where it is found, unless it meets in an earlier
     band too, where it has been checked, or a link has joined its groups already.
     """
-    node, table = rows["node"].to_numpy(), int(rows["table"].iloc[0])
-    names, group = np.unique(rows["group"].to_numpy(), return_inverse=True)
+    node, size = rows["node"], rows["size"]
+    names, group = np.unique(rows["group"], return_inverse=True)
     sets = [np.frombuffer(b, np.uint64) for b in rows["own"]]
-    bands = np.stack(rows["bands"].to_numpy()) if table else None
-    forest = Forest(len(names))
-    parts = (rows[c].to_numpy() for c in ("fingerprint", "size"))
-    marks, size = next(parts).view(np.uint64), next(parts)
-    for own, before, fits, _ in _fitting(marks, size, group, rows["side"].to_numpy(), radius, similarity):
-        for at in np.flatnonzero(fits.any(axis=1)).tolist():
-            i = own[at]
-            others = before[np.flatnonzero(fits[at])]
-            if table:
-                others = others[~(bands[others] == bands[i]).any(axis=1)]
+    bands, forest = _earlier(rows), Forest(len(names))
+    for own, before, fits, _ in _fitting(_marks(rows), size, group, rows["side"], radius, similarity):
+        for i, others in _unmet(fits, own, before, bands):
             for j in others.tolist():
                 if forest.root(group[i]) != forest.root(group[j]):
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -371,9 +419,10 @@ def _by_shard(frames: Iterator[pd.DataFrame], work) -> Iterator:
     def close(rows: pd.DataFrame) -> Iterator:
         keys = rows[_SHARD].to_numpy()
         new = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        columns = {c: rows[c].to_numpy() for c in rows.columns}
         for a, b in zip([0, *new.tolist()], [*new.tolist(), len(rows)], strict=True):
             if b - a > 1:
-                yield from work(rows.iloc[a:b])
+                yield from work({c: values[a:b] for c, values in columns.items()})
 
     rest = None
     for frame in frames:
@@ -389,45 +438,78 @@ def _by_shard(frames: Iterator[pd.DataFrame], work) -> Iterator:
         yield from close(rest)
 
 
-def shards(nodes: DataFrame, piece: int = TREE_NODES, sets: bool = False) -> DataFrame:
-    """The nodes of a stored table (node, size, fingerprint, bands, group) in every shard that holds several groups.
+def _packed(parts: Iterator[tuple[np.ndarray, ...]], names: list[str], most: int = 10_000) -> Iterator[pd.DataFrame]:
+    """The columns of many small parts as frames of about ``most`` rows."""
+    held, n = [], 0
+    for part in parts:
+        if len(part[0]):
+            held.append(part)
+            n += len(part[0])
+        if n >= most:
+            yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*held)), strict=True)))
+            held, n = [], 0
+    if held:
+        yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*held)), strict=True)))
+
+
+def keyed_nodes(nodes: DataFrame, earlier: bool = False) -> DataFrame:
+    """The nodes of a stored table (node, size, fingerprint, second, bands, group) once for each of their bands.
+
+    A pair is looked at in the first band it shares: with ``earlier``, the bands before come along.
+    """
+    keyed = nodes.select("node", "size", "fingerprint", "second", "group", *(["bands"] if earlier else []), F.posexplode("bands").alias("table", "key"))
+    return keyed.withColumn("bands", F.slice("bands", F.lit(1), F.col("table"))) if earlier else keyed
+
+
+def shards(keyed: DataFrame, piece: int = TREE_NODES, sets: bool = False) -> DataFrame:
+    """The rows of ``keyed_nodes`` in every shard that holds several groups.
 
     A shard is the nodes of one band key; like those of ``near_links`` it is sent to one task, or in
     pieces of ``piece`` nodes of which every two meet. With ``sets`` pieces are cut by PIECE_BYTES of shingle
     sets as well.
     """
-    keyed = nodes.select("node", "size", "fingerprint", "group", *(["bands"] if sets else []), F.posexplode("bands").alias("table", "key"))
-    if sets:  # a pair is checked in the first band it shares: only the bands before are needed
-        keyed = keyed.withColumn("bands", F.slice("bands", F.lit(1), F.col("table")))
-    sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.count_distinct("group").alias("groups"))
+    sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("group").alias("least"), F.max("group").alias("most"))
     pieces = F.ceil(F.greatest(F.col("n") / piece, F.col("bytes") * 8 / PIECE_BYTES) if sets else F.col("n") / piece).cast("int")
-    several = sizes.filter("groups > 1").select("table", "key", pieces.alias("pieces"))
+    several = sizes.filter("least < most").select("table", "key", pieces.alias("pieces"))
     own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
     dealt = keyed.join(several, ["table", "key"]).withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    return dealt.select(
-        "table", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-        F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "fingerprint", "node", "size", "group", *(["bands"] if sets else []),
-    )
+    side = F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side")
+    return dealt.select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), side, *keyed.columns)
+
+
+def _spread(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition(*_SHARD).sortWithinPartitions(*_SHARD, "side", "fingerprint", "node")
 
 
 def nearest_pairs(nodes: DataFrame, radius: int, similarity: float, piece: int = TREE_NODES) -> DataFrame:
     """Pairs (a, b): every node with its nearest one of each shard, and (a, a) for all that can have a pair, see ``_nearest``."""
-    spread = shards(nodes, piece).repartition(*_SHARD).sortWithinPartitions(*_SHARD, "side", "fingerprint", "node")
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs = _by_shard(frames, lambda rows: _nearest(rows, radius, similarity))
+        yield from _packed(((np.minimum(a, b), np.maximum(a, b)) for a, b in pairs), ["a", "b"])
+
+    return _spread(shards(keyed_nodes(nodes), piece)).mapInPandas(search, "a long, b long").distinct()
 
+
+def contested_rows(nodes: DataFrame, radius: int, similarity: float, piece: int) -> DataFrame:
+    """(table, key, node) of nodes in the shards where they first meet a node of another group that they fit."""
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for left, right in _by_shard(frames, lambda rows: _nearest(rows, radius, similarity)):
-            if len(left):
-                yield pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)})
+        def found(rows: Rows) -> Iterator[tuple[np.ndarray, ...]]:
+            hit = _contested(rows, radius, similarity)
+            yield rows["table"][hit], rows["key"][hit], rows["node"][hit]
+
+        yield from _packed(_by_shard(frames, found), ["table", "key", "node"])
 
-    return spread.mapInPandas(search, "a long, b long").distinct()
+    return _spread(shards(keyed_nodes(nodes, earlier=True), piece)).mapInPandas(search, "table int, key smallint, node long").distinct()
 
 
 def joining_links(nodes: DataFrame, sets: DataFrame, radius: int, similarity: float, piece: int = TREE_NODES) -> DataFrame:
     """Links (a, b) of similar nodes that join groups, from the shards that hold several; ``sets`` is a
-    stored table (node, own) of shingle sets. At most a link for each node and band comes out."""
-    dealt = shards(nodes, piece, sets=True).join(sets, "node")
-    spread = dealt.repartition(*_SHARD).sortWithinPartitions(*_SHARD, "side", "fingerprint", "node")
+    stored table (node, own) of shingle sets, which go only to the shards where a node has a pair to be
+    checked. At most a link for each node and band comes out."""
+    contested = saved(contested_rows(nodes, radius, similarity, piece), "contested")
+    keyed = keyed_nodes(nodes, earlier=True).join(contested, ["table", "key", "node"], "left_semi")
+    dealt = shards(keyed, piece, sets=True).join(sets, "node")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = []
@@ -438,7 +520,7 @@ def joining_links(nodes: DataFrame, sets: DataFrame, radius: int, similarity: fl
                 found = []
         yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return spread.mapInPandas(search, "a long, b long")
+    return _spread(dealt).mapInPandas(search, "a long, b long")
 
 
 def shingle_table(rows: DataFrame, shingle: int) -> DataFrame:
@@ -495,16 +577,16 @@ def deduplicate(docs: DataFrame, radius: int = DEDUP_RADIUS, doc_id: str = "doc_
     that repeat it, one); rows with a null id all stay. All columns are kept whatever their names.
 
     Rows are linked if the Jaccard similarity of their sets of ``shingle`` words is ``similarity``
-    or more: rows with equal sets are one node, nodes that share a band and have fingerprints within
-    ``radius`` are candidates, and candidates are checked on their shingle sets. The names of the rows to drop
+    or more: rows with equal sets are one node, nodes whose SimHash fingerprints agree in a band of bits and
+    are within ``radius`` are candidates, and candidates are checked on their shingle sets. The names of the rows to drop
     are stored; the documents are not copied.
     """
     rows = named_rows(docs)
     with scratch(docs.sparkSession), small_batches(docs.sparkSession):
         fields = rows.select(F.col(f"doc.`{doc_id}`").cast("long").alias("doc_id"), F.col(f"doc.`{text}`").alias("text"), "file", "place")
         marks = saved(set_marks(fields.filter("doc_id is not null").withColumn("row", F.monotonically_increasing_id()), shingle), "simhash")
-        nodes = saved(marks.groupBy("digest").agg(F.min(F.struct("row", "size", "fingerprint", "bands")).alias("m"), F.count("*").alias("n")).select(
-            "digest", "n", F.col("m.row").alias("node"), "m.size", "m.fingerprint", "m.bands"), "nodes")
+        nodes = saved(marks.groupBy("digest").agg(F.min(F.struct("row", "size", "fingerprint", "second", "bands")).alias("m"), F.count("*").alias("n")).select(
+            "digest", "n", F.col("m.row").alias("node"), "m.size", "m.fingerprint", "m.second", "m.bands"), "nodes")
 
         def texts(used: DataFrame) -> DataFrame:
             places = saved(marks.select(F.col("row").alias("node"), "file", "place").join(used, "node", "left_semi"), "places")

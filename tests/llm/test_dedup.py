@@ -141,3 +141,23 @@ def test_near_copies_are_those_of_all_pairs(spark, monkeypatch, piece):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect())
     assert kept == sorted(set(label.values())) and 20 < len(kept) < len(texts) - 10
+
+
+def test_shards_of_the_near_dedup_come_from_simhash_bits():
+    """A band is a run of majority bits of the shingle hashes, mixed anew for every word; long texts take wider lanes."""
+    rng = np.random.default_rng(5)
+    sizes = [0, 1, 2, 9, 70_000]
+    hashes, bounds = rng.integers(0, 1 << 63, sum(sizes)).astype(np.uint64), np.cumsum([0, *sizes])
+    for some in (bounds, bounds[:-1]):
+        brute = [[2 * int(((hashes[a:b] >> np.uint64(bit)) & np.uint64(1)).sum()) > b - a for bit in range(64)] for a, b in zip(some[:-1], some[1:])]
+        assert simhash._majority(hashes[:some[-1]], some).tolist() == [sum(1 << i for i, on in enumerate(bits) if on) for bits in brute]
+    wide = simhash._wide(hashes, bounds)
+    bands = simhash._bands(wide)
+    assert bands.shape == (5, 40) and bands.min() >= 0 and not bands[0].any()
+    assert [int(k) for k in bands[3]] == [int(w) >> 12 * i & 4095 for w in wide[3] for i in range(5)]
+    # a set that shares 8 of 9 shingles differs in a few bits of every word, another one in half of them
+    near, far = hashes[3:12].copy(), rng.integers(0, 1 << 63, 9).astype(np.uint64)
+    near[0] = 7
+    words = simhash._wide(np.concatenate([hashes[3:12], near, far]), np.array([0, 9, 18, 27]))
+    apart = [int(np.bitwise_count(words[0] ^ words[i]).sum()) for i in (1, 2)]
+    assert apart[0] < 130 and apart[1] > 200
