@@ -19,8 +19,10 @@ from gavelwork.functions.numbers import half_up
 from gavelwork.operators.portfolio import _centered, aligned_returns
 from gavelwork.session import scratch_path
 
-#: Products of a block; a task holds two blocks and their product.
-BLOCK = 1_024
+#: Products of a block; a task holds two blocks and their product, a strip of STRIP rows at a time.
+BLOCK, STRIP = 1_024, 512
+#: Blocks grow with the products up to MOST of them, so that up to MOST * COUNT products each vector goes to COUNT tasks.
+COUNT, MOST = 64, 8_192
 #: Bounds this close to a value do not rule it out.
 SLACK = 1e-9
 _MATCH = "own int, member string, partner string, value double"
@@ -62,6 +64,11 @@ def _norm(a: Column) -> Column:
     return F.sqrt(_dot(a, a))
 
 
+def block_size(n: int, block: int) -> int:
+    """Products of a block: ``block``, or more where that would give over COUNT blocks."""
+    return max(block, min(MOST, -(-n // COUNT)))
+
+
 def blocks(vectors: DataFrame, n: int, block: int) -> tuple[DataFrame, int]:
     """The stored vectors with ``own``, a block of about ``block`` of them, and the number of blocks.
 
@@ -79,12 +86,13 @@ def blocks(vectors: DataFrame, n: int, block: int) -> tuple[DataFrame, int]:
 
 
 def _best(products: np.ndarray, members: np.ndarray, partners: np.ndarray, k: int, floor: np.ndarray) -> pd.DataFrame:
-    """The k best partners of each row; partners are in the order of their names, which settles ties."""
-    top = np.argsort(-products, axis=1, kind="stable")[:, :k]
-    values = np.take_along_axis(products, top, axis=1)
-    keep = values >= floor[:, None]
-    rows = np.repeat(members[:, None], top.shape[1], axis=1)
-    return pd.DataFrame({"member": rows[keep], "partner": partners[top][keep], "value": values[keep]})
+    """The k best partners of each row at its floor or above; partners are in the order of their names, which settles ties."""
+    row, at = np.nonzero(products >= floor[:, None])
+    values = products[row, at]
+    order = np.lexsort((at, -values, row))
+    row, at, values = row[order], at[order], values[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return pd.DataFrame({"member": members[row[keep]], "partner": partners[at[keep]], "value": values[keep]})
 
 
 def _inside(k: int):
@@ -93,42 +101,48 @@ def _inside(k: int):
     def inside(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("member", kind="stable")
         x, names = np.stack(frame["v"].to_numpy()), frame["member"].to_numpy()
-        products = x @ x.T
-        np.fill_diagonal(products, -np.inf)
-        found = _best(products, names, names, k, np.full(len(x), -2.0))
+        parts, floor = [], np.inf if len(x) > k else -2.0
+        for begin in range(0, len(x), STRIP):
+            products = x[begin:begin + STRIP] @ x.T
+            own = np.arange(len(products))
+            products[own, begin + own] = -np.inf
+            least = np.partition(products, -k, axis=1)[:, -k] if len(x) > k else np.full(len(products), -2.0)
+            floor = min(floor, least.min())
+            parts.append(_best(products, names[begin:begin + STRIP], names, k, least))
         center = x.mean(axis=0)
-        floor = found.groupby("member")["value"].min().min() if len(x) > k else -2.0
         about = pd.DataFrame({"center": [center], "radius": [np.sqrt(((x - center) ** 2).sum(axis=1).max())], "floor": [floor]})
-        both = pd.concat([found.assign(center=None), about], ignore_index=True).assign(own=key[0])
+        both = pd.concat([*[p.assign(center=None) for p in parts], about], ignore_index=True).assign(own=key[0])
         return both.reindex(columns=["own", "member", "partner", "value", "center", "radius", "floor"])
 
     return inside
 
 
 def _across(k: int):
-    """Best partners of two blocks in one another; pairs below the block's floor count for none."""
+    """Best partners of two blocks in one another, of pairs at or above what a product has found in its own block."""
     def across(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("member", kind="stable")
         left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"own": [], "member": [], "partner": [], "value": []})
-        products = np.stack(left["v"].to_numpy()) @ np.stack(right["v"].to_numpy()).T
-        a, b = left["member"].to_numpy(), right["member"].to_numpy()
-        both = [_best(products, a, b, k, left["floor"].to_numpy()), _best(products.T, b, a, k, right["floor"].to_numpy())]
-        return pd.concat(both, ignore_index=True).assign(own=key[0])[["own", "member", "partner", "value"]]
+        parts = [pd.DataFrame({"member": [], "partner": [], "value": []})]
+        for one, other in ((left, right), (right, left)) if len(left) and len(right) else ():
+            x, y = np.stack(one["v"].to_numpy()), np.stack(other["v"].to_numpy())
+            names, partners, floor = one["member"].to_numpy(), other["member"].to_numpy(), one["floor"].to_numpy()
+            for begin in range(0, len(x), STRIP):
+                part = slice(begin, begin + STRIP)
+                parts.append(_best(x[part] @ y.T, names[part], partners, k, floor[part]))
+        return pd.concat(parts, ignore_index=True).assign(own=key[0])[["own", "member", "partner", "value"]]
 
     return across
 
 
 def open_pairs(about: DataFrame, count: int) -> DataFrame:
-    """(low, high, floors) of the pairs of blocks whose products may reach the floor of either."""
+    """(low, high) of the pairs of blocks whose products may reach the floor of either."""
     sides = about.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).filter("other <> own")
     low = sides.filter("own < other").select(F.col("own").alias("low"), F.col("other").alias("high"), F.struct("center", "radius", "floor").alias("a"))
     high = sides.filter("own > other").select(F.col("other").alias("low"), F.col("own").alias("high"), F.struct("center", "radius", "floor").alias("b"))
     a, b = F.col("a.center"), F.col("b.center")
     bound = _dot(a, b) + F.col("a.radius") * _norm(b) + F.col("b.radius") * _norm(a) + F.col("a.radius") * F.col("b.radius")
     met = low.join(high, ["low", "high"])
-    return met.filter(bound >= F.least("a.floor", "b.floor") - SLACK).select("low", "high", F.col("a.floor").alias("low_floor"), F.col("b.floor").alias("high_floor"))
+    return met.filter(bound >= F.least("a.floor", "b.floor") - SLACK).select("low", "high")
 
 
 def closest_partners(series: DataFrame, k: int = 5, key: str = "product_id", block: int = BLOCK) -> DataFrame:
@@ -148,14 +162,17 @@ def closest_partners(series: DataFrame, k: int = 5, key: str = "product_id", blo
     n = vectors.count()
     if n == 0:
         return spark.createDataFrame([], "member string, position int, partner string, correlation double")
-    dealt, count = blocks(vectors, n, block)
+    dealt, count = blocks(vectors, n, block_size(n, block))
     dealt = kept(dealt.select("own", "member", "v"), "blocks")
     inside = kept(dealt.groupBy("own").applyInPandas(_inside(k), f"{_MATCH}, center array<double>, radius double, floor double"), "inside")
     found = inside.filter("member is not null").select("own", "member", "partner", "value")
     if count > 1:
         pairs = kept(open_pairs(inside.filter("member is null").select("own", "center", "radius", "floor"), count), "pairs")
-        tiles = dealt.join(pairs.select("low", "high", F.col("low").alias("own"), F.lit(0).alias("side"), F.col("low_floor").alias("floor")).unionByName(
-            pairs.select("low", "high", F.col("high").alias("own"), F.lit(1).alias("side"), F.col("high_floor").alias("floor"))), "own")
+        # a product that has found k partners in its own block needs none below the last of them
+        floors = found.groupBy("member").agg(F.when(F.count("*") >= k, F.min("value")).otherwise(-2.0).alias("floor"))
+        own = dealt.join(floors, "member", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+        tiles = own.join(pairs.select("low", "high", F.col("low").alias("own"), F.lit(0).alias("side")).unionByName(
+            pairs.select("low", "high", F.col("high").alias("own"), F.lit(1).alias("side"))), "own")
         found = found.unionByName(tiles.groupBy("low", "high").applyInPandas(_across(k), _MATCH))
     order = Window.partitionBy("member").orderBy(F.col("value").desc(), "partner")
     ranked = found.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
