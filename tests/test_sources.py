@@ -157,3 +157,16 @@ def test_pages_of_a_small_file_are_read_by_many_tasks(spark, tmp_path):
     made = page_queries.product_pages(spark, str(tmp_path))
     assert made.rdd.getNumPartitions() >= 4
     assert sorted((r.url, r.title) for r in pages.product_details(made).collect()) == sorted((str(i), f"part {i}") for i in range(40))
+
+
+def test_tree_is_runs_of_the_page_lists():
+    """Start tags of the same text are read once, and what lies below an element is a run of the page's elements and texts."""
+    html = '<div class="a b">1<p id="x">2<br>3<i class="a b">4</i></p>5<p>6</div>7<p id="x">8<script><b>9</script></q>'
+    page = parse(html)
+    nodes = page.all(lambda n: True)
+    first, last = page.all(lambda n: n.attrs.get("id") == "x")
+    assert first.attrs is last.attrs and nodes[0].classes == ["a", "b"]
+    for node in [page, *nodes]:
+        assert node.walk() == [n for n in nodes if node in n.above()]
+    assert [n.text() for n in nodes] == ["123456", "234", "", "4", "6", "8<b>9", "<b>9"] and page.text() == "12345678<b>9"
+    assert first.text(strip=True) == "234" and last.first(lambda n: n.tag == "b") is None
