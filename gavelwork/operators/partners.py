@@ -86,9 +86,10 @@ def blocks(vectors: DataFrame, n: int, block: int) -> tuple[DataFrame, int]:
 
 
 def _best(products: np.ndarray, members: np.ndarray, partners: np.ndarray, k: int, floor: np.ndarray) -> pd.DataFrame:
-    """The k best partners of each row at its floor or above; partners are in the order of their names, which settles ties."""
-    row, at = np.nonzero(products >= floor[:, None])
-    values = products[row, at]
+    """The k best partners of each row at its floor or above; partners are in the order of their names, which settles ties.
+    Values that differ in the rounding of a product alone, as those of equal vectors do, are ties."""
+    row, at = np.nonzero(products >= floor[:, None] - SLACK)
+    values = np.round(products[row, at], 12)
     order = np.lexsort((at, -values, row))
     row, at, values = row[order], at[order], values[order]
     keep = np.arange(len(row)) - np.searchsorted(row, row) < k

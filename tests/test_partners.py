@@ -44,3 +44,9 @@ def test_partners_are_those_of_all_pairs(spark, monkeypatch, block, count):
     for r in sorted(partners.closest_partners(series, 4, block=block).collect()):
         got.setdefault(r["member"], []).append((r["position"], r["partner"], r["correlation"]))
     assert {n: [c for *_, c in g] for n, g in got.items()} == {n: [c for *_, c in w] for n, w in want.items()}
+
+
+def test_values_apart_by_rounding_alone_are_ties():
+    products = np.array([[1.0 - 2e-16, 1.0, 0.5, 1.0 + 2e-16]])
+    got = partners._best(products, np.array(["m"]), np.array(["a", "b", "c", "d"]), 2, np.array([1.0]))
+    assert got["partner"].tolist() == ["a", "b"]
