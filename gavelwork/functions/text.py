@@ -67,6 +67,22 @@ def any_matches(text: Column, patterns: Iterable[str]) -> Column:
     return found if "" in literals else F.exists(literal_words(literals), lambda w: text.contains(w)) & found
 
 
+def any_alone(text: Column, patterns: Iterable[str]) -> Column:
+    """:func:`any_matches` with a search for each pattern: a text that holds the literal part of one is searched for that one alone,
+    not for all of them at every position.
+
+    The text is tested many times, so it should be a column, not an expression to be worked out for every test.
+    """
+    by_literal: dict[str, list[str]] = {}
+    for pattern in patterns:
+        by_literal.setdefault(required_literal(pattern), []).append(pattern)
+    test = F.lit(False)
+    for literal, same in by_literal.items():
+        found = text.rlike("|".join(f"(?:{p})" for p in same))
+        test = test | (text.contains(literal) & found if literal else found)
+    return test
+
+
 def first_match(tests: Sequence[tuple[Column, Column]], otherwise: Column | None = None) -> Column:
     chain = None
     for test, value in tests:
@@ -267,7 +283,11 @@ def fuzzy_match(left: Column, right: Column, stop_words=fixed.MATCH_STOP_WORDS)
 
 def name_match_score(title: Column, expected: Column, variations: Mapping = fixed.NAME_VARIATIONS) -> Column:
     """1 on containment, else matched long words / all words, + 0.2 per variation, at most 1."""
-    low, want = F.lower(title), F.lower(expected)
+    return low_match_score(F.lower(title), F.lower(expected), variations)
+
+
+def low_match_score(low: Column, want: Column, variations: Mapping = fixed.NAME_VARIATIONS) -> Column:
+    """:func:`name_match_score` of texts in lower case, which are tested once per word and form."""
     words = F.filter(F.split(want, r"\s+"), lambda w: w != "")
     hits = F.size(F.filter(words, lambda w: (F.length(w) > 2) & low.contains(w)))
     score = F.coalesce(F.try_divide(hits.cast("double"), F.size(words)), F.lit(0.0))

@@ -278,7 +278,7 @@ def card_outliers(listings: DataFrame, min_group: int = 5) -> DataFrame:
 
 def _invalid_category(title: Column, rules: Mapping) -> Column:
     """First rule class with a pattern in the title."""
-    return text.first_match([(text.any_matches(title, p), F.lit(c)) for c, p in rules.items()])
+    return text.first_match([(text.any_alone(title, p), F.lit(c)) for c, p in rules.items()])
 
 
 def _hits(title: Column, patterns: Sequence[str]) -> Column:
@@ -286,10 +286,13 @@ def _hits(title: Column, patterns: Sequence[str]) -> Column:
 
 
 def _staged(listings: DataFrame, rules: Mapping) -> tuple[DataFrame, Column, Column]:
-    """Listings with what the rule rows find in their titles; the title and price that gates test."""
-    title = F.lower(F.coalesce(F.col("title"), F.lit("")))
+    """Listings with what the rule rows find in their titles; the title and price that gates test.
+
+    The title in lower case is a column: as an expression it would be worked out for every word and pattern.
+    """
+    title = F.col("_low")
     price = F.coalesce(F.col("price").cast("double"), F.lit(0.0))
-    staged = listings.withColumns({
+    staged = listings.withColumn("_low", F.lower(F.coalesce(F.col("title"), F.lit("")))).withColumns({
         "_invalid": _invalid_category(title, rules["invalid"]),
         "_named": text.any_contains(title, rules["names"]),
         "_valid": _hits(title, rules["valid"]),
@@ -306,7 +309,7 @@ def _first_reason(title: Column, price: Column, own: Sequence[tuple[Column, obje
         (price < 0.5, F.lit("Price too low (likely damaged/fake)")),
         *own,
         (F.length(title) < 10, F.lit("Title too short")),
-        (F.length(F.regexp_replace(title, "[^ ]", "")) < 2, F.lit("Title too simple")),
+        (F.length(title) - F.length(F.replace(title, F.lit(" "), F.lit(""))) < 2, F.lit("Title too simple")),
     ], F.lit("Passed quality checks"))
 
 
@@ -329,10 +332,11 @@ def gate_v2(listings: DataFrame, expected: str | None = "product_name", sealed:
     ``quality_score``. The first failing rule names the reason.
     """
     is_sealed = F.lit(False) if sealed is None else sealed
-    staged, title, price = _staged(listings, rules)
+    wanted = F.lit(None).cast("string") if expected is None else F.lower(F.col(expected))
+    staged, title, price = _staged(listings.withColumn("_want", wanted), rules)
     staged = staged.withColumns({
         "_indicators": _hits(title, rules["indicators"]),
-        "_match": F.lit(None).cast("double") if expected is None else text.name_match_score(title, F.col(expected)),
+        "_match": F.lit(None).cast("double") if expected is None else text.low_match_score(title, F.col("_want")),
     })
     named, indicators, match = F.col("_named"), F.col("_indicators"), F.col("_match")
     mismatch = F.lit(None).cast("string") if expected is None else F.concat(
@@ -403,7 +407,7 @@ def _verdict(staged: DataFrame, reason: Column, score: Column, confidence: Mappi
             F.when(passed, half_up(score, 4)).otherwise(text.lookup(F.col("reason_class"), confidence)),
         )
         .withColumnRenamed("_invalid", "invalid_category")
-        .drop("_indicators", "_named", "_valid", "_match")
+        .drop("_indicators", "_named", "_valid", "_match", "_low", "_want")
     )
 
 
