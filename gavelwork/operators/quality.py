@@ -438,6 +438,7 @@ def title_mismatches(listings: DataFrame) -> DataFrame:
         "_title": text.clean_name(F.col("title")),
         "_set": text.clean_name(F.col("set_name")),
         "_numbers": text.title_numbers(F.col("title")),
+        "_low": F.lower("title"),
     })
     name, title, wanted_set, numbers = (F.col(c) for c in ("_name", "_title", "_set", "_numbers"))
     named = cleaned.withColumns({"_expected": text.main_name(name), "_found": text.main_name(title)})
@@ -445,7 +446,7 @@ def title_mismatches(listings: DataFrame) -> DataFrame:
     set_differs = (
         (F.length("set_name") > 3)
         & ~title.contains(wanted_set)
-        & text.has_set_phrase(F.col("title"))
+        & text.has_set_phrase(F.col("_low"))
         & ~text.fuzzy_match(wanted_set, title)
     )
     number_differs = (
@@ -462,7 +463,9 @@ def title_mismatches(listings: DataFrame) -> DataFrame:
         F.when(set_differs, F.concat(F.lit("Potential set mismatch: expected "), F.col("set_name"))),
         F.when(number_differs, F.concat(F.lit("Card number mismatch: expected "), F.col("card_number"))),
     ))
-    judged = named.withColumn("_reasons", reasons).drop("_name", "_title", "_set", "_numbers", "_expected", "_found")
+    judged = named.withColumn("_reasons", reasons).drop(
+        "_name", "_title", "_set", "_numbers", "_low", "_expected", "_found"
+    )
     return (
         judged.withColumn("mismatch_reasons", F.explode(F.when(F.size("_reasons") > 0, F.array("_reasons"))))
         .drop("_reasons")

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gavelwork.functions import text
 from gavelwork.operators import quality
 
 # title, expected item, sealed, passes
@@ -123,3 +124,24 @@ def test_gates_take_other_rules(spark):
     assert got == [(False, "damaged"), (True, None)]
     rules = {**quality.RULES_V1, "names": ("gnome",), "invalid": {"damaged": (r"\bchipped\b",)}}
     assert [r.is_valid for r in quality.gate_v1(rows, expected=None, rules=rules).orderBy("title").collect()] == [False, True]
+
+
+def test_titles_are_lowered_once(spark):
+    rows = spark.createDataFrame(
+        [(1, "Charizard V as is", "Charizard V", "Base Set", "1/200", 3.0)],
+        "listing_id int, title string, product_name string, set_name string, card_number string, price double",
+    ).withColumn("card_name", F.col("product_name"))
+    for frame in (quality.gate_v2(rows), quality.gate_v1(rows), quality.title_mismatches(rows)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Contains(lower(" not in plan and "RLIKE(lower(" not in plan
+
+
+def test_patterns_are_searched_alone(spark):
+    rows = spark.createDataFrame([("as iss",), ("sold as is",), ("base set",), ("lot of 3",), ("7 of",), (None,)], "t string")
+    found = rows.select(text.any_alone(F.col("t"), (r"\bas\s*is\b", r"\blot\s*of\s*\d+", r"\b\d+ of\b")).alias("f")).collect()
+    assert [r.f for r in found] == [False, True, False, True, True, None]
+
+
+def test_first_known_name_or_first_word(spark):
+    rows = spark.createDataFrame([("shiny mewtwo lugia",), ("base set",), ("",), (None,)], "t string")
+    assert [r[0] for r in rows.select(text.main_name(F.col("t"))).collect()] == ["mew", "base", "", ""]
