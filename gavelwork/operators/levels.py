@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gavelwork.functions.numbers import half_up
+from gavelwork.functions.numbers import half_up, ratio
+from gavelwork.functions.text import first_match
 
 #: Levels of a listing summary; the empty one is the total.
 LEVELS = (("condition_category",), ("search_strategy",), ("set_name",), ("condition_category", "search_strategy"), ())
@@ -27,17 +28,53 @@ def level_name(names: Sequence[str]) -> Column:
 def level_summary(listings: DataFrame, levels: Sequence[Sequence[str]] = LEVELS, item: str = "product_id", exact: bool = True) -> DataFrame:
     """(level, the level columns, listings, priced, avg_price, lowest, highest, items) of every group of every level.
 
-    One scan and one aggregation for all levels. ``items`` counts different products, exactly or, with
-    ``exact=False``, from an HLL sketch, which saves the second exchange and the rows it moves.
+    The exact way groups the rows once by product and all level columns, and what comes out is added up for the
+    levels, so no listing is copied for each of them. ``exact=False`` takes ``items`` from an HLL sketch in one
+    scan and one aggregation, which saves the exchanges by product and the rows they move.
     """
     names = list(dict.fromkeys(n for level in levels for n in level))
+    sets = [[F.col(n) for n in level] for level in levels]
+    if not exact:
+        positive = F.when(F.col("price") > 0, F.col("price"))
+        return listings.groupingSets(sets, *names).agg(
+            level_name(names).alias("level"), F.count("*").alias("listings"), F.count(positive).alias("priced"), half_up(F.avg(positive), 4).alias("avg_price"),
+            F.min(positive).alias("lowest"), F.max(positive).alias("highest"), F.hll_sketch_estimate(F.hll_sketch_agg(F.col(item), HLL_BITS)).alias("items"),
+        )
+    items = first_match([(_is_level(level, names), F.coalesce(F.sum(f"_first_{i}"), F.lit(0).cast("bigint"))) for i, level in enumerate(levels)])
+    return _by_item(listings, names, levels, item).groupingSets(sets, *names).agg(
+        level_name(names).alias("level"), F.sum("_listings").alias("listings"), F.sum("_priced").alias("priced"),
+        half_up(ratio(F.sum("_sum"), F.sum("_priced")), 4).alias("avg_price"), F.min("_lowest").alias("lowest"), F.max("_highest").alias("highest"),
+        items.alias("items"),
+    )
+
+
+def _by_item(listings: DataFrame, names: Sequence[str], levels: Sequence[Sequence[str]], item: str) -> DataFrame:
+    """Counts, sums and ranges by the level columns, with ``_first_i``: the products counted for level i, each
+    product in one row of each group of that level."""
     positive = F.when(F.col("price") > 0, F.col("price"))
-    items = F.count_distinct(F.col(item)) if exact else F.hll_sketch_estimate(F.hll_sketch_agg(F.col(item), HLL_BITS))
-    grouped = listings.groupingSets([[F.col(n) for n in level] for level in levels], *names)
-    return grouped.agg(
-        level_name(names).alias("level"), F.count("*").alias("listings"), F.count(positive).alias("priced"), half_up(F.avg(positive), 4).alias("avg_price"),
-        F.min(positive).alias("lowest"), F.max(positive).alias("highest"), items.alias("items"),
+    keys = list(dict.fromkeys([item, *names]))
+    firsts = {}
+    for i, level in enumerate(levels):
+        own = list(dict.fromkeys([item, *level]))
+        rest = [n for n in keys if n not in own]
+        first = F.row_number().over(Window.partitionBy(*own).orderBy(*rest)) == 1 if rest else F.lit(True)
+        firsts[f"_first_{i}"] = F.when(first & F.col(item).isNotNull(), F.lit(1).cast("bigint"))
+    counted = listings.groupBy(*keys).agg(
+        F.count("*").alias("_listings"), F.count(positive).alias("_priced"), F.sum(positive).alias("_sum"),
+        F.min(positive).alias("_lowest"), F.max(positive).alias("_highest"),
     )
+    # dealt by product: all orders are within products, one exchange serves them
+    rows = counted.repartition(item).withColumns(firsts)
+    return rows.groupBy(*names).agg(
+        *[F.sum(c).alias(c) for c in ("_listings", "_priced", "_sum", *firsts)], F.min("_lowest").alias("_lowest"), F.max("_highest").alias("_highest"),
+    )
+
+
+def _is_level(level: Sequence[str], names: Sequence[str]) -> Column:
+    test = F.lit(True)
+    for n in names:
+        test = test & (F.grouping(n) == (0 if n in level else 1))
+    return test
 
 
 def day_sketches(listings: DataFrame, keys: Sequence[str], day: str = "sold_date", item: str = "product_id") -> DataFrame:

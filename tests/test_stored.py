@@ -211,3 +211,16 @@ def test_history_of_mixed_shape(spark, tmp_path):
     got = [tuple(r) for r in catalog_files.mixed_history(spark, str(tmp_path / "h.json")).collect()]
     assert got[:3] == [("c1", day(0), 5.0), ("c1", day(1), 6.5), ("c1", None, None)]
     assert got[3:] == [("s1", None, None), ("c2", None, None), (None, None, None), (None, None, None)]
+
+
+def test_exact_levels_copy_groups_not_listings(spark):
+    rows = [(None, "raw", 1.0), (1, "raw", 2.0), (1, "raw", -2.0), (1, None, 4.0), (2, None, None)]
+    frame = spark.createDataFrame(rows, "product_id int, condition_category string, price double")
+    summed = levels.level_summary(frame, [("condition_category",), ()])
+    got = {(r.level, r.condition_category): (r.listings, r.priced, r.avg_price, r.lowest, r.highest, r["items"]) for r in summed.collect()}
+    assert got == {
+        ("condition_category", "raw"): (3, 2, 1.5, 1.0, 2.0, 1), ("condition_category", None): (2, 1, 4.0, 4.0, 4.0, 2),
+        ("total", None): (5, 3, 2.3333, 1.0, 4.0, 2),
+    }
+    plan = plan_of(levels.level_summary(frame, [("condition_category",), ()]))
+    assert plan.count("Expand") == 1 and "HashAggregate" in plan.split("Expand")[1]
