@@ -36,22 +36,24 @@ def weighted_median(price: Column, n_rows: Column) -> Column:
 def histogram_medians(histogram: DataFrame, keys: Sequence[str], price: str = "price") -> DataFrame:
     """Median and number of rows per group, read off the running row counts.
 
-    Sort and window spill to disk, so the number of different prices needs no memory
-    bound either.
+    Sort and windows spill to disk, so the number of different prices needs no memory bound either. The row of
+    the highest price stands for its group: grouping once more would hold a row for each group of a task, and a
+    series has nearly as many groups as prices.
     """
-    by_price = Window.partitionBy(*keys).orderBy(price)
+    by_price, whole = Window.partitionBy(*keys).orderBy(price), Window.partitionBy(*keys)
     upto, n, total = F.col("_upto"), F.col("n_rows"), F.col("_total")
     ranked = histogram.select(
         *keys, F.col(price).cast("double").alias("_p"), "n_rows",
         F.sum("n_rows").over(by_price.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
-        F.sum("n_rows").over(Window.partitionBy(*keys)).alias("_total"),
+        F.sum("n_rows").over(whole).alias("_total"),
     )
 
     def value_at(position: Column) -> Column:
-        return F.max(F.when((upto >= position) & (upto - n < position), F.col("_p")))
+        return F.max(F.when((upto >= position) & (upto - n < position), F.col("_p"))).over(whole)
 
     lower, upper = value_at(F.floor((total + 1) / 2)), value_at(F.floor((total + 2) / 2))
-    return ranked.groupBy(*keys).agg(((lower + upper) / 2).alias("median"), F.max("_total").alias("n_total"))
+    found = ranked.select(*keys, ((lower + upper) / 2).alias("median"), total.alias("n_total"), upto)
+    return found.filter(upto == F.col("n_total")).select(*keys, "median", "n_total")
 
 
 def weighted_mean(price: Column, n_rows: Column) -> Column:

@@ -4,6 +4,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from gavelwork.operators import histogram
 from gavelwork.operators.histogram import exclusive_quartiles, histogram_medians, price_histogram, weighted_percentile
 
 
@@ -56,3 +57,11 @@ def test_one_group_with_most_rows(spark):
     assert counts.count() == 50
     row = histogram_medians(counts, ["g"]).first()
     assert (row.median, row.n_total) == (24.5, 200_000)
+
+
+def test_medians_hold_no_row_for_each_group(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", 3.0), (None, 2.0), ("b", 4.0), ("b", 5.0)], "k string, price double")
+    medians = histogram.histogram_medians(histogram.price_histogram(rows, ["k"]), ["k"])
+    plan = medians._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan.split("Window")[0]
+    assert {(r.k, r.median, r.n_total) for r in medians.collect()} == {("a", 3.0, 3), (None, 2.0, 1), ("b", 4.5, 2)}
