@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavelwork.llm.common import lower_ascii, named_rows, saved, scratch, text_or_empty
+from gavelwork.llm.common import freeing, lower_ascii, named_rows, saved, scratch, text_or_empty
 
 SLOTS = 4
 KICKS = 200
@@ -138,8 +138,8 @@ def groups(digests: DataFrame) -> DataFrame:
     tasks have sent. The largest id is kept, of equal ids the largest row; nulls are smallest.
     """
     own = digests.select("digest", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
-    local = own.mapInArrow(lambda batches: _combine(batches, LOCAL_DIGESTS), _KINDS)
-    return local.repartition("digest").mapInArrow(lambda batches: _combine(batches, None), _KINDS)
+    local = own.mapInArrow(freeing(lambda batches: _combine(batches, LOCAL_DIGESTS)), _KINDS)
+    return local.repartition("digest").mapInArrow(freeing(lambda batches: _combine(batches, None)), _KINDS)
 
 
 def decide(digests: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavelwork.llm import words
-from gavelwork.llm.common import saved, text_or_empty
+from gavelwork.llm.common import freeing, give_back, saved, small_batches, text_or_empty
 from gavelwork.llm.token_files import END_ID
 from gavelwork.llm.tokens import encoder
 
@@ -21,6 +21,8 @@ from gavelwork.llm.tokens import encoder
 WINDOW = 4096
 #: Pieces that are packed together; the sequences of every group but its last few are full.
 GROUP_PIECES = 40_000
+#: Bytes of a batch of texts that is cut: about one step of the encoder (``words.STEP_BYTES``).
+BATCH_BYTES = 5 << 20
 
 
 class Windows:
@@ -112,7 +114,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int = WIN
                         n += 1
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    return rows.mapInArrow(pieces, PIECES)
+    return rows.mapInArrow(freeing(pieces), PIECES)
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, group: int = GROUP_PIECES) -> DataFrame:
@@ -130,7 +132,10 @@ def pack(pieces: DataFrame, window: int = WINDOW, group: int = GROUP_PIECES) ->
     def one_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", *order], ascending=[False, *[True] * len(order)], kind="stable")
         at, offset = best_fit(rows["length"].to_numpy(), window)
-        return rows[names].assign(sequence_id=at * groups + int(key[0]), offset=offset)
+        found = rows[names].assign(sequence_id=at * groups + int(key[0]), offset=offset)
+        del rows
+        give_back()
+        return found
 
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*order), F.lit(groups)))
@@ -139,7 +144,8 @@ def pack(pieces: DataFrame, window: int = WINDOW, group: int = GROUP_PIECES) ->
 
 def stored_pieces(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     """Pieces as a table of the shared folder."""
-    return saved(cut(docs, tokenizer, **options), "pieces")
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        return saved(cut(docs, tokenizer, **options), "pieces")
 
 
 def packed_digest(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelwork.llm import words
-from gavelwork.llm.common import fold, saved, text_or_empty
+from gavelwork.llm.common import fold, freeing, give_back, saved, text_or_empty
 from gavelwork.llm.features import code_points, ngrams, word_hashes
 
 BUCKETS, DIMENSIONS, SIZES = 1 << 16, 4, (2, 3, 4)
@@ -151,7 +151,7 @@ def train(sample: DataFrame, chars: int = SAMPLE_CHARS) -> Model:
             "vectors": [model.vectors.astype("<f4").tobytes()], "weights": [model.weights.tobytes()], "bias": [model.bias.tobytes()],
         })
 
-    one = saved(sample.coalesce(1).mapInArrow(run, "vectors binary, weights binary, bias binary"), "quality-model").first()
+    one = saved(sample.coalesce(1).mapInArrow(freeing(run), "vectors binary, weights binary, bias binary"), "quality-model").first()
     if one is None:
         return fit([], [])
     return Model(
@@ -169,6 +169,8 @@ def score_of(spark: SparkSession, model: Model, text: str = "text") -> Column:
     def score(column: pa.Array) -> pa.Array:
         texts = words.as_array(column)
         scores = [_score(texts.slice(a, b - a), *held.value) for a, b in words.steps(texts, SCORE_BYTES)]
+        del texts
+        give_back()
         return pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
 
     return score(text_or_empty(text))

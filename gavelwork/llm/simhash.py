@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelwork.llm import words
-from gavelwork.llm.common import named_rows, saved, scratch, small_batches, text_or_empty, with_components
+from gavelwork.llm.common import freeing, named_rows, saved, scratch, small_batches, text_or_empty, with_components
 
 SHINGLE = 3
 RADIUS = 2
@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id"
                     batch.column(0).slice(begin, end - begin), batch.column(1).slice(begin, end - begin), pa.array(marks.view(np.int64)),
                 ], schema=schema)
 
-    return rows.mapInArrow(hashed, "doc_id long, row long, fingerprint long")
+    return rows.mapInArrow(freeing(hashed), "doc_id long, row long, fingerprint long")
 
 
 class BKTree:
@@ -235,7 +235,7 @@ def near_links(values: DataFrame, radius: int = RADIUS, nodes: int = TREE_NODES)
         if rest is not None:
             yield close(rest)
 
-    return spread.mapInPandas(search, "a long, b long")
+    return spread.mapInPandas(freeing(search), "a long, b long")
 
 
 def near_groups(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -315,7 +315,7 @@ def set_marks(rows: DataFrame, shingle: int) -> DataFrame:
                 ], schema=schema)
 
     kinds = "doc_id long, row long, file string, place long, digest binary, size long, fingerprint long, second long, bands array<smallint>"
-    return rows.select("doc_id", "row", "file", "place", text_or_empty().alias("text")).mapInArrow(marked, kinds)
+    return rows.select("doc_id", "row", "file", "place", text_or_empty().alias("text")).mapInArrow(freeing(marked), kinds)
 
 
 #: Columns of the rows of a shard's piece or two.
@@ -488,7 +488,7 @@ def nearest_pairs(nodes: DataFrame, radius: int, similarity: float, piece: int =
         pairs = _by_shard(frames, lambda rows: _nearest(rows, radius, similarity))
         yield from _packed(((np.minimum(a, b), np.maximum(a, b)) for a, b in pairs), ["a", "b"])
 
-    return _spread(shards(keyed_nodes(nodes), piece)).mapInPandas(search, "a long, b long").distinct()
+    return _spread(shards(keyed_nodes(nodes), piece)).mapInPandas(freeing(search), "a long, b long").distinct()
 
 
 def contested_rows(nodes: DataFrame, radius: int, similarity: float, piece: int) -> DataFrame:
@@ -500,7 +500,7 @@ def contested_rows(nodes: DataFrame, radius: int, similarity: float, piece: int)
 
         yield from _packed(_by_shard(frames, found), ["table", "key", "node"])
 
-    return _spread(shards(keyed_nodes(nodes, earlier=True), piece)).mapInPandas(search, "table int, key smallint, node long").distinct()
+    return _spread(shards(keyed_nodes(nodes, earlier=True), piece)).mapInPandas(freeing(search), "table int, key smallint, node long").distinct()
 
 
 def joining_links(nodes: DataFrame, sets: DataFrame, radius: int, similarity: float, piece: int = TREE_NODES) -> DataFrame:
@@ -520,7 +520,7 @@ def joining_links(nodes: DataFrame, sets: DataFrame, radius: int, similarity: fl
                 found = []
         yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return _spread(dealt).mapInPandas(search, "a long, b long")
+    return _spread(dealt).mapInPandas(freeing(search), "a long, b long")
 
 
 def shingle_table(rows: DataFrame, shingle: int) -> DataFrame:
@@ -533,7 +533,7 @@ def shingle_table(rows: DataFrame, shingle: int) -> DataFrame:
                 own = [hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(own, pa.binary())], names=["node", "own"])
 
-    return rows.select("node", text_or_empty().alias("text")).mapInArrow(sets, "node long, own binary")
+    return rows.select("node", text_or_empty().alias("text")).mapInArrow(freeing(sets), "node long, own binary")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -550,7 +550,7 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return met.select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
+    return met.select("a", "b", "left", "right").mapInArrow(freeing(check), "a long, b long")
 
 
 def similar_groups(nodes: DataFrame, texts, radius: int, shingle: int, similarity: float) -> DataFrame:

@@ -13,7 +13,8 @@ KEY = b"0123456789abcdef"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     return con
 
 

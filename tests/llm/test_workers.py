@@ -62,3 +62,40 @@ def test_scratch_tables_go_with_their_own_block(spark):
         assert all(os.path.exists(f.removeprefix("file://")) for f in there)
     assert not any(os.path.exists(f.removeprefix("file://")) for f in outer.inputFiles())
     assert kept.count() == 5
+
+
+def test_worker_keeps_nothing_of_what_a_task_freed():
+    """Anonymous memory of a process after a task that held 300 MB of Arrow arrays and of text, and freed them."""
+    code = textwrap.dedent(f"""
+        import re, sys
+        sys.path.insert(0, {ROOT!r})
+        import pyarrow as pa
+        from gavelwork.llm.common import freeing
+        def anon():
+            return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+        def work(batches):
+            for n in batches:
+                arrays = [pa.array([str(i) * 100] * 2000) for i in range(n)]
+                texts = [bytes([i % 250]) * 50_000 + b"x" * i for i in range(20 * n)]
+                most.append(anon())
+                keep.append(texts[-1])  # stands at the end of what is freed
+                yield sum(map(len, arrays))
+        most, keep = [], []
+        start = anon()
+        assert list(freeing(work)([300])) == [600_000]
+        print("held", most[0] - start, "kept", anon() - start)
+    """)
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    _, held, _, kept = done.stdout.split() if done.stdout else pytest.fail(done.stderr[-2000:])
+    assert int(held) > 200 and int(kept) < 30
+
+
+def test_packing_cuts_in_small_batches(spark, monkeypatch):
+    from gavelwork.llm import packing
+    from tests.llm.helpers import TOKENIZER, hard
+
+    name, saved, seen = "spark.sql.execution.arrow.maxBytesPerBatch", packing.saved, []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(packing, "saved", lambda rows, *args: seen.append(spark.conf.get(name)) or saved(rows, *args))
+    assert packing.packed_digest(hard(spark), TOKENIZER).count() > 0
+    assert seen == [str(packing.BATCH_BYTES)] and packing.BATCH_BYTES <= packing.words.STEP_BYTES and spark.conf.get(name) == before
