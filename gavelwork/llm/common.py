@@ -98,6 +98,23 @@ def named_rows(docs: DataFrame) -> DataFrame:
         return saved(docs.select(doc, F.lit("").alias("file"), F.monotonically_increasing_id().alias("place")), "rows", stays=True)
 
 
+#: Bytes of rows, as they lie in memory, that a stored table may have to be sent whole to all tasks.
+SENT_BYTES = 64 << 20
+#: Bytes of a row in memory beside its values: its header, and its entry in the map it is looked up in.
+ROW_BYTES = 40
+
+
+def sized(stored: DataFrame) -> DataFrame:
+    """The rows of a stored table for a join that does not send them to all tasks if they take more than ``SENT_BYTES``.
+
+    Spark goes by the bytes of the files, which hold names of files and runs of ids in a fiftieth of what the rows take.
+    """
+    long = [F.coalesce(F.octet_length(f"`{n}`"), F.lit(0)) for n, kind in stored.dtypes if kind in ("string", "binary")]
+    n, more = stored.agg(F.count("*"), F.sum(sum(long, F.lit(0)))).first()
+    fits = n * (ROW_BYTES + 8 * len(stored.columns)) + (more or 0) <= SENT_BYTES
+    return stored if fits else stored.hint("merge")
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavelwork.llm.common import freeing, lower_ascii, named_rows, saved, scratch, text_or_empty
+from gavelwork.llm.common import freeing, lower_ascii, named_rows, saved, scratch, sized, text_or_empty
 
 SLOTS = 4
 KICKS = 200
@@ -171,7 +171,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """The rows of ``docs`` that are kept, with all their columns whatever their names.
 
     The names of the rows to drop are stored; the documents themselves are neither copied nor, while those
-    names are few enough for Spark to send them to all tasks, moved.
+    names are few enough to be sent to all tasks, moved.
     """
     rows = named_rows(docs)
     with scratch(docs.sparkSession):
@@ -180,5 +180,5 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             "file", "place",
         ), "digests")
         found = groups(narrow.select("digest", "doc_id", "row")).filter("group_size > 1")
-        dropped = saved(narrow.join(found.select("digest", "keep_row"), "digest").filter("row <> keep_row").select("file", "place"), "dropped", stays=True)
-    return rows.join(dropped, ["file", "place"], "left_anti").select("doc.*")
+        dropped = saved(sized(narrow).join(found.select("digest", "keep_row"), "digest").filter("row <> keep_row").select("file", "place"), "dropped", stays=True)
+    return rows.join(sized(dropped), ["file", "place"], "left_anti").select("doc.*")

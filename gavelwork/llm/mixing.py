@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gavelwork.llm.common import named_rows, saved, scratch
+from gavelwork.llm.common import named_rows, saved, scratch, sized
 
 #: Weights of the sources in code-point order, repeating; null is the last source.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -131,7 +131,7 @@ def mixed(docs: DataFrame, seed: int = 42, source: str = "source", text: str = "
     rows = named_rows(docs)
     drawn = _drawn(seed, F.col(f"doc.`{source}`"), F.col(f"doc.`{text}`"), F.col(f"doc.`{doc_id}`"))
     with scratch(docs.sparkSession):
-        narrow = saved(rows.select(*drawn, "file", "place"), "sizes").withColumn("bucket", _bucket())
+        narrow = sized(saved(rows.select(*drawn, "file", "place"), "sizes")).withColumn("bucket", _bucket())
         shares = saved(_shares(narrow, weights, share, repeat), "shares")
         cut = shares.filter("pick > 0 AND pick < n").select(*CELL, "pick")
         order = Window.partitionBy(*CELL).orderBy("draw", _id_order(), "file", "place")
@@ -146,7 +146,7 @@ def mixed(docs: DataFrame, seed: int = 42, source: str = "source", text: str = "
             last.withColumnRenamed("bucket", "at_bucket").drop("_cut"), ["no_source", "of_source", "size"], "left")
         limits = saved(limits, "limits", stays=True)
     named = _keyed(rows.select("doc", "file", "place", *drawn).withColumn("bucket", _bucket()), "source")
-    met = named.join(limits, ["no_source", "of_source", "size"]).join(chosen, ["file", "place"], "left")
+    met = named.join(sized(limits), ["no_source", "of_source", "size"]).join(sized(chosen), ["file", "place"], "left")
     below = (F.col("draw") < F.col("last_draw")) | ((F.col("draw") == F.col("last_draw")) & (_id_order() < F.col("last_id")))
     extra = (F.col("bucket") <= F.col("upto")) | ((F.col("bucket") == F.col("at_bucket")) & below) | F.col("equal").isNotNull()
     times = F.col("passes") + F.coalesce(extra.cast("int"), F.lit(0))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelwork.llm import words
-from gavelwork.llm.common import freeing, named_rows, saved, scratch, small_batches, text_or_empty, with_components
+from gavelwork.llm.common import freeing, named_rows, saved, scratch, sized, small_batches, text_or_empty, with_components
 
 SHINGLE = 3
 RADIUS = 2
@@ -466,13 +466,14 @@ def shards(keyed: DataFrame, piece: int = TREE_NODES, sets: bool = False) -> Dat
 
     A shard is the nodes of one band key; like those of ``near_links`` it is sent to one task, or in
     pieces of ``piece`` nodes of which every two meet. With ``sets`` pieces are cut by PIECE_BYTES of shingle
-    sets as well.
+    sets as well. What is told of a shard goes to all tasks: there are at most as many as keys, 163,840, and Spark
+    might send the nodes instead, which it takes for as few as before they were repeated for their bands.
     """
     sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("group").alias("least"), F.max("group").alias("most"))
     pieces = F.ceil(F.greatest(F.col("n") / piece, F.col("bytes") * 8 / PIECE_BYTES) if sets else F.col("n") / piece).cast("int")
     several = sizes.filter("least < most").select("table", "key", pieces.alias("pieces"))
     own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
-    dealt = keyed.join(several, ["table", "key"]).withColumn("own", own)
+    dealt = keyed.join(F.broadcast(several), ["table", "key"]).withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     side = F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side")
     return dealt.select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), side, *keyed.columns)
@@ -508,7 +509,7 @@ def joining_links(nodes: DataFrame, sets: DataFrame, radius: int, similarity: fl
     stored table (node, own) of shingle sets, which go only to the shards where a node has a pair to be
     checked. At most a link for each node and band comes out."""
     contested = saved(contested_rows(nodes, radius, similarity, piece), "contested")
-    keyed = keyed_nodes(nodes, earlier=True).join(contested, ["table", "key", "node"], "left_semi")
+    keyed = keyed_nodes(nodes, earlier=True).join(sized(contested), ["table", "key", "node"], "left_semi")
     dealt = shards(keyed, piece, sets=True).join(sets, "node")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -564,7 +565,7 @@ def similar_groups(nodes: DataFrame, texts, radius: int, shingle: int, similarit
     pairs = saved(nearest_pairs(nodes.withColumn("group", F.col("node")), radius, similarity), "nearest")
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = saved(shingle_table(texts(used), shingle), "sets")
-    links = saved(similar_pairs(pairs.filter("a <> b"), sets, similarity), "links")
+    links = saved(similar_pairs(sized(pairs).filter("a <> b"), sets, similarity), "links")
     grouped = saved(nodes.join(with_components(links), "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"), "grouped")
     # nodes that are in no pair are allowed for no other in any of their shards
     more = joining_links(grouped.join(used, "node", "left_semi"), sets, radius, similarity)
@@ -590,7 +591,7 @@ def deduplicate(docs: DataFrame, radius: int = DEDUP_RADIUS, doc_id: str = "doc_
 
         def texts(used: DataFrame) -> DataFrame:
             places = saved(marks.select(F.col("row").alias("node"), "file", "place").join(used, "node", "left_semi"), "places")
-            return fields.join(places, ["file", "place"]).select("node", "text")
+            return fields.join(sized(places), ["file", "place"]).select("node", "text")
 
         linked = similar_groups(nodes.drop("digest", "n"), texts, radius, shingle, similarity)
         found = nodes.select("digest", "n", "node").join(linked, "node", "left")
@@ -598,5 +599,5 @@ def deduplicate(docs: DataFrame, radius: int = DEDUP_RADIUS, doc_id: str = "doc_
             found.filter("component is not null or n > 1").select("digest", F.coalesce("component", "node").alias("component_id")), "digest")
         near = saved(near.drop("digest"), "members")
         stays = near.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).getField("row").alias("first"))
-        dropped = saved(near.join(stays, "component_id").filter("row <> first").select("file", "place"), "dropped", stays=True)
-    return rows.join(dropped, ["file", "place"], "left_anti").select("doc.*")
+        dropped = saved(sized(near).join(stays, "component_id").filter("row <> first").select("file", "place"), "dropped", stays=True)
+    return rows.join(sized(dropped), ["file", "place"], "left_anti").select("doc.*")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from gavelwork.llm import exact_dedup, simhash
+from gavelwork.llm import common, exact_dedup, simhash
 from gavelwork.llm.common import with_components
 from tests.llm.helpers import ROWS, components, empty, hard
 
@@ -161,3 +161,35 @@ def test_shards_of_the_near_dedup_come_from_simhash_bits():
     words = simhash._wide(np.concatenate([hashes[3:12], near, far]), np.array([0, 9, 18, 27]))
     apart = [int(np.bitwise_count(words[0] ^ words[i]).sum()) for i in (1, 2)]
     assert apart[0] < 130 and apart[1] > 200
+
+
+def test_shards_send_their_sizes_and_not_the_nodes(spark, tmp_path):
+    """Nodes are taken for small before they are repeated for their bands; the sizes of shards turn out larger."""
+    rng = np.random.default_rng(1)
+    rows = [(i, 5, i, i, i, rng.integers(0, 4096, 40).tolist()) for i in range(500)]
+    spark.createDataFrame(rows, "node long, size long, fingerprint long, second long, group long, bands array<smallint>").write.parquet(str(tmp_path / "n"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        dealt = simhash.shards(simhash.keyed_nodes(spark.read.parquet(str(tmp_path / "n"))))
+        shared = dealt.collect()
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    held = {}
+    for node, *_, bands in rows:
+        for at, key in enumerate(bands):
+            held.setdefault((at, key), set()).add(node)
+    assert sorted((r["table"], r["key"], r["node"]) for r in shared) == sorted((*k, n) for k, own in held.items() if len(own) > 1 for n in own)
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
+@pytest.mark.parametrize("sent", [0, 64 << 20])
+def test_names_of_rows_are_sent_to_all_tasks_while_they_are_small(spark, monkeypatch, tmp_path, sent):
+    """Files hold few bytes for many rows; the rows' own size decides, and the result is the same."""
+    monkeypatch.setattr(common, "SENT_BYTES", sent)
+    spark.createDataFrame([(i, f"text {i % 400} of five words or more") for i in range(2000)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for kept in (exact_dedup.deduplicate(docs), simhash.deduplicate(docs, similarity=1.0)):
+        assert len(kept.collect()) == 400
+        assert ("BroadcastHashJoin" in kept._jdf.queryExecution().executedPlan().toString()) == (sent > 0)
