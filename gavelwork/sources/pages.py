@@ -29,13 +29,16 @@ def _job(extract: Callable[[Element], Iterator[tuple]], schema: pa.Schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        known: dict = {}
         for batch in batches:
-            for url, html in zip(batch.column("url"), batch.column("html")):
-                for row in extract(parse(html.as_py())):
-                    rows.append((url.as_py(), *row))
+            for url, html in zip(batch.column("url").to_pylist(), batch.column("html")):
+                page = parse(html.as_py(), known)
+                for row in extract(page):
+                    rows.append((url, *row))
                     if len(rows) >= 1000:
                         yield packed(rows)
                         rows = []
+                page.page[0].clear()  # elements lead to this list and it to them: else they wait for the collector
         yield packed(rows)
 
     return run
@@ -84,6 +87,7 @@ class _Index:
     """First element of every (tag, class) below an item, from one walk."""
 
     def __init__(self, item: Element):
+        self.item = item
         self.found: dict[tuple[str, str], Element] = {}
         self.rows: list[Element] = []
         self.image: Element | None = None
@@ -101,7 +105,14 @@ class _Index:
     def span(self, tag: str, name: str, inner: str | None) -> str:
         """Text of the first span (of a class, when given) inside an element."""
         node = self.found.get((tag, name))
-        return "" if node is None else _text(node.first(tagged("span", inner)))
+        for below in node.walk() if node is not None else ():
+            if below.tag == "span" and (inner is None or inner in below.classes):
+                return below.text(strip=True)
+        return ""
+
+    def first(self, tag: str, name: str | None, like: str | None) -> Element | None:
+        """First element below the item that passes ``tagged(tag, name, like)``."""
+        return self.found.get((tag, name)) if like is None and name is not None else self.item.first(tagged(tag, name, like))
 
     def link(self, name: str) -> str:
         node = self.found.get(("a", name))
@@ -109,15 +120,19 @@ class _Index:
 
 
 def _item_rows(page: Element) -> Iterator[tuple]:
+    """Items that have a title, with their places among all items."""
     for position, item in enumerate(_items(page)):
         new = "s-card" in item.classes
         at = _Index(item)
+        title = at.span("div", "s-card__title", "su-styled-text") if new else at.span("div", "s-item__title", None)
+        if not title:
+            continue
         image = at.image
         source = "" if image is None else image.attrs.get("data-defer-load") or image.attrs.get("src") or ""
         if new:
             caption = at.span("div", "s-card__caption", "su-styled-text")
             row = (
-                at.span("div", "s-card__title", "su-styled-text"),
+                title,
                 at.text("span", "s-card__price"),
                 at.link("su-link"),
                 at.span("div", "s-card__subtitle", "su-styled-text"),
@@ -127,9 +142,9 @@ def _item_rows(page: Element) -> Iterator[tuple]:
                 caption if "sold" in caption.lower() else "",
             )
         else:
-            dates = (_text(item.first(tagged(t, c, l))) for t, c, l in OLD_DATE_ELEMENTS)
+            dates = (_text(at.first(*where)) for where in OLD_DATE_ELEMENTS)
             row = (
-                at.span("div", "s-item__title", None),
+                title,
                 at.text("span", "s-item__price"),
                 at.link("s-item__link"),
                 at.span("div", "s-item__subtitle", "SECONDARY_INFO"),
@@ -149,7 +164,7 @@ def parse_listings(pages: DataFrame) -> DataFrame:
     Items without a title are dropped. ``sold_text`` is still text; see
     ``ingest.prepare_listings``.
     """
-    raw = _extract(pages, _item_rows, ITEM_SCHEMA)
+    raw = _extract(pages, _item_rows, ITEM_SCHEMA)  # with titles only
     new = F.col("new_layout")
     low_rows = F.transform("attribute_rows", F.lower)
     auction_rows = F.filter(low_rows, lambda t: t.contains("bid") | t.contains("auction"))
@@ -162,7 +177,7 @@ def parse_listings(pages: DataFrame) -> DataFrame:
     last = lambda array: F.get(array, F.size(array) - 1)
     bids = F.when(new, text.extract(last(counts), r"(\d+)\s+bid")).otherwise(text.extract(F.col("bids_text"), r"(\d+)"))
     title = F.col("title")
-    return raw.filter(title != "").select(
+    return raw.select(
         "url", "position", "title",
         text.clean_price(F.col("price_text")).alias("price"),
         "listing_url", "condition", "image_url",

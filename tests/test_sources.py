@@ -170,3 +170,33 @@ def test_tree_is_runs_of_the_page_lists():
         assert node.walk() == [n for n in nodes if node in n.above()]
     assert [n.text() for n in nodes] == ["123456", "234", "", "4", "6", "8<b>9", "<b>9"] and page.text() == "12345678<b>9"
     assert first.text(strip=True) == "234" and last.first(lambda n: n.tag == "b") is None
+
+
+def test_places_without_a_title_are_no_rows_and_a_page_is_freed():
+    """In the older layout the parts of an item have item classes too; they count as places, but nothing is made of them."""
+    import pyarrow as pa
+
+    item = '<div class="s-item"><div class="s-item__title"><span>{0}</span></div><span class="s-item__ended-date">Ended Jan {0}, 2024</span></div>'
+    html = '<div id="srp-river-results">' + "".join(item.format(t) for t in (1, "", 3)) + "</div>"
+    rows = list(pages._item_rows(parse(html)))
+    assert [(r[0], r[1], r[10]) for r in rows] == [(0, "1", "Ended Jan 1, 2024"), (4, "3", "Ended Jan 3, 2024")]
+    seen = []
+
+    def extract(page):
+        seen.append(page)
+        yield (len(page.walk()),)
+
+    schema = pa.schema([("url", pa.string()), ("n", pa.int32())])
+    batch = pa.RecordBatch.from_pydict({"url": ["a", "b"], "html": [html, None]})
+    out = pa.Table.from_batches(pages._job(extract, schema)(iter([batch]))).to_pydict()
+    assert out == {"url": ["a", "b"], "n": [13, 0]} and seen[0].walk() == []
+
+
+def test_markup_is_the_same_with_and_without_raw_elements():
+    """Pages are split at once unless they hold elements whose content is no markup."""
+    body = '<ul class="srp-results a"><li title="x>y">1 &amp; 2<!-- <i> --><br/>3</LI><a"x y">4<b a=\'q>5</ul><?p?>6 < 7'
+    known = {}
+    plain, raw = parse(body, known), parse(body + "<SCRIPT>if (a<b) {}</script ><i>8<style>p{", known)
+    assert [n.tag for n in plain.walk()] == ["ul", "li", "br", 'a', "b"] and raw.all(lambda n: True)[5].tag == "script"
+    assert [(n.tag, n.attrs, n.text()) for n in raw.walk()[:5]] == [(n.tag, n.attrs, n.text()) for n in plain.walk()]
+    assert raw.text() == plain.text() + "if (a<b) {}8p{" and [n.text() for n in raw.walk()[5:]] == ["if (a<b) {}", "8p{", "p{"]
